@@ -48,6 +48,26 @@ def fuzzy_match(s, r) -> Column:
     )
 
 
+def _java_literal(ch: str) -> str:
+    if ch.isascii() and not ch.isalnum():
+        return "\\" + ch if ch not in "\n\r\t" else {"\n": "\\n", "\r": "\\r", "\t": "\\t"}[ch]
+    return ch
+
+
+def fuzzy_pattern(label: str) -> str:
+    """Java regex equivalent to ``fuzzy_match(s, label)`` for a literal label: one
+    look-ahead per label position ``i`` requiring ``label[i]`` at or after ``i``.
+    The last look-ahead also enforces ``len(label) <= len(s)``."""
+    parts = [f"(?=.{{{i}}}.*{_java_literal(ch)})" for i, ch in enumerate(label)]
+    return "(?s)^" + "".join(parts)
+
+
+def fuzzy_match_literal(s, label: str) -> Column:
+    """X1 against a literal label, compiled to one regex (code-generated, no lambda)."""
+    s = _c(s)
+    return F.coalesce((F.length(s) >= F.lit(len(label))) & s.rlike(fuzzy_pattern(label)), F.lit(False))
+
+
 def clean_text(c) -> Column:
     """T4: delete LF, TAB, CR, U+00A0, U+3000 and every space."""
     return F.translate(_c(c), CLEAN_CHARS, "")

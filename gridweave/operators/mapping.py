@@ -22,12 +22,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import extract, fuzzy_match
+from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
 from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, row_bucket
 
 # Rule sets are configuration: a few dozen labels. Anything beyond this bound is
 # refused instead of broadcast blindly.
 MAX_RULES = 10_000
+# Up to this many labels, matching is one code-generated regex per label evaluated
+# in the scan (no join); above it, a broadcast theta join with the label table.
+INLINE_LABELS = 64
 
 TKEY = ["doc", "table_id"]
 RKEY = ["doc", "table_id", "row_idx"]
@@ -84,11 +87,28 @@ def cell_hits(grid: DataFrame, rules: DataFrame) -> DataFrame:
 
     Columns: doc, table_id, row_idx, col, cell, n_cells, ord, target.
     """
+    rs = load_ruleset(rules)
     cells = grid.select(
         *RKEY,
         F.size("cells").alias("n_cells"),
         F.posexplode("cells").alias("col", "cell"),
-    ).withColumn("c_len", F.length("cell"))
+    )
+    if len(rs.attrs) <= INLINE_LABELS:
+        hit_list = F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        fuzzy_match_literal(F.col("cell"), src),
+                        F.struct(F.lit(o).alias("ord"), F.lit(t).alias("target")),
+                    )
+                    for o, src, t in rs.attrs
+                ]
+            )
+        )
+        return cells.select(*RKEY, "col", "cell", "n_cells", F.explode(hit_list).alias("h")).select(
+            *RKEY, "col", "cell", "n_cells", F.col("h.ord").alias("ord"), F.col("h.target").alias("target")
+        )
+    cells = cells.withColumn("c_len", F.length("cell"))
     lab = _labels(rules)
     cond = (F.col("l_len") <= F.col("c_len")) & fuzzy_match(F.col("cell"), F.col("label"))
     return cells.join(lab, cond, "inner").select(
@@ -237,11 +257,10 @@ def data_rows(
     it stops at the first row with another count, at another header, or at table end.
     """
     lay = layout if layout is not None else header_layout(grid, rules, mode)
-    g = grid.join(lay, RKEY, "left")
-    bucket = row_bucket("row_idx", bucket_rows)
-    g = carry_last(g, TKEY, "row_idx", F.col("hdr"), "cur", bucket)
+    g = grid.join(lay, RKEY, "left").withColumn("__rb", row_bucket("row_idx", bucket_rows))
+    g = carry_last(g, TKEY, "row_idx", F.col("hdr"), "cur", "__rb")
     bad = F.col("hdr").isNotNull() | (F.col("cur").isNotNull() & (F.size("cells") != F.col("cur.n")))
-    g = carry_last(g, TKEY, "row_idx", F.when(bad, F.col("row_idx")), "last_bad", bucket)
+    g = carry_last(g, TKEY, "row_idx", F.when(bad, F.col("row_idx")), "last_bad", "__rb")
     is_data = F.col("hdr").isNull() & F.col("cur").isNotNull() & (F.col("last_bad") == F.col("cur.row"))
     return g.where(is_data).select(*RKEY, "cells", F.col("cur").alias("hdr"))
 

@@ -35,42 +35,50 @@ def row_bucket(order_col: str, size: int = DEFAULT_BUCKET_ROWS) -> Column:
     return F.floor(F.col(order_col) / F.lit(size))
 
 
+def _with_bucket(df: DataFrame, bucket: Column | str) -> tuple[DataFrame, str, bool]:
+    if isinstance(bucket, str):
+        return df, bucket, False
+    return df.withColumn(_B, bucket), _B, True
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str] | str,
     order: Sequence[str] | str,
     value: Column,
     out: str,
-    bucket: Column,
+    bucket: Column | str,
     inclusive: bool = True,
 ) -> DataFrame:
     """Add ``out`` = last non-null ``value`` over rows with the same ``keys`` and an
     order at or before this row (``inclusive=False``: strictly before).
 
-    ``bucket`` must be non-decreasing in ``order`` within ``keys``. To carry a null as a
-    real value, wrap it in a struct (a struct holding a null is itself not null).
+    ``bucket`` (a Column, or the name of an existing column, which is then kept so a
+    following scan reuses the partitioning) must be non-decreasing in ``order`` within
+    ``keys``. To carry a null as a real value, wrap it in a struct.
     """
     keys, order = _cols(keys), _cols(order)
     v = "__v"
-    base = df.withColumn(_B, bucket).withColumn(v, value)
+    base, b, added = _with_bucket(df, bucket)
+    base = base.withColumn(v, value)
     hi = 0 if inclusive else -1
-    w_local = (
-        Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, hi)
-    )
-    local = base.withColumn("__local", F.last(v, ignorenulls=True).over(w_local))
-    # One row per bucket: its last non-null value.
+    part = Window.partitionBy(*keys, b).orderBy(*order)
+    local = base.withColumn("__local", F.last(v, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, hi)))
+    if not inclusive:
+        local = local.withColumn("__upto", F.last(v, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        local = local.withColumn("__upto", F.col("__local"))
+    # One row per bucket: its last non-null value, read off the windowed rows, so this
+    # aggregate shares the window's partitioning (no extra exchange).
     ordkey = F.struct(*[F.col(o) for o in order])
-    summary = base.groupBy(*keys, _B).agg(
-        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), ordkey)).alias("__blast")
-    )
-    w_b = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(
-        *keys, _B, F.last("__blast", ignorenulls=True).over(w_b).alias("__incoming")
-    )
-    joined = local.join(summary, on=[*keys, _B], how="left")
-    return joined.withColumn(out, F.coalesce(F.col("__local"), F.col("__incoming"))).drop(
-        "__local", "__incoming", v, _B
+    summary = local.groupBy(*keys, b).agg(F.max_by(F.col("__upto"), ordkey).alias("__blast"))
+    w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(*keys, b, F.last("__blast", ignorenulls=True).over(w_b).alias("__incoming"))
+    joined = local.join(summary, on=[*keys, b], how="left")
+    res = joined.withColumn(out, F.coalesce(F.col("__local"), F.col("__incoming"))).drop(
+        "__local", "__upto", "__incoming", v
     )
+    return res.drop(_B) if added else res
 
 
 def running_sum(
@@ -79,23 +87,21 @@ def running_sum(
     order: Sequence[str] | str,
     value: Column,
     out: str,
-    bucket: Column,
+    bucket: Column | str,
 ) -> DataFrame:
     """Add ``out`` = sum of ``value`` over rows with the same ``keys`` up to and including
     this row in ``order``; two-level like :func:`carry_last`."""
     keys, order = _cols(keys), _cols(order)
     v = "__v"
-    base = df.withColumn(_B, bucket).withColumn(v, F.coalesce(value, F.lit(0)))
-    w_local = (
-        Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    base, b, added = _with_bucket(df, bucket)
+    base = base.withColumn(v, F.coalesce(value, F.lit(0)))
+    w_local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("__local", F.sum(v).over(w_local))
-    summary = base.groupBy(*keys, _B).agg(F.sum(v).alias("__btotal"))
-    w_b = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    summary = local.groupBy(*keys, b).agg(F.sum(v).alias("__btotal"))
+    w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(
-        *keys, _B, F.coalesce(F.sum("__btotal").over(w_b), F.lit(0)).alias("__incoming")
-    )
-    joined = local.join(summary, on=[*keys, _B], how="left")
-    return joined.withColumn(out, F.col("__local") + F.col("__incoming")).drop(
-        "__local", "__incoming", v, _B
+        *keys, b, F.coalesce(F.sum("__btotal").over(w_b), F.lit(0)).alias("__incoming")
     )
+    joined = local.join(summary, on=[*keys, b], how="left")
+    res = joined.withColumn(out, F.col("__local") + F.col("__incoming")).drop("__local", "__incoming", v)
+    return res.drop(_B) if added else res
