@@ -123,3 +123,7 @@ def q_award_level(spark, sf):
     desc = M.describe_table(g, r)
     out = label_from_description(rec, desc, "grade ([AB])", 1, "level")
     return out.select(*M.RKEY, "cust_key", "cust_name", "level")
+
+
+# Register the remaining query groups.
+from gridweave.plans import catalog_web  # noqa: E402,F401

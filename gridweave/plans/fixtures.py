@@ -128,3 +128,97 @@ def grid_doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("r/"), F.col("r_regionkey").cast("string")).alias("doc"),
         F.col("r_name").alias("text"),
     )
+
+
+# --- web fixtures --------------------------------------------------------------
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridweave.operators.links import extract_links
+
+    return extract_links(pages(spark, sf_dir))
+
+
+def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`tree`: r/<k> -> n/<k> -> c/<k> -> o/<k>, text = child's name or status, label =
+    one entry naming the level the child page belongs to."""
+    region = read(spark, sf_dir, "region")
+    nation = read(spark, sf_dir, "nation")
+    cust = read(spark, sf_dir, "customer")
+    orders = read(spark, sf_dir, "orders")
+
+    rn = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.concat(F.lit("r/"), F.col("r_regionkey").cast("string")).alias("src_url"),
+        F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")).alias("dst_url"),
+        F.col("n_name").alias("text"),
+        F.create_map(F.lit("region"), F.col("r_name")).alias("label"),
+    )
+    nc = cust.select(
+        F.concat(F.lit("n/"), F.col("c_nationkey").cast("string")).alias("src_url"),
+        F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("dst_url"),
+        F.col("c_name").alias("text"),
+        F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("label"),
+    )
+    co = orders.select(
+        F.concat(F.lit("c/"), F.col("o_custkey").cast("string")).alias("src_url"),
+        F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("dst_url"),
+        F.col("o_orderpriority").alias("text"),
+        F.create_map(F.lit("priority"), F.col("o_orderpriority")).alias("label"),
+    )
+    return rn.unionByName(nc).unionByName(co)
+
+
+def tree_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = read(spark, sf_dir, "region")
+    return region.select(
+        F.concat(F.lit("r/"), F.col("r_regionkey").cast("string")).alias("url"),
+        F.create_map(F.lit("region"), F.col("r_name"), F.lit("root"), F.col("r_name")).alias("labels"),
+    )
+
+
+def chain_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`chain`: conversation turn pages, each linking to the next turn ("next page")."""
+    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn")
+    nxt = conv.alias("a").join(
+        conv.alias("b"),
+        (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1),
+    )
+    return nxt.select(
+        F.concat(F.lit("conv/"), F.col("a.conv_id").cast("string"), F.lit("/"), F.col("a.turn").cast("string")).alias("src_url"),
+        F.concat(F.lit("conv/"), F.col("b.conv_id").cast("string"), F.lit("/"), F.col("b.turn").cast("string")).alias("dst_url"),
+    )
+
+
+def chain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = read(spark, sf_dir, "conversations")
+    return conv.where(F.col("turn") == 0).select(
+        F.concat(F.lit("conv/"), F.col("conv_id").cast("string"), F.lit("/0")).alias("url")
+    )
+
+
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`redirects`: building-segment customers' pages moved to c/<k>/moved."""
+    cust = read(spark, sf_dir, "customer")
+    return cust.where(F.col("c_mktsegment") == "BUILDING").select(
+        F.concat(F.lit("c/"), F.col("c_custkey").cast("string")).alias("from_url"),
+        F.concat(F.lit("c/"), F.col("c_custkey").cast("string"), F.lit("/moved")).alias("to_url"),
+    )
+
+
+def url_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    return nation.select(
+        F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")).alias("url"), F.col("n_name").alias("label")
+    )
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`lines`: documents split on newlines, with line position."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
+        "doc_id", F.col("pos").cast("bigint").alias("pos"), "line"
+    )
