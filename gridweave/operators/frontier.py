@@ -38,7 +38,7 @@ def assign_steps(frontier: DataFrame, links: DataFrame, steps: DataFrame) -> Dat
     st = sized_broadcast(steps)
     f = frontier.select(F.col("url").alias("src_url"), "step_id")
     j = f.join(st, "step_id").join(links, "src_url")
-    j = j.where(F.coalesce(F.col("text").rlike(F.col("regex")), F.lit(False)) | F.col("regex").isNull())
+    j = j.where(F.coalesce(F.regexp_like(F.col("text"), F.col("regex")), F.lit(False)) | F.col("regex").isNull())
     new_step = F.when(F.col("is_next"), F.col("step_id")).otherwise(F.col("child_step"))
     j = j.withColumn("new_step", new_step)
     return j.groupBy(F.col("dst_url").alias("url")).agg(
@@ -71,9 +71,11 @@ def expand(
         *([F.col("labels")] if labels else []),
     ).dropDuplicates(["url"])
     e = edges.select("src_url", "dst_url", *(["label"] if labels else []))
-    visited = cut_lineage(start)
-    frontier = visited
+    # Each level is written once; "visited" is the union of the written levels.
+    levels = [cut_lineage(start)]
+    frontier = levels[0]
     for d in range(1, max_depth + 1):
+        visited = _union(levels)
         step = frontier.join(e, frontier.url == e.src_url)
         if labels:
             nxt = step.groupBy(F.col("dst_url").alias("url")).agg(
@@ -88,9 +90,16 @@ def expand(
         nxt = cut_lineage(nxt.select(*cols))
         if nxt.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(nxt))
+        levels.append(nxt)
         frontier = nxt
-    return visited
+    return _union(levels)
+
+
+def _union(dfs: list[DataFrame]) -> DataFrame:
+    out = dfs[0]
+    for d in dfs[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def follow_next(seeds: DataFrame, next_edges: DataFrame, max_hops: int = 64) -> DataFrame:

@@ -121,7 +121,15 @@ def cell_hits(grid: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def find_headers(grid: DataFrame, rules: DataFrame) -> DataFrame:
+def dedup_sources(rules: DataFrame) -> DataFrame:
+    """One attribute rule per distinct source label (its first), as the older mapper
+    looks each source up once even when it names several targets."""
+    a = rules.where(F.col("kind") == "attr")
+    first = a.groupBy("source").agg(F.min("ord").alias("ord"))
+    return a.join(first, ["source", "ord"], "left_semi")
+
+
+def find_headers(grid: DataFrame, rules: DataFrame, dedup: bool = False) -> DataFrame:
     """M1: header rows. A row is a header when its (label, cell) hit count reaches
     ``min(#distinct targets, 3)``; a label hitting two cells counts twice.
 
@@ -129,7 +137,7 @@ def find_headers(grid: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rs = load_ruleset(rules)
     return (
-        cell_hits(grid, rules)
+        cell_hits(grid, dedup_sources(rules) if dedup else rules)
         .groupBy(*RKEY)
         .agg(F.count(F.lit(1)).alias("hits"), F.min("ord").alias("first_ord"))
         .where(F.col("hits") >= F.lit(rs.threshold))
@@ -155,7 +163,7 @@ def assign_columns(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Dat
 
     Columns: doc, table_id, row_idx, col, header_text, target.
     """
-    h = find_headers(grid, rules).select(*RKEY)
+    h = find_headers(grid, rules, dedup=(mode == "first")).select(*RKEY)
     hits = cell_hits(grid, rules).join(h, RKEY, "left_semi")
     if mode == "last":
         return hits.groupBy(*RKEY, "col").agg(
@@ -197,7 +205,8 @@ def header_layout(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Data
     One pass over the cell hits: per cell, then per row (both partially aggregated).
     """
     rs = load_ruleset(rules)
-    per_cell = cell_hits(grid, rules).groupBy(*RKEY, "col").agg(
+    hit_rules = dedup_sources(rules) if mode == "first" else rules
+    per_cell = cell_hits(grid, hit_rules).groupBy(*RKEY, "col").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min("ord").alias("min_ord"),
         F.max_by("target", "ord").alias("target"),
@@ -273,10 +282,9 @@ def _project(target: str, sep_multi: bool = False) -> Column:
             targets, lambda t: F.when(F.array_contains(F.split(t, "\u0001"), F.lit(target)), F.lit(target))
         )
     p = F.array_position(F.reverse(targets), F.lit(target))
-    idx = F.size("cells") - p + 1
-    return F.when(p > 0, F.coalesce(F.try_element_at(F.col("cells"), idx.cast("int")), F.lit(""))).otherwise(
-        F.lit("")
-    )
+    # 0-based index of that column; ``get`` yields null (never an error) out of range.
+    idx0 = (F.size("cells") - p).cast("int")
+    return F.when(p > 0, F.coalesce(F.get(F.col("cells"), idx0), F.lit(""))).otherwise(F.lit(""))
 
 
 def map_records(

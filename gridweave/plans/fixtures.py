@@ -222,3 +222,99 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).select(
         "doc_id", F.col("pos").cast("bigint").alias("pos"), "line"
     )
+
+
+def headed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`headed_events`: events per user in (ts, event_id) order; signups are headings."""
+    return read(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type")
+
+
+def serials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`serials`: conversation turns spread over 8 parts, numbered by turn (the number
+    restarts with every conversation)."""
+    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return conv.select(
+        (F.col("conv_id") % 8).alias("part"), "conv_id", "turn", F.col("turn").cast("string").alias("no")
+    )
+
+
+def order_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pairs`: one row per order holding two (a, b) column pairs; row 0 is the header."""
+    o = read(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderkey").alias("row_idx"),
+        F.col("o_orderstatus").alias("a1"),
+        F.col("o_orderpriority").alias("b1"),
+        F.col("o_custkey").cast("string").alias("a2"),
+        F.col("o_orderdate").cast("date").cast("string").alias("b2"),
+    )
+
+
+def line_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as one-column grids: doc d/<doc_id>, one row per line."""
+    ln = lines(spark, sf_dir)
+    return ln.select(
+        F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("doc"),
+        F.lit(0).cast("bigint").alias("table_id"),
+        F.col("pos").alias("row_idx"),
+        F.array("line").alias("cells"),
+    )
+
+
+RENDER_BLOCK = 64  # grid rows per rendered HTML page
+
+
+def _esc(c):
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def grid_html(spark: SparkSession, sf_dir: str, rowspans: bool = False) -> DataFrame:
+    """`grid_html`: the grid rendered as HTML pages of RENDER_BLOCK rows each
+    (page_id = table_id * 100000 + block). With ``rowspans``, equal neighbours in the
+    last two columns are merged into ``rowspan="2"`` cells, and a block's last
+    full row gets a ``rowspan="3"`` reaching past the page's end."""
+    from pyspark.sql import Window
+
+    g = grid(spark, sf_dir).withColumn("block", F.floor(F.col("row_idx") / RENDER_BLOCK))
+    g = g.withColumn("p", F.col("row_idx") - F.col("block") * RENDER_BLOCK)
+    w = Window.partitionBy("table_id", "block").orderBy("row_idx")
+    g = g.withColumn("prev", F.lag("cells").over(w)).withColumn("nxt", F.lead("cells").over(w))
+    g = g.withColumn("prev_p", F.lag("p").over(w))
+    full = F.size("cells") == 5
+
+    def merged_from_prev(i):
+        return (F.col("prev_p") % 2 == 0) & (F.size("prev") == 5) & full & (F.col("prev")[i] == F.col("cells")[i])
+
+    def spans_down(i):
+        return (F.col("p") % 2 == 0) & full & (F.size("nxt") == 5) & (F.col("nxt")[i] == F.col("cells")[i])
+
+    def td(i):
+        cell = F.concat(F.lit("<td>"), _esc(F.col("cells")[i]), F.lit("</td>"))
+        if not rowspans:
+            return cell
+        span2 = F.concat(F.lit('<td rowspan="2">'), _esc(F.col("cells")[i]), F.lit("</td>"))
+        span3 = F.concat(F.lit('<td rowspan="3">'), _esc(F.col("cells")[i]), F.lit("</td>"))
+        if i < 3:
+            return cell
+        last_full = (F.col("p") % 2 == 0) & full & F.col("nxt").isNull() & F.lit(i == 4)
+        return (
+            F.when(merged_from_prev(i), F.lit(""))
+            .when(spans_down(i), span2)
+            .when(last_full, span3)
+            .otherwise(cell)
+        )
+
+    tds = F.when(full, F.concat(*[td(i) for i in range(5)])).otherwise(
+        F.array_join(F.transform("cells", lambda c: F.concat(F.lit("<td>"), _esc(c), F.lit("</td>"))), "")
+    )
+    g = g.withColumn("tr", F.concat(F.lit("<tr>"), tds, F.lit("</tr>")))
+    pages_df = g.groupBy("table_id", "block").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "tr"))), lambda x: x["tr"]), ""
+        ).alias("rows")
+    )
+    return pages_df.select(
+        (F.col("table_id") * 100000 + F.col("block")).cast("bigint").alias("page_id"),
+        F.concat(F.lit("grid/"), F.col("table_id").cast("string"), F.lit("/"), F.col("block").cast("string")).alias("url"),
+        F.concat(F.lit("<html><body><table>"), F.col("rows"), F.lit("</table></body></html>")).alias("html"),
+    )

@@ -218,7 +218,4 @@ FROM records r JOIN mapped_hdr m ON m.doc = r.doc AND m.table_id = r.table_id AN
     + extract(extract("x.r_name", "[A-Z]+", 0), "^[A-Z]{2}", 0)
     + """ AS region_word
 FROM records r LEFT JOIN region x ON r.doc = 'r/' || CAST(x.r_regionkey AS VARCHAR)""",
-    "mapping_rejects": WITH_MAP
-    + """SELECT DISTINCT doc FROM grid WHERE doc NOT IN (SELECT doc FROM hdr)
-UNION ALL SELECT 'accepted:' || CAST(count(DISTINCT doc) AS VARCHAR) FROM hdr""",
 }
