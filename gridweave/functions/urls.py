@@ -40,14 +40,14 @@ def quote_url(c) -> Column:
     return F.when(_c(c).isNotNull(), F.array_join(enc, ""))
 
 
-def _remove_dots(path: Column, drop_empty_middle: Column) -> Column:
-    segs = F.split(path, "/")
-    n = F.size(segs)
-    middle = F.filter(F.slice(segs, 2, F.greatest(n - 2, F.lit(0))), lambda s: s != "")
-    segs = F.when(
-        drop_empty_middle & (n > 2),
-        F.concat(F.slice(segs, 1, 1), middle, F.slice(segs, n, 1)),
-    ).otherwise(segs)
+def _remove_dots(path: Column, relative: Column) -> Column:
+    """Drop empty middle segments (relative references only) and resolve ``.``/``..``.
+
+    The segment stack (an ``aggregate`` lambda, which is interpreted) only runs for
+    the rare paths that contain dot segments; every other path is one regex.
+    """
+    squeezed = F.when(relative, F.regexp_replace(path, "/{2,}", "/")).otherwise(path)
+    segs = F.split(squeezed, "/")
     stack = F.aggregate(
         segs,
         F.array().cast("array<string>"),
@@ -57,12 +57,12 @@ def _remove_dots(path: Column, drop_empty_middle: Column) -> Column:
         .when(s == ".", acc)
         .otherwise(F.concat(acc, F.array(s))),
     )
-    last = F.element_at(segs, -1)
-    stack = F.when(last.isin(".", ".."), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
+    stack = F.when(squeezed.rlike(r"/\.\.?$"), F.concat(stack, F.array(F.lit("")))).otherwise(stack)
     joined = F.array_join(stack, "/")
-    return F.when(joined == "", F.lit("/")).when(joined.startswith("/"), joined).otherwise(
+    resolved = F.when(joined == "", F.lit("/")).when(joined.startswith("/"), joined).otherwise(
         F.concat(F.lit("/"), joined)
     )
+    return F.when(squeezed.rlike(r"(^|/)\.\.?(/|$)"), resolved).otherwise(squeezed)
 
 
 def resolve_url(base, href) -> Column:

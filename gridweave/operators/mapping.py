@@ -59,6 +59,19 @@ class RuleSet:
 
 
 def load_ruleset(rules: DataFrame) -> RuleSet:
+    """Collect a rules DataFrame (checked to be small) once; remembered on the object."""
+    cached = getattr(rules, "_gw_ruleset", None)
+    if cached is not None:
+        return cached
+    rs = _load_ruleset(rules)
+    try:
+        rules._gw_ruleset = rs
+    except AttributeError:
+        pass
+    return rs
+
+
+def _load_ruleset(rules: DataFrame) -> RuleSet:
     rows = rules.select("ord", "kind", "source", "target", "regex").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
         raise ValueError(f"rule set larger than {MAX_RULES} rules")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.operators.scan import running_sum
-from gridweave.session import table_path
+from gridweave.session import cut_lineage, table_path
 from gridweave.sources.rules import rules_frame
 
 
@@ -60,28 +60,21 @@ def _variant(idx_col) -> F.Column:
     )
 
 
-def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grid(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
     """`grid`: doc r/<regionkey>, one table per nation, rows: title A, header A, grade A
-    customers by key, title B, header B, grade B customers, footnote."""
+    customers by key, title B, header B, grade B customers, footnote.
+
+    Written once to the shared checkpoint folder (like an input table on disk), so the
+    operators that scan it several times do not rebuild it.
+    """
     nation = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    cust = read(spark, sf_dir, "customer").select(
+    raw = read(spark, sf_dir, "customer").select(
         "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"
     )
-    cust = cust.withColumn(
-        "grade", F.when(F.col("c_acctbal") >= GRADE_SPLIT, F.lit("A")).otherwise(F.lit("B"))
-    )
-    # Dense position of each customer inside its (nation, grade) block.
-    cust = running_sum(
-        cust,
-        ["c_nationkey", "grade"],
-        "c_custkey",
-        F.lit(1),
-        "k",
-        F.floor(F.col("c_custkey") / F.lit(1 << 16)),
-    )
-    counts = cust.groupBy("c_nationkey").agg(
-        F.sum(F.when(F.col("grade") == "A", 1).otherwise(0)).alias("n_a"),
-        F.sum(F.when(F.col("grade") == "B", 1).otherwise(0)).alias("n_b"),
+    grade = F.when(F.col("c_acctbal") >= GRADE_SPLIT, F.lit("A")).otherwise(F.lit("B"))
+    counts = raw.groupBy("c_nationkey").agg(
+        F.sum(F.when(grade == "A", 1).otherwise(0)).alias("n_a"),
+        F.sum(F.when(grade == "B", 1).otherwise(0)).alias("n_b"),
     )
     nat = nation.join(counts, nation.n_nationkey == counts.c_nationkey, "left").select(
         "n_nationkey",
@@ -93,14 +86,26 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.concat(F.lit("r/"), F.col("n_regionkey").cast("string"))
     tid = F.col("n_nationkey").cast("bigint")
 
-    def meta(row_idx, cells):
-        return nat.select(doc.alias("doc"), tid.alias("table_id"), row_idx.cast("bigint").alias("row_idx"), cells.alias("cells"))
+    def row(idx, cells):
+        return F.struct(idx.cast("bigint").alias("row_idx"), cells.alias("cells"))
 
-    title_a = meta(F.lit(0), F.array(F.concat(F.col("n_name"), F.lit(" grade A"))))
-    head_a = meta(F.lit(1), _variant(F.col("n_nationkey") % 3))
-    title_b = meta(F.col("n_a") + 2, F.array(F.concat(F.col("n_name"), F.lit(" grade B"))))
-    head_b = meta(F.col("n_a") + 3, _variant((F.col("n_nationkey") + 1) % 3))
-    foot = meta(F.col("n_a") + F.col("n_b") + 4, F.array(F.concat(F.lit("end of "), F.col("n_name"))))
+    fixed_rows = F.array(
+        row(F.lit(0), F.array(F.concat(F.col("n_name"), F.lit(" grade A")))),
+        row(F.lit(1), _variant(F.col("n_nationkey") % 3)),
+        row(F.col("n_a") + 2, F.array(F.concat(F.col("n_name"), F.lit(" grade B")))),
+        row(F.col("n_a") + 3, _variant((F.col("n_nationkey") + 1) % 3)),
+        row(F.col("n_a") + F.col("n_b") + 4, F.array(F.concat(F.lit("end of "), F.col("n_name")))),
+    )
+    meta = nat.select(doc.alias("doc"), tid.alias("table_id"), F.inline(fixed_rows))
+    # Dense position of each customer inside its (nation, grade) block.
+    cust = running_sum(
+        raw.withColumn("grade", grade),
+        ["c_nationkey", "grade"],
+        "c_custkey",
+        F.lit(1),
+        "k",
+        F.floor(F.col("c_custkey") / F.lit(1 << 16)),
+    )
     data = cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey).select(
         doc.alias("doc"),
         tid.alias("table_id"),
@@ -116,9 +121,8 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("n_name"),
         ).alias("cells"),
     )
-    return title_a.unionByName(head_a).unionByName(title_b).unionByName(head_b).unionByName(
-        foot
-    ).unionByName(data)
+    out = meta.unionByName(data)
+    return cut_lineage(out) if materialize else out
 
 
 def grid_doc_text(spark: SparkSession, sf_dir: str) -> DataFrame:

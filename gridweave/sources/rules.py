@@ -24,8 +24,12 @@ RULES_SCHEMA = T.StructType(
 
 def rules_frame(spark: SparkSession, rule_id: str, rows) -> DataFrame:
     """Rules from literal ``(ord, kind, source, target, regex)`` tuples."""
+    import pandas as pd
+
     data = [(rule_id, int(o), k, s, t, r) for o, k, s, t, r in rows]
-    return spark.createDataFrame(data, RULES_SCHEMA)
+    pdf = pd.DataFrame(data, columns=[f.name for f in RULES_SCHEMA.fields]).astype({"ord": "int32"})
+    # A pandas frame becomes a local relation through Arrow: no Python worker job.
+    return spark.createDataFrame(pdf, RULES_SCHEMA)
 
 
 def rules_from_dict(spark: SparkSession, rule_id: str, mapping: dict, regexes: dict | None = None) -> DataFrame:
