@@ -50,7 +50,7 @@ _COL = T.StructType(
         T.StructField("_attri", T.StringType()),
         T.StructField("_select", T.StringType()),
         T.StructField("_regex", T.StringType()),
-        T.StructField("_VALUE", T.StringType()),
+        T.StructField("_text", T.StringType()),
     ]
 )
 _COND = T.StructType(
@@ -68,11 +68,13 @@ def _url_type(depth: int) -> T.StructType:
         T.StructField("_output", T.StringType()),
         T.StructField("_xpath", T.StringType()),
         T.StructField("_regex", T.StringType()),
-        T.StructField("_VALUE", T.StringType()),
+        T.StructField("_text", T.StringType()),
         T.StructField("next", T.ArrayType(_COND)),
     ]
     if depth > 1:
         fields.append(T.StructField("url", T.ArrayType(_url_type(depth - 1))))
+    else:  # deepest level read: children are only counted, not unrolled
+        fields.append(T.StructField("url", T.ArrayType(T.StructType([T.StructField("_value", T.StringType())]))))
     return T.StructType(fields)
 
 
@@ -119,6 +121,7 @@ def read_spiders(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.format("xml")
         .option("rowTag", "spider")
+        .option("valueTag", "_text")
         .schema(SPIDER_SCHEMA)
         .load(path)
         .withColumn("file", F.col("_metadata.file_path"))
@@ -171,37 +174,47 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
             "cond_ord",
             F.col("child").alias("u"),
         )
-    steps = levels[0]
+    url_text = F.trim(F.coalesce(F.col("u._text"), F.col("u._value")))
+
+    def flat(lv):
+        # Each level's struct type differs (one nesting less per level), so levels are
+        # flattened to the same columns before the union.
+        st = lv.select(
+            *head,
+            "step_id",
+            "parent_step",
+            "cond_ord",
+            url_text.alias("url"),
+            F.col("u._xpath").alias("xpath"),
+            F.col("u._regex").alias("regex"),
+            F.lit(False).alias("is_next"),
+            F.col("u._mapping").alias("mapping_id"),
+            F.col("u._output").alias("output_id"),
+        )
+        # The XML reader keeps url and next children in separate arrays; next
+        # conditions are numbered after the url conditions of the same step.
+        nx = lv.select(
+            *head,
+            "step_id",
+            F.greatest(F.coalesce(F.size("u.url"), F.lit(0)), F.lit(0)).alias("n_urls"),
+            F.posexplode("u.next").alias("n_ord", "n"),
+        ).select(
+            *head,
+            F.col("step_id"),
+            F.col("step_id").alias("parent_step"),
+            (F.col("n_urls") + F.col("n_ord")).alias("cond_ord"),
+            F.lit(None).cast("string").alias("url"),
+            F.col("n._xpath").alias("xpath"),
+            F.col("n._regex").alias("regex"),
+            F.lit(True).alias("is_next"),
+            F.lit(None).cast("string").alias("mapping_id"),
+            F.lit(None).cast("string").alias("output_id"),
+        )
+        return st.unionByName(nx)
+
+    steps_out = flat(levels[0])
     for lv in levels[1:]:
-        steps = steps.unionByName(lv)
-    url_text = F.trim(F.coalesce(F.col("u._VALUE"), F.col("u._value")))
-    steps_out = steps.select(
-        *head,
-        "step_id",
-        "parent_step",
-        "cond_ord",
-        url_text.alias("url"),
-        F.col("u._xpath").alias("xpath"),
-        F.col("u._regex").alias("regex"),
-        F.lit(False).alias("is_next"),
-        F.col("u._mapping").alias("mapping_id"),
-        F.col("u._output").alias("output_id"),
-    )
-    nexts = steps.select(
-        *head, "step_id", F.posexplode("u.next").alias("n_ord", "n")
-    ).select(
-        *head,
-        F.col("step_id"),
-        F.col("step_id").alias("parent_step"),
-        F.col("n_ord").alias("cond_ord"),
-        F.lit(None).cast("string").alias("url"),
-        F.col("n._xpath").alias("xpath"),
-        F.col("n._regex").alias("regex"),
-        F.lit(True).alias("is_next"),
-        F.lit(None).cast("string").alias("mapping_id"),
-        F.lit(None).cast("string").alias("output_id"),
-    )
-    steps_out = steps_out.unionByName(nexts)
+        steps_out = steps_out.unionByName(flat(lv))
 
     rules = (
         sp.select("spider_id", F.explode("mapping").alias("m"))
@@ -216,7 +229,7 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
             F.col("ord").cast("int").alias("ord"),
             F.when(F.col("c._select").isNotNull(), F.lit("select")).otherwise(F.lit("attr")).alias("kind"),
             F.coalesce(F.col("c._select"), F.col("c._attri")).alias("source"),
-            F.col("c._VALUE").alias("target"),
+            F.col("c._text").alias("target"),
             F.when(F.col("c._select").isNotNull(), F.col("c._regex")).alias("regex"),
         )
     )
