@@ -279,8 +279,14 @@ def data_rows(
     it stops at the first row with another count, at another header, or at table end.
     """
     lay = layout if layout is not None else header_layout(grid, rules, mode)
-    g = grid.join(lay, RKEY, "left").withColumn("__rb", row_bucket("row_idx", bucket_rows))
-    g = carry_last(g, TKEY, "row_idx", F.col("hdr"), "cur", "__rb")
+    # Header rows ride in the same stream as the grid rows, sorted just before the row
+    # they describe, so the scan window's one shuffle is the only one of the grid.
+    hdr_type = lay.schema["hdr"].dataType
+    gb = grid.select(*RKEY, "cells", F.lit(None).cast(hdr_type).alias("hdr"), F.lit(1).alias("__k"))
+    lb = lay.select(*RKEY, F.lit(None).cast("array<string>").alias("cells"), "hdr", F.lit(0).alias("__k"))
+    g = gb.unionByName(lb).withColumn("__rb", row_bucket("row_idx", bucket_rows))
+    g = carry_last(g, TKEY, ["row_idx", "__k"], F.col("hdr"), "cur", "__rb")
+    g = g.where(F.col("__k") == 1).withColumn("hdr", F.when(F.col("cur.row") == F.col("row_idx"), F.col("cur")))
     bad = F.col("hdr").isNotNull() | (F.col("cur").isNotNull() & (F.size("cells") != F.col("cur.n")))
     g = carry_last(g, TKEY, "row_idx", F.when(bad, F.col("row_idx")), "last_bad", "__rb")
     is_data = F.col("hdr").isNull() & F.col("cur").isNotNull() & (F.col("last_bad") == F.col("cur.row"))
