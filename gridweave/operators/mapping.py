@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
 from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, row_bucket
+from gridweave.session import cut_lineage
 
 # Rule sets are configuration: a few dozen labels. Anything beyond this bound is
 # refused instead of broadcast blindly.
@@ -209,7 +210,7 @@ def assign_columns(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Dat
     raise ValueError(mode)
 
 
-def header_layout(grid: DataFrame, rules: DataFrame, mode: str = "last") -> DataFrame:
+def header_layout(grid: DataFrame, rules: DataFrame, mode: str = "last", materialize: bool = True) -> DataFrame:
     """One row per header with everything later stages need, as a struct ``hdr``:
     row (row_idx), n (cell count), first_ord, targets (ARRAY per column, null where the
     column is unmapped; M12 joins several targets with U+0001), mapped (texts of the
@@ -251,7 +252,7 @@ def header_layout(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Data
         F.sequence(F.lit(0), F.col("n") - 1),
         lambda i: F.try_element_at(F.col("tmap"), i),
     )
-    return per_row.select(
+    out = per_row.select(
         *RKEY,
         F.struct(
             F.col("row_idx").alias("row"),
@@ -263,6 +264,10 @@ def header_layout(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Data
             F.coalesce(F.col("mapped"), F.array().cast("array<string>")).alias("mapped"),
         ).alias("hdr"),
     )
+    # One row per header: small next to the grid. Writing it once (reliable checkpoint
+    # in the shared folder) keeps the label matching from being re-run by every later
+    # consumer and keeps the downstream plans short.
+    return cut_lineage(out) if materialize else out
 
 
 def data_rows(
