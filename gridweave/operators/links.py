@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import attr, fuzzy_match_literal, node_text
 from gridweave.functions.urls import resolve_url
-from gridweave.operators.pages import STRIP_RE, element_text
+from gridweave.operators.pages import STRIP_RE, contained_in, element_text
 
 # An anchor element with its content.
 ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
@@ -55,11 +55,9 @@ def links_in(
         cont = cont.where(F.col("tag") == tag)
     if attr_name:
         cont = cont.where(F.col(attr_name) == value)
-    cont = cont.select("page_id", F.col("start").alias("c_start"), F.col("end").alias("c_end"))
+    cont = cont.select("page_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
     anchors = elements.where(F.col("tag") == "a").select("page_id", "start", "end", "tok")
-    inside = anchors.join(cont, "page_id").where(
-        (F.col("start") > F.col("c_start")) & (F.col("end") <= F.col("c_end"))
-    )
+    inside = contained_in(anchors, cont).withColumnRenamed("o_start", "c_start").drop("o_end")
     txt = element_text(inside, tokens)
     urls = pages.select("page_id", F.col("url").alias("src_url"))
     w = Window.partitionBy("page_id", "c_start").orderBy("start")
@@ -80,9 +78,9 @@ def neighbour_text(links: DataFrame, elements: DataFrame, tokens: DataFrame, par
     of the innermost enclosing ``parent_tag`` element (the row or item the link sits in).
     """
     par = elements.where(F.col("tag") == parent_tag).select(
-        "page_id", F.col("start").alias("p_start"), F.col("end").alias("p_end")
+        "page_id", F.col("start").alias("o_start"), F.col("end").alias("o_end")
     )
-    j = links.join(par, "page_id").where((F.col("start") > F.col("p_start")) & (F.col("end") <= F.col("p_end")))
+    j = contained_in(links, par).withColumnRenamed("o_start", "p_start").withColumnRenamed("o_end", "p_end")
     inner = j.groupBy(*links.columns).agg(F.max_by(F.struct("p_start", "p_end"), "p_start").alias("p"))
     ptxt = element_text(
         inner.select("page_id", F.col("p.p_start").alias("start"), F.col("p.p_end").alias("end")).distinct(), tokens

@@ -19,11 +19,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
-from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, row_bucket
+from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, row_bucket, running_sum
 from gridweave.session import cut_lineage
 
 # Rule sets are configuration: a few dozen labels. Anything beyond this bound is
@@ -167,8 +167,11 @@ def header_rank_key() -> Column:
 def header_order(grid: DataFrame, rules: DataFrame) -> DataFrame:
     """M2 as a table: doc, table_id, row_idx, rank (1-based, per document)."""
     h = find_headers(grid, rules)
-    w = Window.partitionBy("doc").orderBy("first_ord", "table_id", "row_idx")
-    return h.select(*RKEY, F.row_number().over(w).cast("bigint").alias("rank"))
+    # Dense rank as a two-level running count, so a document with very many headers
+    # is still numbered by many tasks.
+    bucket = F.struct(F.col("first_ord"), F.floor(F.col("table_id") / F.lit(1024)))
+    ranked = running_sum(h, "doc", ["first_ord", "table_id", "row_idx"], F.lit(1), "rank", bucket)
+    return ranked.select(*RKEY, F.col("rank").cast("bigint").alias("rank"))
 
 
 def assign_columns(grid: DataFrame, rules: DataFrame, mode: str = "last") -> DataFrame:

@@ -92,25 +92,43 @@ def element_text(elements: DataFrame, tokens: DataFrame, bucket: int = 256) -> D
     return agg.withColumn("text", node_text(F.col("raw"))).drop("raw")
 
 
+def contained_in(inner: DataFrame, outer: DataFrame, bucket: int = 256) -> DataFrame:
+    """Interval containment join inside a page: rows of ``inner`` (page_id, start, end,
+    ...) paired with rows of ``outer`` (page_id, o_start, o_end, ...) where
+    ``o_start < start`` and ``end <= o_end``.
+
+    Outer intervals are spread over the position buckets they cover and inner rows join
+    on the bucket of their start, so each inner row only meets the outer intervals that
+    overlap its own bucket (its ancestors and a bucket's worth of siblings), never every
+    interval of the page.
+    """
+    o = outer.withColumn(
+        "__bk", F.explode(F.sequence(F.floor(F.col("o_start") / bucket), F.floor(F.col("o_end") / bucket)))
+    )
+    i = inner.withColumn("__bk", F.floor(F.col("start") / bucket))
+    j = i.join(o, ["page_id", "__bk"])
+    return j.where((F.col("o_start") < F.col("start")) & (F.col("end") <= F.col("o_end"))).drop("__bk")
+
+
 def container_children(
     elements: DataFrame, attr_name: str, value: str, child_tags: tuple[str, ...]
 ) -> DataFrame:
     """Elements of ``child_tags`` inside containers whose ``attr_name`` equals
-    ``value``, not inside another such element, in document order (``child_no``)."""
+    ``value``, not inside another such element, in document order (``child_no``).
+
+    Nesting is found with an ordered scan per container: a child is nested when an
+    earlier child of the same container ends at or after its start.
+    """
     cont = elements.where(F.col(attr_name) == value).select(
-        "page_id", F.col("start").alias("c_start"), F.col("end").alias("c_end")
+        "page_id", F.col("start").alias("o_start"), F.col("end").alias("o_end")
     )
     kids = elements.where(F.col("tag").isin(*child_tags))
-    inside = kids.join(cont, "page_id").where(
-        (F.col("start") > F.col("c_start")) & (F.col("end") <= F.col("c_end"))
-    )
-    outer = inside.select("page_id", "c_start", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    nested = inside.join(outer, ["page_id", "c_start"]).where(
-        (F.col("start") > F.col("o_start")) & (F.col("end") <= F.col("o_end"))
-    ).select("page_id", "c_start", "start")
-    top = inside.join(nested, ["page_id", "c_start", "start"], "left_anti")
-    w = Window.partitionBy("page_id", "c_start").orderBy("start")
-    return top.withColumn("child_no", F.row_number().over(w).cast("bigint"))
+    inside = contained_in(kids, cont).withColumnRenamed("o_start", "c_start").drop("o_end")
+    w = Window.partitionBy("page_id", "c_start").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumn("__reach", F.max("end").over(w))
+    top = inside.where(F.col("__reach").isNull() | (F.col("__reach") < F.col("start"))).drop("__reach")
+    wn = Window.partitionBy("page_id", "c_start").orderBy("start")
+    return top.withColumn("child_no", F.row_number().over(wn).cast("bigint"))
 
 
 def html_tables(pages: DataFrame, tokens: DataFrame | None = None) -> DataFrame:

@@ -48,7 +48,7 @@ def q_carry(spark, sf):
         ["ts", "event_id"],
         F.col("event_type") == "signup",
         F.col("event_id").cast("string"),
-        F.to_date("ts"),
+        F.date_trunc("minute", F.col("ts")),
         out="heading",
     )
     return out.select("event_id", "user_id", "heading")
