@@ -187,32 +187,60 @@ def assign_columns(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Dat
             F.first("cell").alias("header_text"), F.max_by("target", "ord").alias("target")
         )
     if mode == "first":
-        # Older rule: one label may carry several targets (several rules with one source).
-        lab_targets = (
-            rules.where(F.col("kind") == "attr")
-            .groupBy(F.col("source"))
-            .agg(
-                F.min("ord").alias("src_ord"),
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]
-                ).alias("targets"),
+        # Older rule: the first source label (rule order) that matches a non-empty
+        # header cell wins and may name several targets (several rules, one source).
+        rs = load_ruleset(rules)
+        sources: dict[str, list[str]] = {}
+        for _, src, tgt in rs.attrs:
+            sources.setdefault(src, []).append(tgt)
+        if len(sources) > INLINE_LABELS:
+            return _first_wins_join(grid, h, rules)
+        cand = F.array_compact(
+            F.array(
+                *[
+                    F.when(
+                        fuzzy_match_literal(F.col("cell"), src),
+                        F.array(*[F.lit(t) for t in tgts]),
+                    )
+                    for src, tgts in sources.items()
+                ]
             )
         )
-        lab_targets = F.broadcast(lab_targets)
-        hits2 = (
+        cells = (
             grid.join(h, RKEY, "left_semi")
             .select(*RKEY, F.posexplode("cells").alias("col", "cell"))
             .where(F.col("cell") != "")
-            .join(lab_targets, fuzzy_match(F.col("cell"), F.col("source")), "inner")
+            .withColumn("targets", F.try_element_at(cand, F.lit(1)))
+            .where(F.col("targets").isNotNull())
         )
-        first = hits2.groupBy(*RKEY, "col").agg(
-            F.first("cell").alias("header_text"),
-            F.min_by("targets", "src_ord").alias("targets"),
+        return cells.select(
+            *RKEY, "col", F.col("cell").alias("header_text"), F.explode("targets").alias("target")
         )
-        return first.select(*RKEY, "col", "header_text", F.explode("targets").alias("target"))
     raise ValueError(mode)
 
 
+def _first_wins_join(grid: DataFrame, headers: DataFrame, rules: DataFrame) -> DataFrame:
+    """M12 for large label sets: broadcast theta join (size proven by load_ruleset)."""
+    lab_targets = (
+        rules.where(F.col("kind") == "attr")
+        .groupBy(F.col("source"))
+        .agg(
+            F.min("ord").alias("src_ord"),
+            F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("targets"),
+        )
+    )
+    hits = (
+        grid.join(headers, RKEY, "left_semi")
+        .select(*RKEY, F.posexplode("cells").alias("col", "cell"))
+        .where(F.col("cell") != "")
+        .join(F.broadcast(lab_targets), fuzzy_match(F.col("cell"), F.col("source")), "inner")
+    )
+    first = hits.groupBy(*RKEY, "col").agg(
+        F.first("cell").alias("header_text"), F.min_by("targets", "src_ord").alias("targets")
+    )
+    return first.select(*RKEY, "col", "header_text", F.explode("targets").alias("target"))
+
+
 def header_layout(grid: DataFrame, rules: DataFrame, mode: str = "last", materialize: bool = True) -> DataFrame:
     """One row per header with everything later stages need, as a struct ``hdr``:
     row (row_idx), n (cell count), first_ord, targets (ARRAY per column, null where the
