@@ -120,3 +120,21 @@ def test_mapping_matches_brute_force(spark, tables):
     want, wdesc = expected(tables, RULES)
     assert got == want
     assert desc == wdesc
+
+
+def test_large_label_sets_use_join_path_with_same_result(spark):
+    tables = [[["Title"], ["id", "name", "age"], ["1", "ann", "3"], ["id", "name", "years"], ["2", "b", "4"]]]
+    g = grid_df(spark, tables)
+    small = [(i, "attr", s, t, None) for i, (s, t) in enumerate(RULES)]
+    # 70 labels that match nothing push the rule set past the inline limit
+    big = small + [(100 + i, "attr", f"zz{i:03d}", f"t{i}", None) for i in range(70)]
+    a = M.map_records(g, rules_frame(spark, "s", small))
+    b = M.map_records(g, rules_frame(spark, "b", big))
+    assert sorted((r.row_idx, r.id, r.name, r.age) for r in a.collect()) == sorted(
+        (r.row_idx, r.id, r.name, r.age) for r in b.collect()
+    )
+    fa = M.map_records(g, rules_frame(spark, "s", small), mode="first")
+    fb = M.map_records(g, rules_frame(spark, "b", big), mode="first")
+    assert sorted((r.row_idx, r.id, r.name, r.age) for r in fa.collect()) == sorted(
+        (r.row_idx, r.id, r.name, r.age) for r in fb.collect()
+    )
