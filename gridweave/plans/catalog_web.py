@@ -298,7 +298,7 @@ def q_fallback(spark, sf):
     hits = lk.where(X.matches("text", "^[A-Z][a-z]+$")).select(
         "src_url", "dst_url", X.extract("text", "^[A-Z]", 0).alias("label")
     )
-    label = X.extract(F.col("html"), r"<h1>([^<]{0,12})", 1)
+    label = X.extract(F.col("html"), r"<h1>([^<]*)</h1>", 1)
     return FR.fallback_self(p.select("url", "html"), hits, label)
 
 
