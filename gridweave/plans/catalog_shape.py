@@ -185,3 +185,44 @@ def q_rejects(spark, sf):
     return docs.join(rejects.withColumn("rej", F.lit(True)), "doc", "left").select(
         "doc", F.col("rej").isNull().alias("accepted")
     )
+
+
+@register("carry_heading_reset")
+def q_carry_reset(spark, sf):
+    """E1, the ``dt`` variant: a heading without a label (a signup whose value is below
+    10) resets the carried label to null instead of keeping the previous one."""
+    ev = fx.read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    label = F.when(F.col("value") >= 10, F.col("event_id").cast("string"))
+    out = SH.carry_forward(
+        ev,
+        "user_id",
+        ["ts", "event_id"],
+        F.col("event_type") == "signup",
+        label,
+        F.date_trunc("minute", F.col("ts")),
+        out="heading",
+        null_sets=True,
+    )
+    return out.select("event_id", "user_id", "heading")
+
+
+# Fixed value: a heading line is one short sentence (at most four words, one final period).
+HEADING_RE = r"^[^ .]+( [^ .]+){0,3}\.$"
+
+
+@register("heading_lines")
+def q_heading_lines(spark, sf):
+    """E1 + E2 + X6 as in the line-based spider: heading lines label the lines below
+    them and emit nothing; a following line becomes a record when at least one of the
+    patterns hits it (the others are '')."""
+    ln = fx.lines(spark, sf)
+    carried = SH.carry_forward(
+        ln,
+        "doc_id",
+        "pos",
+        F.coalesce(F.col("line").rlike(HEADING_RE), F.lit(False)),
+        F.col("line"),
+        F.floor(F.col("pos") / F.lit(4096)),
+        out="heading",
+    )
+    return SH.lines_to_records(carried, "line", LINE_PATTERNS).select("doc_id", "pos", "heading", "email", "year")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.plans.catalog_shape import LINE_PATTERNS, MULTI_RULES, OUTPUTS, SECTION_LEVELS
+from gridweave.plans.catalog_shape import HEADING_RE, LINE_PATTERNS, MULTI_RULES, OUTPUTS, SECTION_LEVELS
 from gridweave.plans.fixtures import GRID_RULES
 from gridweave.plans.oracle import GRID_CTES, WITH_MAP, extract, fuzzy, q
 from gridweave.plans.oracle_web import clean
@@ -187,4 +187,26 @@ w AS (SELECT doc_id, pos, string_split(line, ' ') AS ws FROM lines)
 SELECT doc_id, pos, array_to_string(list_filter(ws, lambda x, i: list_position(ws, x) = i), ' ') AS words FROM w""",
     "assign_multi": MULTI_SQL,
     "mapping_rejects": REJECTS_SQL,
+    "carry_heading_reset": """WITH e AS (
+  SELECT event_id, user_id, event_type,
+    last_value(CASE WHEN event_type = 'signup'
+                    THEN {'v': CASE WHEN value >= 10 THEN CAST(event_id AS VARCHAR) END} END IGNORE NULLS) OVER (
+      PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h
+  FROM events)
+SELECT event_id, user_id, h.v AS heading FROM e WHERE event_type <> 'signup'""",
+    "heading_lines": "WITH "
+    + LINES_CTE
+    + f""",
+h AS (
+  SELECT *, coalesce(regexp_matches(line, {q(HEADING_RE)}), false) AS is_h FROM lines),
+c AS (
+  SELECT *, last_value(CASE WHEN is_h THEN line END IGNORE NULLS) OVER (
+      PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading
+  FROM h),
+x AS (
+  SELECT doc_id, pos, heading, {extract("line", LINE_PATTERNS["email"][0], 0)} AS email,
+         {extract("line", LINE_PATTERNS["year"][0], 0)} AS year
+  FROM c WHERE NOT is_h)
+SELECT doc_id, pos, heading, coalesce(email, '') AS email, coalesce(year, '') AS year FROM x
+WHERE email IS NOT NULL OR year IS NOT NULL""",
 }
