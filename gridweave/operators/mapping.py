@@ -375,9 +375,10 @@ def select_values(records: DataFrame, rules: DataFrame, doc_text: DataFrame | No
     out = records
     per_doc = {}
     regex_selects = [s for s in rs.selects if not s[1].startswith("@h")]
+    if regex_selects and doc_text is None:
+        # No document text: such selects find nothing (null), as in the reference.
+        doc_text = records.sparkSession.createDataFrame([], "doc string, text string")
     if regex_selects:
-        if doc_text is None:
-            raise ValueError("regex select rules need doc_text")
         # Evaluate document-level selects once per document, then join the small result.
         per_doc = {f"__sel{i}": extract("text", src, 0) for i, (_, src, _, _) in enumerate(regex_selects)}
         doc_vals = doc_text.select("doc", *[c.alias(n) for n, c in per_doc.items()])

@@ -138,3 +138,10 @@ def test_large_label_sets_use_join_path_with_same_result(spark):
     assert sorted((r.row_idx, r.id, r.name, r.age) for r in fa.collect()) == sorted(
         (r.row_idx, r.id, r.name, r.age) for r in fb.collect()
     )
+
+
+def test_regex_select_without_text_is_null(spark):
+    g = grid_df(spark, [[["id", "name", "age"], ["1", "a", "2"]]])
+    r = rules_from_dict(spark, "t", {"id": "id", "name": "name", "age": "age", "[0-9]+": "num"})
+    out = M.select_values(M.map_records(g, r, keep_header=True), r).first()
+    assert out.num is None and out.id == "1"
