@@ -142,6 +142,10 @@ def test_large_label_sets_use_join_path_with_same_result(spark):
 
 def test_regex_select_without_text_is_null(spark):
     g = grid_df(spark, [[["id", "name", "age"], ["1", "a", "2"]]])
-    r = rules_from_dict(spark, "t", {"id": "id", "name": "name", "age": "age", "[0-9]+": "num"})
+    # in a plain mapping only "@" keys are selects: this one is an attribute label -> ''
+    d = rules_from_dict(spark, "t", {"id": "id", "name": "name", "age": "age", "[0-9]+": "num"})
+    assert M.map_records(g, d).first().num == ""
+    r = rules_frame(spark, "t", [(0, "attr", "id", "id", None), (1, "attr", "name", "name", None),
+                                 (2, "attr", "age", "age", None), (3, "select", "[0-9]+", "num", None)])
     out = M.select_values(M.map_records(g, r, keep_header=True), r).first()
     assert out.num is None and out.id == "1"
