@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
@@ -315,17 +315,60 @@ def data_rows(
     it stops at the first row with another count, at another header, or at table end.
     """
     lay = layout if layout is not None else header_layout(grid, rules, mode)
-    # Header rows ride in the same stream as the grid rows, sorted just before the row
-    # they describe, so the scan window's one shuffle is the only one of the grid.
+    # One ordered pass over the grid. Header rows ride in the same stream, sorted just
+    # before the row they describe, so the window's shuffle is the only one of the grid.
+    # Per row it finds the nearest header above (cur) and the last "event" at or above
+    # it: a header, or a row whose cell count differs from the row before. A row is data
+    # iff it is not a header, has the header's cell count, and its last event is the
+    # header row or the row right after it (then every row in between has that count).
     hdr_type = lay.schema["hdr"].dataType
     gb = grid.select(*RKEY, "cells", F.lit(None).cast(hdr_type).alias("hdr"), F.lit(1).alias("__k"))
     lb = lay.select(*RKEY, F.lit(None).cast("array<string>").alias("cells"), "hdr", F.lit(0).alias("__k"))
     g = gb.unionByName(lb).withColumn("__rb", row_bucket("row_idx", bucket_rows))
-    g = carry_last(g, TKEY, ["row_idx", "__k"], F.col("hdr"), "cur", "__rb")
-    g = g.where(F.col("__k") == 1).withColumn("hdr", F.when(F.col("cur.row") == F.col("row_idx"), F.col("cur")))
-    bad = F.col("hdr").isNotNull() | (F.col("cur").isNotNull() & (F.size("cells") != F.col("cur.n")))
-    g = carry_last(g, TKEY, "row_idx", F.when(bad, F.col("row_idx")), "last_bad", "__rb")
-    is_data = F.col("hdr").isNull() & F.col("cur").isNotNull() & (F.col("last_bad") == F.col("cur.row"))
+    part = [*TKEY, "__rb"]
+    w_in = Window.partitionBy(*part).orderBy("row_idx", "__k")
+    upto = w_in.rowsBetween(Window.unboundedPreceding, 0)
+    g = g.withColumn("__lh", F.last("hdr", ignorenulls=True).over(upto))
+    g = g.withColumn("__own", F.lag("hdr").over(w_in))  # header of this very row, if any
+    g = g.where(F.col("__k") == 1).withColumn("__n", F.size("cells"))
+    w_row = Window.partitionBy(*part).orderBy("row_idx")
+    prev_n = F.lag("__n").over(w_row)
+    is_h = F.col("__own").isNotNull() & (F.col("__own.row") == F.col("row_idx"))
+    g = g.withColumn("__ish", is_h).withColumn(
+        "__ev", F.when(F.col("__ish") | (prev_n.isNotNull() & (prev_n != F.col("__n"))), F.col("row_idx"))
+    )
+    g = g.withColumn("__le", F.last("__ev", ignorenulls=True).over(w_row.rowsBetween(Window.unboundedPreceding, 0)))
+    # One row per bucket, read off the windowed rows (same partitioning, no exchange).
+    summ = g.groupBy(*part).agg(
+        F.max_by("__lh", "row_idx").alias("b_hdr"),
+        F.max("__ev").alias("b_ev"),
+        F.min("row_idx").alias("b_first"),
+        F.min_by("__n", "row_idx").alias("b_first_n"),
+        F.max_by("__n", "row_idx").alias("b_last_n"),
+    )
+    w_b = Window.partitionBy(*TKEY).orderBy("__rb")
+    before = w_b.rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn(
+        "b_first_chg", F.lag("b_last_n").over(w_b).isNotNull() & (F.lag("b_last_n").over(w_b) != F.col("b_first_n"))
+    )
+    summ = summ.withColumn("b_ev_all", F.coalesce("b_ev", F.when(F.col("b_first_chg"), F.col("b_first"))))
+    summ = summ.select(
+        *part,
+        "b_first",
+        "b_first_chg",
+        F.last("b_hdr", ignorenulls=True).over(before).alias("in_hdr"),
+        F.last("b_ev_all", ignorenulls=True).over(before).alias("in_ev"),
+    )
+    g = g.join(summ, part, "left")
+    cur = F.coalesce(F.col("__lh"), F.col("in_hdr"))
+    last_ev = F.coalesce(F.col("__le"), F.when(F.col("b_first_chg"), F.col("b_first")), F.col("in_ev"))
+    g = g.withColumn("cur", cur).withColumn("__last_ev", last_ev)
+    is_data = (
+        ~F.col("__ish")
+        & F.col("cur").isNotNull()
+        & (F.col("__n") == F.col("cur.n"))
+        & (F.col("__last_ev") <= F.col("cur.row") + 1)
+    )
     return g.where(is_data).select(*RKEY, "cells", F.col("cur").alias("hdr"))
 
 
