@@ -1,18 +1,19 @@
 """Record shaping: carried headings, line records, reset sectioning, unpivot.
 
-All ordered operators run on the two-level scans of :mod:`gridweave.operators.scan`,
-so one very long document or one very active user is still spread over many tasks.
+All ordered operators use two-level scans (a window per key and bucket, then one
+summary row per bucket carried across buckets), so one very long document or one very
+active user is still spread over many tasks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import extract, is_digits, to_int
-from gridweave.operators.scan import carry_last, running_sum
+from gridweave.operators.scan import carry_last
 
 
 def carry_forward(
@@ -64,16 +65,38 @@ def sections_by_reset(
     ``levels`` in order; rows before the first section get a null level; once the levels
     are used up, that row and every later row of the partition are dropped.
     """
-    kept = df.where(is_digits(F.col(no))).withColumn("__n", to_int(F.col(no)))
-    kept = carry_last(kept, keys, order, F.col("__n"), "__prev", bucket, inclusive=False)
-    reset = F.col("__n") < F.coalesce(F.col("__prev"), F.lit(first))
-    kept = running_sum(kept, keys, order, F.when(reset, F.lit(1)).otherwise(F.lit(0)), "__sec", bucket)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    order = [order] if isinstance(order, str) else list(order)
+    kept = df.where(is_digits(F.col(no))).withColumn("__n", to_int(F.col(no))).withColumn("__b", bucket)
+    # One ordered pass: resets inside each (keys, bucket) from the previous row's number;
+    # the first row of a bucket compares with the previous bucket's last number, which
+    # the one-row-per-bucket summary supplies along with the resets before the bucket.
+    part = [*keys, "__b"]
+    w = Window.partitionBy(*part).orderBy(*order)
+    prev = F.lag("__n").over(w)
+    kept = kept.withColumn("__r", F.when(prev.isNotNull() & (F.col("__n") < prev), 1).otherwise(0))
+    kept = kept.withColumn("__c", F.sum("__r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    ordkey = F.struct(*[F.col(c) for c in order])
+    summ = kept.groupBy(*part).agg(
+        F.min_by("__n", ordkey).alias("__first_n"),
+        F.max_by("__n", ordkey).alias("__last_n"),
+        F.sum("__r").alias("__inner"),
+    )
+    wb = Window.partitionBy(*keys).orderBy("__b")
+    prev_last = F.coalesce(F.lag("__last_n").over(wb), F.lit(first))
+    summ = summ.withColumn("__first_r", F.when(F.col("__first_n") < prev_last, 1).otherwise(0))
+    summ = summ.withColumn(
+        "__before",
+        F.coalesce(F.sum(F.col("__inner") + F.col("__first_r")).over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+    )
+    kept = kept.join(summ.select(*part, "__first_r", "__before"), part, "left")
+    kept = kept.withColumn("__sec", F.col("__before") + F.col("__first_r") + F.col("__c"))
     lv = F.array(*[F.lit(x) for x in levels])
     return (
         kept.where(F.col("__sec") <= F.lit(len(levels)))
         .withColumn(out, F.when(F.col("__sec") > 0, F.get(lv, (F.col("__sec") - 1).cast("int"))))
         .withColumn("section", F.col("__sec").cast("bigint"))
-        .drop("__n", "__prev", "__sec")
+        .drop("__n", "__b", "__r", "__c", "__first_r", "__before", "__sec")
     )
 
 

@@ -88,3 +88,15 @@ def test_keyed_batch_writer_is_idempotent(spark):
     w(df, 7)
     w(df, 7)  # replay of the same batch replaces its own output
     assert spark.read.parquet(out).count() == 1
+
+
+def test_dedupe_within_watermark(spark):
+    src = tempfile.mkdtemp(prefix="gw-wm-src-")
+    rows = [("u1", "2024-01-01 00:00:00"), ("u1", "2024-01-01 00:10:00"), ("u2", "2024-01-01 00:20:00")]
+    df = spark.createDataFrame(rows, "url string, t string").selectExpr("url", "cast(t as timestamp) as arrived")
+    df.write.mode("overwrite").parquet(src)
+    stream = spark.readStream.schema(df.schema).parquet(src)
+    q = S.drop_seen_urls(stream, arrival="arrived", delay="1 hour").writeStream.format("memory").queryName("gw_wm").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r.url for r in spark.sql("SELECT url FROM gw_wm").collect()) == ["u1", "u2"]
