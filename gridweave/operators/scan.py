@@ -64,19 +64,20 @@ def carry_last(
     hi = 0 if inclusive else -1
     part = Window.partitionBy(*keys, b).orderBy(*order)
     local = base.withColumn("__local", F.last(v, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, hi)))
-    if not inclusive:
-        local = local.withColumn("__upto", F.last(v, ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    else:
-        local = local.withColumn("__upto", F.col("__local"))
-    # One row per bucket: its last non-null value, read off the windowed rows, so this
-    # aggregate shares the window's partitioning (no extra exchange).
+    # One row per bucket: its last non-null value. An aggregate over the same input
+    # (same hash partitioning, so the exchange is shared) rather than over the windowed
+    # rows, so the window itself runs once.
     ordkey = F.struct(*[F.col(o) for o in order])
-    summary = local.groupBy(*keys, b).agg(F.max_by(F.col("__upto"), ordkey).alias("__blast"))
+    # every bucket gets a summary row (it must receive an incoming value even when it
+    # has no value of its own); only non-null values compete for "last"
+    summary = base.groupBy(*keys, b).agg(
+        F.max_by(F.col(v), F.when(F.col(v).isNotNull(), ordkey)).alias("__blast")
+    )
     w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(*keys, b, F.last("__blast", ignorenulls=True).over(w_b).alias("__incoming"))
     joined = local.join(summary, on=[*keys, b], how="left")
     res = joined.withColumn(out, F.coalesce(F.col("__local"), F.col("__incoming"))).drop(
-        "__local", "__upto", "__incoming", v
+        "__local", "__incoming", v
     )
     return res.drop(_B) if added else res
 
@@ -97,7 +98,7 @@ def running_sum(
     base = base.withColumn(v, F.coalesce(value, F.lit(0)))
     w_local = Window.partitionBy(*keys, b).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumn("__local", F.sum(v).over(w_local))
-    summary = local.groupBy(*keys, b).agg(F.sum(v).alias("__btotal"))
+    summary = base.groupBy(*keys, b).agg(F.sum(v).alias("__btotal"))
     w_b = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     summary = summary.select(
         *keys, b, F.coalesce(F.sum("__btotal").over(w_b), F.lit(0)).alias("__incoming")
