@@ -73,23 +73,38 @@ def links_in(
     )
 
 
-def neighbour_text(links: DataFrame, elements: DataFrame, tokens: DataFrame, parent_tag: str) -> DataFrame:
-    """L3: for links from :func:`links_in`-like input carrying ``start``/``end``, the text
-    of the innermost enclosing ``parent_tag`` element (the row or item the link sits in).
+def neighbour_text(
+    links: DataFrame,
+    elements: DataFrame,
+    tokens: DataFrame,
+    parent_tag: str,
+    sibling_tag: str | None = None,
+) -> DataFrame:
+    """L3: a value next to each link. ``links`` carry ``page_id``, ``start``, ``end``.
+
+    Without ``sibling_tag``: the text of the innermost enclosing ``parent_tag`` element
+    (the row or item the link sits in). With it: the text of the first ``sibling_tag``
+    element inside that parent (a date beside a title; use a tag other than the link's).
+    Containment goes through the bucketed interval join, never all pairs of a page.
     """
     par = elements.where(F.col("tag") == parent_tag).select(
         "page_id", F.col("start").alias("o_start"), F.col("end").alias("o_end")
     )
     j = contained_in(links, par).withColumnRenamed("o_start", "p_start").withColumnRenamed("o_end", "p_end")
     inner = j.groupBy(*links.columns).agg(F.max_by(F.struct("p_start", "p_end"), "p_start").alias("p"))
-    ptxt = element_text(
-        inner.select("page_id", F.col("p.p_start").alias("start"), F.col("p.p_end").alias("end")).distinct(), tokens
+    inner = inner.select(*links.columns, F.col("p.p_start").alias("p_start"), F.col("p.p_end").alias("p_end"))
+    if sibling_tag is None:
+        targets = inner.select("page_id", "p_start", F.col("p_start").alias("start"), F.col("p_end").alias("end"))
+    else:
+        sib = elements.where(F.col("tag") == sibling_tag).select("page_id", "start", "end")
+        parents = inner.select("page_id", F.col("p_start").alias("o_start"), F.col("p_end").alias("o_end")).distinct()
+        cand = contained_in(sib, parents).withColumnRenamed("o_start", "p_start")
+        first = cand.groupBy("page_id", "p_start").agg(F.min_by(F.struct("start", "end"), "start").alias("s"))
+        targets = first.select("page_id", "p_start", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    txt = element_text(targets.select("page_id", "p_start", "start", "end").distinct(), tokens)
+    return inner.join(txt.select("page_id", "p_start", F.col("text").alias("neighbour")), ["page_id", "p_start"], "left").drop(
+        "p_start", "p_end"
     )
-    return inner.join(
-        ptxt.select("page_id", F.col("start").alias("ps"), F.col("text").alias("neighbour")),
-        (inner.page_id == ptxt.page_id) & (F.col("p.p_start") == F.col("ps")),
-        "left",
-    ).drop(ptxt.page_id).drop("ps", "p")
 
 
 def label_links(links: DataFrame, labels: Sequence[str], order: Sequence[str] = ("page_id", "pos")) -> DataFrame:

@@ -53,3 +53,15 @@ def test_rowspan_edge_cases(spark):
     out = {r.row_idx: r.cells for r in PG.fill_rowspan(g).collect()}
     assert out[1] == ["a", "e", "c"]
     assert out[2] == ["f", "g", "c"]  # index 2 clamps to the row end
+
+
+def test_neighbour_sibling(spark):
+    html = "<ul><li><a href='/x'>Title one</a><span>2019-01-02</span></li><li><a href='/y'>Two</a><span>2020</span><span>x</span></li></ul>"
+    p = spark.createDataFrame([(1, "http://s.org/", html)], "page_id bigint, url string, html string")
+    t = PG.page_tokens(p)
+    el = PG.page_elements(p, t)
+    anchors = el.where(F.col("tag") == "a").select("page_id", "start", "end")
+    sib = sorted((r.start, r.neighbour) for r in LK.neighbour_text(anchors, el, t, "li", "span").collect())
+    assert [n for _, n in sib] == ["2019-01-02", "2020"]
+    par = sorted((r.start, r.neighbour) for r in LK.neighbour_text(anchors, el, t, "li").collect())
+    assert [n for _, n in par] == ["Title one2019-01-02", "Two2020x"]
