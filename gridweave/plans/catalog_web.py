@@ -204,7 +204,8 @@ def q_children(spark, sf):
 
 @register("extract_links")
 def q_links(spark, sf):
-    return _links(spark, sf).select("page_id", "pos", "href", "dst_url", "text")
+    # runs L1 on the pages (the other link queries read its result as their input)
+    return LK.extract_links(fx.pages(spark, sf)).select("page_id", "pos", "href", "dst_url", "text")
 
 
 @register("links_in_container")

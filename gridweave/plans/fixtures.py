@@ -70,14 +70,21 @@ def grid(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFram
     Written once per session and data folder to the shared checkpoint folder, like an
     input table on disk, and read from there by every query that uses it.
     """
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if materialize and key in _WRITTEN:
-        return spark.read.parquet(_WRITTEN[key])
-    out = _build_grid(spark, sf_dir)
     if not materialize:
-        return out
-    written = cut_lineage(out)
-    _WRITTEN[key] = written.inputFiles()[0].rsplit("/", 1)[0]
+        return _build_grid(spark, sf_dir)
+    return _written_once(spark, sf_dir, "grid", lambda: _build_grid(spark, sf_dir))
+
+
+def _written_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Stand-in input tables are written once per session and data folder to the shared
+    checkpoint folder and read back from there, like input tables on disk."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key in _WRITTEN:
+        return spark.read.parquet(_WRITTEN[key])
+    written = cut_lineage(build())
+    files = written.inputFiles()
+    if files:
+        _WRITTEN[key] = files[0].rsplit("/", 1)[0]
     return written
 
 
@@ -156,9 +163,10 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`links`: every page's anchors (the L1 operator over `pages`), written once."""
     from gridweave.operators.links import extract_links
 
-    return extract_links(pages(spark, sf_dir))
+    return _written_once(spark, sf_dir, "links", lambda: extract_links(pages(spark, sf_dir)))
 
 
 def tree_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
