@@ -226,3 +226,26 @@ def q_heading_lines(spark, sf):
         out="heading",
     )
     return SH.lines_to_records(carried, "line", LINE_PATTERNS).select("doc_id", "pos", "heading", "email", "year")
+
+
+@register("rowspan_pairs")
+def q_rowspan_pairs(spark, sf):
+    """T5 -> T6 -> E5 as in the merged-cell table spider: parse the rendered tables, fill
+    rowspans down, then turn the column pairs (1, 2) and (3, 4) of every full row into two
+    records each, skipping each table's first row."""
+    pg = fx.grid_html(spark, sf, rowspans=True)
+    g = PG.fill_rowspan(PG.html_tables(pg)).where(F.size("cells") == 5)
+    g = g.select(
+        (F.col("doc").cast("bigint") / 100000).cast("bigint").alias("table_id"),
+        (F.col("doc").cast("bigint") % 100000).alias("block"),
+        "row_idx",
+        *[F.col("cells")[i].alias(f"c{i}") for i in range(5)],
+    )
+    out = SH.unpivot_pairs(g, ["table_id", "block", "row_idx"], [("c1", "c2"), ("c3", "c4")], ("a", "b"), order="row_idx")
+    return out.select(
+        "table_id",
+        (F.col("block") * fx.RENDER_BLOCK + F.col("row_idx")).cast("bigint").alias("row_idx"),
+        F.col("pair_no").cast("bigint").alias("pair_no"),
+        "a",
+        "b",
+    )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from gridweave.plans.catalog_shape import HEADING_RE, LINE_PATTERNS, MULTI_RULES, OUTPUTS, SECTION_LEVELS
-from gridweave.plans.fixtures import GRID_RULES
+from gridweave.plans.fixtures import GRID_RULES, RENDER_BLOCK
 from gridweave.plans.oracle import GRID_CTES, WITH_MAP, extract, fuzzy, q
 from gridweave.plans.oracle_web import clean
 
@@ -209,4 +209,13 @@ x AS (
   FROM c WHERE NOT is_h)
 SELECT doc_id, pos, heading, coalesce(email, '') AS email, coalesce(year, '') AS year FROM x
 WHERE email IS NOT NULL OR year IS NOT NULL""",
+    "rowspan_pairs": "WITH "
+    + GRID_CTES
+    + f""",
+c AS (
+  SELECT table_id, row_idx, list_transform(cells, lambda x: {clean("x")}) AS cl
+  FROM grid WHERE len(cells) = 5 AND row_idx % {RENDER_BLOCK} <> 0)
+SELECT table_id, row_idx, CAST(0 AS BIGINT) AS pair_no, cl[2] AS a, cl[3] AS b FROM c
+UNION ALL
+SELECT table_id, row_idx, CAST(1 AS BIGINT), cl[4], cl[5] FROM c""",
 }
