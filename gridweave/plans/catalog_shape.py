@@ -249,3 +249,16 @@ def q_rowspan_pairs(spark, sf):
         "a",
         "b",
     )
+
+
+@register("labelled_records")
+def q_labelled_records(spark, sf):
+    """L7 + L9 + M5 + L12 as in the label-carrying spiders: expand the frontier from the
+    region seeds one level (nation pages inherit the region label), map each nation
+    page's table, and attach the label its page carried."""
+    from gridweave.operators import frontier as FR
+
+    reach = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf), max_depth=1, labels=True)
+    rec = _records(spark, sf).withColumn("url", F.concat(F.lit("n/"), F.col("table_id").cast("string")))
+    out = FR.lookup(rec, reach.select("url", F.col("labels")["region"].alias("region")), "url", "left")
+    return out.select("doc", "table_id", "row_idx", "cust_key", "cust_name", "region")

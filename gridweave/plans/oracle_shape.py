@@ -218,4 +218,7 @@ c AS (
 SELECT table_id, row_idx, CAST(0 AS BIGINT) AS pair_no, cl[2] AS a, cl[3] AS b FROM c
 UNION ALL
 SELECT table_id, row_idx, CAST(1 AS BIGINT), cl[4], cl[5] FROM c""",
+    "labelled_records": WITH_MAP
+    + """SELECT r.doc, r.table_id, r.row_idx, r.cust_key, r.cust_name, x.r_name AS region
+FROM records r LEFT JOIN nation n ON n.n_nationkey = r.table_id LEFT JOIN region x ON x.r_regionkey = n.n_regionkey""",
 }
