@@ -18,12 +18,14 @@ def _dynamic_overwrite(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
 
 
-def write_csv(records: DataFrame, path: str, columns: Sequence[str], key: str = "key") -> None:
+def write_csv(records: DataFrame, path: str, columns: Sequence[str], key: str = "key", bom: bool = False) -> None:
     """K2: one CSV folder per key, header = the record columns (fixed per rule set),
-    UTF-8; existing output of the same keys is replaced."""
+    UTF-8; existing output of the same keys is replaced. ``bom`` starts each header with
+    a byte-order mark, as spreadsheet tools expect (the reference writes one)."""
     _dynamic_overwrite(records.sparkSession)
+    cols = [F.col(c).alias(("\ufeff" + c) if (bom and i == 0) else c) for i, c in enumerate(columns)]
     (
-        records.select(*columns, key)
+        records.select(*cols, key)
         .write.mode("overwrite")
         .partitionBy(key)
         .option("header", True)

@@ -29,7 +29,8 @@ def route_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_postfix = F.lit(None).cast("string")
     for pfx, kind in reversed(POSTFIX_KINDS):
         by_postfix = F.when(pf == pfx, F.lit(kind)).otherwise(by_postfix)
-    ctype = F.coalesce(F.col("content_type"), F.lit(""))
+    has_ct = "content_type" in pages.columns
+    ctype = F.coalesce(F.col("content_type"), F.lit("")) if has_ct else F.lit("")
     kind = F.when(ctype.contains("text/html"), F.lit("html")).otherwise(by_postfix)
     x = pages.withColumn("kind", kind)
     return x.where(F.col("kind").isNotNull()), x.where(F.col("kind").isNull()).drop("kind")

@@ -100,3 +100,16 @@ def test_dedupe_within_watermark(spark):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.url for r in spark.sql("SELECT url FROM gw_wm").collect()) == ["u1", "u2"]
+
+
+def test_csv_bom_and_route_without_content_type(spark):
+    from gridweave.sources.pages import route_pages
+
+    base = tempfile.mkdtemp(prefix="gw-bom-")
+    df = spark.createDataFrame([("a", "1", "k")], "name string, n string, key string")
+    write_csv(df, base, ["name", "n"], bom=True)
+    part = [f for f in os.listdir(os.path.join(base, "key=k")) if f.endswith(".csv")][0]
+    with open(os.path.join(base, "key=k", part), "rb") as f:
+        assert f.read().startswith("﻿name,n".encode("utf-8"))
+    ok, rej = route_pages(spark.createDataFrame([(1, "http://a/x.pdf")], "page_id bigint, url string"))
+    assert [r.kind for r in ok.collect()] == ["pdf"] and rej.count() == 0
