@@ -295,6 +295,11 @@ def _esc(c):
 
 
 def grid_html(spark: SparkSession, sf_dir: str, rowspans: bool = False) -> DataFrame:
+    """Rendered pages, written once per session (see :func:`_render_grid_html`)."""
+    return _written_once(spark, sf_dir, f"grid_html_{rowspans}", lambda: _render_grid_html(spark, sf_dir, rowspans))
+
+
+def _render_grid_html(spark: SparkSession, sf_dir: str, rowspans: bool = False) -> DataFrame:
     """`grid_html`: the grid rendered as HTML pages of RENDER_BLOCK rows each
     (page_id = table_id * 100000 + block). With ``rowspans``, equal neighbours in the
     last two columns are merged into ``rowspan="2"`` cells, and a block's last
