@@ -262,3 +262,32 @@ def q_labelled_records(spark, sf):
     rec = _records(spark, sf).withColumn("url", F.concat(F.lit("n/"), F.col("table_id").cast("string")))
     out = FR.lookup(rec, reach.select("url", F.col("labels")["region"].alias("region")), "url", "left")
     return out.select("doc", "table_id", "row_idx", "cust_key", "cust_name", "region")
+
+
+ITEM_FIELDS = ("cust_key", "cust_name", "balance", "segment")
+
+
+@register("json_list")
+def q_json_list(spark, sf):
+    """K1 -> K3: items routed to the JSON sink are written as keyed JSON lists (into the
+    shared checkpoint folder) and read back as the list reader sees them."""
+    import os
+    import uuid
+
+    from gridweave.session import checkpoint_dir
+    from gridweave.sinks.files import write_json_list
+
+    routed = _routed(spark, sf).where(F.col("sink") == "json")
+    items = routed.withColumn(
+        "data_item", F.map_from_arrays(F.array(*[F.lit(f) for f in ITEM_FIELDS]), F.array(*[F.col(f) for f in ITEM_FIELDS]))
+    )
+    path = os.path.join(checkpoint_dir(spark), f"gw-json-{uuid.uuid4().hex}")
+    write_json_list(items, path, ["doc", "table_id", "row_idx"])
+    back = spark.read.schema("seq struct<doc:string,table_id:bigint,row_idx:bigint>, record string").json(path)
+    return back.select(
+        "key",
+        "record",
+        F.col("seq.doc").alias("seq_doc"),
+        F.col("seq.table_id").alias("seq_table_id"),
+        F.col("seq.row_idx").alias("seq_row_idx"),
+    )

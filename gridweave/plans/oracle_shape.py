@@ -221,4 +221,10 @@ SELECT table_id, row_idx, CAST(1 AS BIGINT), cl[4], cl[5] FROM c""",
     "labelled_records": WITH_MAP
     + """SELECT r.doc, r.table_id, r.row_idx, r.cust_key, r.cust_name, x.r_name AS region
 FROM records r LEFT JOIN nation n ON n.n_nationkey = r.table_id LEFT JOIN region x ON x.r_regionkey = n.n_regionkey""",
+    "json_list": WITH_MAP
+    + ROUTED
+    + """
+SELECT key, CAST(to_json(map(['cust_key', 'cust_name', 'balance', 'segment'], [cust_key, cust_name, balance, segment])) AS VARCHAR) AS record,
+       doc AS seq_doc, table_id AS seq_table_id, row_idx AS seq_row_idx
+FROM routed WHERE sink = 'json'""",
 }
