@@ -291,3 +291,23 @@ def q_json_list(spark, sf):
         F.col("seq.table_id").alias("seq_table_id"),
         F.col("seq.row_idx").alias("seq_row_idx"),
     )
+
+
+@register("csv_files")
+def q_csv_files(spark, sf):
+    """K1 -> K2: items routed to the CSV sink are written as one CSV folder per key with
+    a header row (into the shared checkpoint folder) and read back."""
+    import os
+    import uuid
+
+    from gridweave.session import checkpoint_dir
+    from gridweave.sinks.files import write_csv
+
+    routed = _routed(spark, sf).where(F.col("sink") == "csv")
+    path = os.path.join(checkpoint_dir(spark), f"gw-csv-{uuid.uuid4().hex}")
+    cols = ["doc", "table_id", "row_idx", *ITEM_FIELDS]
+    write_csv(routed, path, cols)
+    schema = "doc string, table_id bigint, row_idx bigint, " + ", ".join(f"{c} string" for c in ITEM_FIELDS)
+    # empty fields are values here (records default to empty strings), not nulls
+    back = spark.read.option("header", True).option("nullValue", "\\N").schema(schema).csv(path)
+    return back.select("key", *cols)

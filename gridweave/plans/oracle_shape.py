@@ -227,4 +227,8 @@ FROM records r LEFT JOIN nation n ON n.n_nationkey = r.table_id LEFT JOIN region
 SELECT key, CAST(to_json(map(['cust_key', 'cust_name', 'balance', 'segment'], [cust_key, cust_name, balance, segment])) AS VARCHAR) AS record,
        doc AS seq_doc, table_id AS seq_table_id, row_idx AS seq_row_idx
 FROM routed WHERE sink = 'json'""",
+    "csv_files": WITH_MAP
+    + ROUTED
+    + """
+SELECT key, doc, table_id, row_idx, cust_key, cust_name, balance, segment FROM routed WHERE sink = 'csv'""",
 }
