@@ -311,3 +311,62 @@ def q_csv_files(spark, sf):
     # empty fields are values here (records default to empty strings), not nulls
     back = spark.read.option("header", True).option("nullValue", "\\N").schema(schema).csv(path)
     return back.select("key", *cols)
+
+
+def _stream_dir(spark, kind: str) -> str:
+    import os
+    import uuid
+
+    from gridweave.session import checkpoint_dir
+
+    return os.path.join(checkpoint_dir(spark), f"gw-{kind}-{uuid.uuid4().hex}")
+
+
+@register("stream_url_counts")
+def q_stream_url_counts(spark, sf):
+    """R2 + R4: mapped items arrive as files, one file per micro-batch; running counts
+    per URL are kept as streaming state, and every micro-batch writes the complete
+    counts under its batch id. The result is the last batch's output."""
+    from gridweave.streaming import stream as S
+
+    src, out = _stream_dir(spark, "items"), _stream_dir(spark, "counts")
+    items = _items(spark, sf).select("url", "doc", "table_id", "row_idx")
+    items.repartition(4, "doc", "table_id").write.parquet(src)
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = (
+        S.running_url_counts(stream)
+        .writeStream.outputMode("complete")
+        .foreachBatch(S.keyed_batch_writer(out, lambda b: b))
+        .option("checkpointLocation", out + "-ckpt")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    # batch_id is a partition column of the output; keep the last one (scalar subquery)
+    allb = spark.read.parquet(out)
+    last = allb.agg(F.max("batch_id").alias("m")).scalar()
+    return allb.where(F.col("batch_id") == last).select("url", "n")
+
+
+@register("stream_seen_urls")
+def q_stream_seen_urls(spark, sf):
+    """Pages arrive twice (two file drops of the whole table); the stream keeps each
+    URL once."""
+    src, out = _stream_dir(spark, "pages"), _stream_dir(spark, "seen")
+    pages = fx.pages(spark, sf).select("page_id", "url")
+    pages.write.parquet(src + "/drop=1")
+    pages.write.parquet(src + "/drop=2")
+    from gridweave.streaming import stream as S
+
+    stream = spark.readStream.schema("page_id bigint, url string").option("recursiveFileLookup", True).parquet(src)
+    q = (
+        S.drop_seen_urls(stream)
+        .select("url")
+        .writeStream.format("parquet")
+        .option("path", out)
+        .option("checkpointLocation", out + "-ckpt")
+        .trigger(availableNow=True)
+        .start()
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out).select("url")

@@ -231,4 +231,6 @@ FROM routed WHERE sink = 'json'""",
     + ROUTED
     + """
 SELECT key, doc, table_id, row_idx, cust_key, cust_name, balance, segment FROM routed WHERE sink = 'csv'""",
+    "stream_url_counts": WITH_MAP + ITEMS + "\nSELECT url, count(*) AS n FROM items GROUP BY url",
+    "stream_seen_urls": "SELECT DISTINCT url FROM pages",
 }
