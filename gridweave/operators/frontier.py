@@ -2,9 +2,10 @@
 redirect aliases, fallbacks, lookups and diagnostics (L6-L13).
 
 Expansion is a driver loop over *levels* (never over rows): each level is one join of
-the new frontier with the edge table, an anti-join against everything visited, and a
-reliable checkpoint of the visited set into the shared checkpoint folder, so lineage
-stays short and a lost executor recomputes one level at most.
+the new frontier with the edge table and an anti-join against the levels already
+visited; the level is written once as a table in the shared checkpoint folder, so
+lineage stays short and a lost executor recomputes one level at most. A hot source URL
+is a skewed join key, which adaptive execution splits.
 """
 
 from __future__ import annotations

@@ -6,12 +6,14 @@ Rules: ``ord INT, kind STRING ('attr' | 'select'), source STRING, target STRING,
 
 Plan shape (per grid):
 
-* cell hits: ``posexplode`` of the cells, theta join with the (broadcast, size-checked)
-  label list on the fuzzy matcher, pre-filtered on length;
-* header rows: two partial-aggregating group-bys (cell, then row);
-* header info joined back to the grid on the unique row key (AQE broadcasts it when small);
-* nearest header above and the end of its data region: two-level ordered scans
-  (:mod:`gridweave.operators.scan`), so a giant table is split over many tasks;
+* cell hits: ``posexplode`` of the cells; each label of the (size-checked) rule set is one
+  compiled regex evaluated in the scan (a broadcast theta join only for very large sets);
+* header rows: two partial-aggregating group-bys (cell, then row), written once as a small
+  table (one row per header);
+* nearest header above and the end of its data region: header rows are unioned into the
+  grid stream and one two-level ordered scan (window per ``(doc, table_id, bucket)`` plus
+  a per-bucket summary) finds both, so a giant table is split over many tasks and the
+  grid is shuffled once;
 * projection: pure array expressions on the carried header layout, no join per cell.
 """
 
