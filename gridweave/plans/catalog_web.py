@@ -314,3 +314,26 @@ def q_unmatched(spark, sf):
     p = fx.pages(spark, sf)
     out = FR.unmatched_selectors(_links(spark, sf), p, SELECTORS)
     return out.select("page_id", F.col("sel_ord").cast("bigint").alias("sel_ord"), "selector")
+
+
+@register("article_blocks")
+def q_article_blocks(spark, sf):
+    """T12 + T3 + E1 as in the block-class spider: the h1/p children of each article in
+    document order; a heading block labels the paragraph blocks after it."""
+    from gridweave.operators import shaping as SH
+
+    p = fx.pages(spark, sf)
+    t = PG.page_tokens(p)
+    el = PG.page_elements(p, t)
+    kids = PG.container_children(el, "tag", "article", ("h1", "p"))
+    txt = PG.element_text(kids.select("page_id", "c_start", "start", "end", "tag", "child_no"), t)
+    out = SH.carry_forward(
+        txt,
+        ["page_id", "c_start"],
+        "child_no",
+        F.col("tag") == "h1",
+        F.col("text"),
+        F.floor(F.col("child_no") / F.lit(4096)),
+        out="heading",
+    )
+    return out.select("page_id", "child_no", "heading", "text")
