@@ -56,3 +56,28 @@ def test_lines_to_records(spark):
     df = spark.createDataFrame([("mail a@b.org 1999",), ("nothing",), ("year 2020",)], "line string")
     out = SH.lines_to_records(df, "line", {"email": (r"\S+@\S+", 0), "year": (r"(19|20)\d\d", 0)}).collect()
     assert [(r.email, r.year) for r in out] == [("a@b.org", "1999"), ("", "2020")]
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.lists(st.tuples(st.sampled_from(["a", "b"]), st.one_of(st.none(), st.integers(0, 9))), min_size=1, max_size=40),
+    st.integers(1, 5),
+)
+def test_scans_match_python(spark, rows, bsize):
+    data = [(k, i, v) for i, (k, v) in enumerate(rows)]
+    df = spark.createDataFrame(data, "k string, i bigint, v bigint")
+    b = F.floor(F.col("i") / bsize)
+    inc = {r.i: r.c for r in carry_last(df, "k", "i", F.col("v"), "c", b).collect()}
+    exc = {r.i: r.c for r in carry_last(df, "k", "i", F.col("v"), "c", b, inclusive=False).collect()}
+    tot = {r.i: r.s for r in running_sum(df, "k", "i", F.col("v"), "s", b).collect()}
+    last, before, sums = {}, {}, {}
+    for k, i, v in data:
+        before[i] = last.get(k)
+        if v is not None:
+            last[k] = v
+        sums[k] = sums.get(k, 0) + (v or 0)
+        assert inc[i] == last.get(k) and exc[i] == before[i] and tot[i] == sums[k]
