@@ -81,3 +81,15 @@ def test_scans_match_python(spark, rows, bsize):
             last[k] = v
         sums[k] = sums.get(k, 0) + (v or 0)
         assert inc[i] == last.get(k) and exc[i] == before[i] and tot[i] == sums[k]
+
+
+@settings(max_examples=15, deadline=None)
+@given(
+    st.lists(st.one_of(st.integers(0, 150).map(str), st.sampled_from(["x", "1.0", "", None])), min_size=1, max_size=30),
+    st.integers(1, 4),
+)
+def test_sections_property(spark, nos, bsize):
+    levels = ["A", "B", "C"]
+    df = spark.createDataFrame([("p", i, n) for i, n in enumerate(nos)], "part string, i bigint, no string")
+    out = SH.sections_by_reset(df, "part", "i", "no", levels, F.floor(F.col("i") / bsize))
+    assert sorted((r.i, r.level) for r in out.collect()) == sections(nos, levels)
