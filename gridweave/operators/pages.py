@@ -74,11 +74,20 @@ def element_text(elements: DataFrame, tokens: DataFrame, bucket: int = 256) -> D
         "bk", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket)))
     )
     tx = tokens.where(F.col("kind") == "text").select(
-        "page_id", F.col("pos").alias("tpos"), F.col("tok").alias("ttok"), F.floor(F.col("pos") / bucket).alias("bk")
+        F.col("page_id").alias("__tp"),
+        F.col("pos").alias("tpos"),
+        F.col("tok").alias("ttok"),
+        F.floor(F.col("pos") / bucket).alias("__tbk"),
     )
-    j = el.join(tx, ["page_id", "bk"], "left").where(
-        F.col("tpos").isNull() | F.col("tpos").between(F.col("start"), F.col("end"))
+    # The range test is part of the join condition: an element without text inside
+    # keeps one row (with nulls) even when its bucket holds other text.
+    cond = (
+        (F.col("page_id") == F.col("__tp"))
+        & (F.col("bk") == F.col("__tbk"))
+        & (F.col("tpos") >= F.col("start"))
+        & (F.col("tpos") <= F.col("end"))
     )
+    j = el.join(tx, cond, "left").drop("__tp", "__tbk")
     keys = [c for c in elements.columns]
     agg = j.groupBy(*keys).agg(
         F.array_join(

@@ -65,3 +65,25 @@ def test_neighbour_sibling(spark):
     assert [n for _, n in sib] == ["2019-01-02", "2020"]
     par = sorted((r.start, r.neighbour) for r in LK.neighbour_text(anchors, el, t, "li").collect())
     assert [n for _, n in par] == ["Title one2019-01-02", "Two2020x"]
+
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+CELL = st.text("abcXYZ019&<>#é", max_size=4)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.lists(st.lists(CELL, min_size=1, max_size=4), min_size=1, max_size=5), min_size=1, max_size=3))
+def test_html_tables_roundtrip_property(spark, tables):
+    def esc(x):
+        return x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+    html = "<html><body>" + "".join(
+        "<p>t</p><table>" + "".join("<tr>" + "".join(f"<td>{esc(c)}</td>" for c in row) + "</tr>" for row in t) + "</table>"
+        for t in tables
+    ) + "</body></html>"
+    p = spark.createDataFrame([(7, "http://x/", html)], "page_id bigint, url string, html string")
+    got = {(r.table_id, r.row_idx): list(r.cells) for r in PG.html_tables(p).collect()}
+    want = {(t, r): row for t, tb in enumerate(tables) for r, row in enumerate(tb)}
+    assert got == want
