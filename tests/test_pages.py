@@ -87,3 +87,34 @@ def test_html_tables_roundtrip_property(spark, tables):
     got = {(r.table_id, r.row_idx): list(r.cells) for r in PG.html_tables(p).collect()}
     want = {(t, r): row for t, tb in enumerate(tables) for r, row in enumerate(tb)}
     assert got == want
+
+
+def _fill_model(rows):
+    rows = [list(r) for r in rows]
+    for ri in range(len(rows)):
+        for ci, (text, span) in enumerate(list(rows[ri])):
+            if span and span > 1:
+                for k in range(1, span):
+                    if ri + k >= len(rows):
+                        break
+                    rows[ri + k].insert(ci, (text, 0))
+    return [[t for t, _ in r] for r in rows]
+
+
+@settings(max_examples=12, deadline=None)
+@given(
+    st.lists(
+        st.lists(st.tuples(st.text("abc01", min_size=1, max_size=3), st.sampled_from([None, None, 1, 2, 3, 5])), min_size=1, max_size=4),
+        min_size=1,
+        max_size=6,
+    )
+)
+def test_rowspan_fill_property(spark, rows):
+    def td(text, span):
+        return f'<td rowspan="{span}">{text}</td>' if span is not None else f"<td>{text}</td>"
+
+    html = "<table>" + "".join("<tr>" + "".join(td(t, s) for t, s in r) + "</tr>" for r in rows) + "</table>"
+    p = spark.createDataFrame([(3, "http://x/", html)], "page_id bigint, url string, html string")
+    got = {r.row_idx: list(r.cells) for r in PG.fill_rowspan(PG.html_tables(p)).collect()}
+    want = _fill_model(rows)
+    assert [got[i] for i in range(len(rows))] == want
