@@ -86,3 +86,22 @@ def test_postfix_and_base_name(spark):
     rows = df.select(postfix("v").alias("p"), base_name("v").alias("b")).collect()
     assert [r.p for r in rows] == ["docx", "", "", "", "gz?v=1"]
     assert [r.b for r in rows] == ["file", "file", "", "", "x.tar"]
+
+
+SEG = st.sampled_from(["a", "b", ".", "..", "", "x.html"])
+
+
+@settings(max_examples=20, deadline=None)
+@given(
+    st.lists(st.tuples(st.lists(SEG, max_size=4), st.lists(SEG, max_size=4), st.booleans(), st.sampled_from(["", "?q=1", "#f", "?a#b"])),
+             min_size=1, max_size=20)
+)
+def test_resolve_property(spark, cases):
+    pairs = []
+    for base_segs, href_segs, absolute, tail in cases:
+        base = "http://h.org/" + "/".join(base_segs)
+        href = ("/" if absolute else "") + "/".join(href_segs) + tail
+        pairs.append((base, href))
+    df = spark.createDataFrame(pairs, "u string, h string")
+    got = [r.v for r in df.select(resolve_url("u", "h").alias("v")).collect()]
+    assert got == [urljoin(u, h) if h else u for u, h in pairs]
