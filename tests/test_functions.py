@@ -105,3 +105,11 @@ def test_resolve_property(spark, cases):
     df = spark.createDataFrame(pairs, "u string, h string")
     got = [r.v for r in df.select(resolve_url("u", "h").alias("v")).collect()]
     assert got == [urljoin(u, h) if h else u for u, h in pairs]
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.text(st.characters(blacklist_categories=("Cs",)), max_size=8), min_size=1, max_size=20))
+def test_quote_property(spark, vals):
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    got = [r.q for r in df.select(quote_url("v").alias("q")).collect()]
+    assert got == [quote(v, safe=";/?:@&=+$,", encoding="utf-8") for v in vals]
