@@ -118,3 +118,46 @@ def test_rowspan_fill_property(spark, rows):
     got = {r.row_idx: list(r.cells) for r in PG.fill_rowspan(PG.html_tables(p)).collect()}
     want = _fill_model(rows)
     assert [got[i] for i in range(len(rows))] == want
+
+
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+
+class _Anchors(HTMLParser):
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self._cur = [], None
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "a":
+            self._cur = [dict(attrs).get("href"), ""]
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self._cur is not None:
+            self.out.append(tuple(self._cur))
+            self._cur = None
+
+    def handle_data(self, data):
+        if self._cur is not None:
+            self._cur[1] += data
+
+
+WORD = st.text("abcXY019é&<>", min_size=0, max_size=5)
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["/p", "q.html", "../r", "", "?x=1"]), WORD, WORD), min_size=1, max_size=6))
+def test_extract_links_matches_stdlib_parser(spark, anchors):
+    def esc(x):
+        return x.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+
+    body = "".join(f'<li><a href="{h}">{esc(t)}<b>{esc(u)}</b></a></li>' for h, t, u in anchors)
+    html = f"<html><body><!-- <a href='/c'>no</a> --><ul>{body}</ul><script>var a='<a href=\"/s\">';</script></body></html>"
+    base = "http://s.org/d/e"
+    p = spark.createDataFrame([(1, base, html)], "page_id bigint, url string, html string")
+    got = [(r.href, r.dst_url, r.text) for r in LK.extract_links(p).orderBy("pos").collect()]
+    ref = _Anchors()
+    ref.feed(html)
+    want = [(h, urljoin(base, h) if h else base, t) for h, t in ref.out]
+    assert got == want
