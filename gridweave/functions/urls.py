@@ -68,7 +68,12 @@ def _remove_dots(path: Column, relative: Column) -> Column:
 def resolve_url(base, href) -> Column:
     """Resolve ``href`` against the page URL ``base`` (urljoin rules); a null or
     empty ``href`` gives the page URL itself."""
-    base, href = _c(base), _c(href)
+    base, raw = _c(base), _c(href)
+    # "//" followed by no authority is not a network-path reference: what follows is a
+    # path, query or fragment on the base's own host ("//" alone keeps the base minus
+    # its fragment).
+    no_auth = raw.rlike(r"^//([/?#]|$)")
+    href = F.when(no_auth, F.substr(raw, F.lit(3))).otherwise(raw)
     scheme = F.regexp_extract(base, URL_RE, 1)
     auth = F.regexp_extract(base, URL_RE, 2)
     bpath = F.regexp_extract(base, URL_RE, 4)
@@ -81,9 +86,10 @@ def resolve_url(base, href) -> Column:
     )
     path = _remove_dots(merged, ~hpath.startswith("/"))
     return (
-        F.when(href.isNull() | (href == ""), base)
+        F.when(raw.isNull() | (raw == ""), base)
+        .when(no_auth & (href == ""), F.regexp_replace(base, "#.*$", ""))
         .when(href.rlike(r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+        .when(raw.rlike(r"^//[^/?#]"), F.concat(scheme, F.lit(":"), raw))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(root, bpath, href))
         .otherwise(F.concat(root, path, hrest))
