@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from gridweave.llm import mixing, packing, pii, quality_mil, simhash_ball, token_files
+from gridweave.llm import adaptive_rules, itq, mixing, ngram_trie, packing, pii, quality_mil, simhash_ball, token_files
 from gridweave.llm.common import read
 
 
+def op1_elias_fano_trie(spark, sf_dir):
+    return ngram_trie.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op2_mix_sources(spark, sf_dir):
     return mixing.mixed_taken(read(spark, sf_dir, "documents"))
 
@@ -18,6 +22,10 @@ def op4_pii(spark, sf_dir):
     return pii.pii_digest(read(spark, sf_dir, "documents"))
 
 
+def op5_itq_near_dups(spark, sf_dir):
+    return itq.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op6_quality_mil(spark, sf_dir):
     return quality_mil.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -26,6 +34,10 @@ def op7_simhash_ball(spark, sf_dir):
     return simhash_ball.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op9_adaptive_rules(spark, sf_dir):
+    return adaptive_rules.apply_rules(read(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
@@ -36,5 +48,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_token_planes, op4_pii, op6_quality_mil, op7_simhash_ball, op10_best_fit_packing, pipeline)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_elias_fano_trie, op2_mix_sources, op3_token_planes, op4_pii, op5_itq_near_dups, op6_quality_mil, op7_simhash_ball, op9_adaptive_rules, op10_best_fit_packing, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op9_adaptive_rules": adaptive_rules.ORACLE}
