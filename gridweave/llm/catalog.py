@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import adaptive_rules, itq, mixing, ngram_trie, packing, pii, quality_mil, simhash_ball, token_files
+from gridweave.llm import adaptive_rules, itq, langid, mixing, ngram_trie, packing, pii, quality_mil, simhash_ball, token_files
 from gridweave.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op7_simhash_ball(spark, sf_dir):
     return simhash_ball.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_language_fusion(spark, sf_dir):
+    return langid.identify(read(spark, sf_dir, "pages"), *langid.learn_text(read(spark, sf_dir, "documents")))
+
+
 def op9_adaptive_rules(spark, sf_dir):
     return adaptive_rules.apply_rules(read(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_elias_fano_trie, op2_mix_sources, op3_token_planes, op4_pii, op5_itq_near_dups, op6_quality_mil, op7_simhash_ball, op9_adaptive_rules, op10_best_fit_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_elias_fano_trie, op2_mix_sources, op3_token_planes, op4_pii, op5_itq_near_dups, op6_quality_mil, op7_simhash_ball, op8_language_fusion, op9_adaptive_rules, op10_best_fit_packing, pipeline)}
 ORACLE_SQL: dict[str, str] = {"op9_adaptive_rules": adaptive_rules.ORACLE}
