@@ -97,8 +97,8 @@ def candidates(nodes: DataFrame) -> DataFrame:
     d = nodes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = d["d"] if d else 0
     some = nodes.where(F.size("embedding") == dim).orderBy(F.xxhash64("h1", "h2"), "node").limit(SAMPLE).select("embedding")
-    x = np.array([list(r["embedding"]) for r in some.toLocalIterator()], np.float64).reshape(-1, dim)
-    mean, axes = learn(_unit(x)) if len(x) and dim else (np.zeros(dim), np.zeros((dim, 0)))
+    x = np.array([list(r["embedding"]) for r in some.collect()], np.float64)  # bounded by SAMPLE
+    mean, axes = learn(_unit(x.reshape(len(x), dim))) if len(x) and dim else (np.zeros(dim), np.zeros((dim, 0)))
     coded = nodes.select("label", F.size("embedding").alias("d"), "node", code_column(dim, mean, axes)("embedding").alias("code"))
     part = lambda code, t: F.shiftrightunsigned(code, BAND * t).bitwiseAND(F.lit((1 << BAND) - 1).cast("bigint"))
     flips = [0] + [1 << k for k in range(BAND)]
