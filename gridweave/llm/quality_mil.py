@@ -173,7 +173,7 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def _slices(starts: np.ndarray, most: int = 4 << 20):
+def _slices(starts: np.ndarray, most: int = 1 << 19):
     """Ranges of texts of about ``most`` bytes (at least one text), which bounds memory."""
     lo, n = 0, len(starts) - 1
     while lo < n:
