@@ -7,6 +7,8 @@ code-generated, so callers pre-filter with cheap length checks where it matters.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,15 +16,11 @@ from pyspark.sql import functions as F
 # line feed, tab, carriage return, no-break space U+00A0, ideographic space U+3000, space.
 CLEAN_CHARS = "\n\t\r\u00a0\u3000 "
 
-# HTML entities decoded by node_text, as (entity, character).
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+#: Named character references of HTML 4 (the standard library's list) and ``apos``, as
+#: ``;name=c;name=c...``: looked up by position, one short literal in a plan.
+_NAMED = "".join(f";{n}={chr(c)}" for n, c in sorted({**name2codepoint, "apos": 39}.items()))
+#: What the numbers 128 to 159 stand for: Windows-1252, by its codec.
+_WINDOWS = "".join(bytes([n]).decode("cp1252", "replace") for n in range(128, 160))
 
 
 def _c(c) -> Column:
@@ -73,23 +71,47 @@ def clean_text(c) -> Column:
     return F.translate(_c(c), CLEAN_CHARS, "")
 
 
+# A reference: a number, or a name with its semicolon, or a name that ends a word.
+_REFERENCE = r"&(?:#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[a-zA-Z][a-zA-Z0-9]*;?)"
+
+
+def _reference(x: Column) -> Column:
+    bare = F.rtrim(F.substr(x, F.lit(2)), F.lit(";"))
+    number = F.when(bare.rlike("^#[xX]"), F.conv(F.substr(bare, F.lit(3)), 16, 10)).otherwise(F.substr(bare, F.lit(2))).try_cast("bigint")
+    char = (
+        F.when(number.between(128, 159), F.substr(F.lit(_WINDOWS), number.cast("int") - 127, F.lit(1)))
+        .when((number == 0) | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+    )
+    at = F.instr(F.lit(_NAMED), F.concat(F.lit(";"), bare, F.lit("=")))
+    named = F.when(at > 0, F.substr(F.lit(_NAMED), at + F.length(bare) + 2, F.lit(1))).otherwise(x)
+    return F.when(x.startswith("&#"), char).otherwise(named)
+
+
+def decode_references(c) -> Column:
+    """HTML character references decoded: decimal and hexadecimal numbers, and the named
+    ones of HTML 4. What is none (an unknown name, a lone ``&``) stays as it is. Give a
+    column rather than an expression: it is used more than once."""
+    c = _c(c)
+    parts = F.regexp_extract_all(c, F.lit(f"({_REFERENCE}|[^&]+|&)"), 1)
+    one = lambda x: F.when(x.rlike(f"^{_REFERENCE}$"), _reference(x)).otherwise(x)
+    return F.when(c.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(c)
+
+
 def node_text(c) -> Column:
-    """All text under an element: drop tags, decode the common entities."""
-    out = F.regexp_replace(_c(c), r"<[^>]*>", "")
-    for ent, ch in HTML_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """All text under an element: drop tags, decode character references."""
+    return decode_references(F.regexp_replace(_c(c), r"<[^>]*>", ""))
 
 
 def attr(tag_token, name: str) -> Column:
-    """Value of attribute ``name`` in an opening-tag token, null when absent."""
+    """Value of attribute ``name`` in an opening-tag token, references decoded; null
+    when absent."""
     tok = _c(tag_token)
     pat = r"""(?i)\s""" + name + r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
-    present = tok.rlike(pat)
     val = F.concat(
         F.regexp_extract(tok, pat, 1), F.regexp_extract(tok, pat, 2), F.regexp_extract(tok, pat, 3)
     )
-    return F.when(present, val)
+    return F.when(tok.rlike(pat), decode_references(val))
 
 
 def matches(c, regex: str) -> Column:

@@ -17,82 +17,89 @@ from pyspark.sql import functions as F
 
 from gridweave.session import cut_lineage
 
-# Lookup tables at or under this many rows are broadcast; larger ones are shuffled.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after checking it has at most ``max_rows`` rows."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
 
 def assign_steps(frontier: DataFrame, links: DataFrame, steps: DataFrame) -> DataFrame:
-    """Each page's links are tested against its step's conditions (regex on the link
-    text); a matching link gets the condition's child step, a ``next`` condition gives
-    the page's own step. With several matches per destination, the last one written
-    (condition order, then link order) wins.
-
-    frontier: url, step_id; links: src_url, pos, dst_url, text;
-    steps: step_id, cond_ord, regex, child_step, is_next.
+    """Each page's links are tested against its step's conditions; a matching link gets
+    the condition's child step, a ``next`` condition gives the page's own step. With
+    several matches per destination, the last one written (greatest source URL, condition
+    order, then link order) wins.
+
+    A condition tests the link's place, where ``steps`` has a column ``selector`` (see
+    :func:`gridweave.operators.selectors.matches_path`; links then carry ``path``), and its
+    text, where there is a ``regex``. A condition without a selector assigns nothing then.
+    Steps are configuration: they are read once and compiled into the projection, so every
+    pattern is a literal.
+
+    frontier: url, step_id; links: src_url, pos, dst_url, text [, path];
+    steps: step_id, cond_ord, regex, child_step, is_next [, selector].
     """
-    st = sized_broadcast(steps)
+    from gridweave.operators.selectors import matches_path
+
+    by_step: dict = {}
+    for c in steps.collect():
+        by_step.setdefault(c["step_id"], []).append(c)
+    found = F.array().cast("array<struct<cond_ord:int,step:string>>")
+    own = F.col("step_id")
+    for step, conditions in by_step.items():
+        hits = []
+        for c in sorted(conditions, key=lambda c: c["cond_ord"]):
+            ok = F.lit(True)
+            if "selector" in steps.columns:
+                ok = F.lit(False) if c["selector"] is None else matches_path(F.col("path"), c["selector"])
+            if c["regex"] is not None:
+                ok = ok & F.coalesce(F.col("text").rlike(c["regex"]), F.lit(False))
+            to = own if c["is_next"] else F.lit(c["child_step"]).cast("string")
+            hits.append(F.when(ok, F.struct(F.lit(c["cond_ord"]).cast("int").alias("cond_ord"), to.alias("step"))))
+        found = F.when(own == step, F.array_compact(F.array(*hits))).otherwise(found)
     f = frontier.select(F.col("url").alias("src_url"), "step_id")
-    j = f.join(st, "step_id").join(links, "src_url")
-    j = j.where(F.coalesce(F.regexp_like(F.col("text"), F.col("regex")), F.lit(False)) | F.col("regex").isNull())
-    new_step = F.when(F.col("is_next"), F.col("step_id")).otherwise(F.col("child_step"))
-    j = j.withColumn("new_step", new_step)
+    j = f.join(links, "src_url").select("src_url", "pos", "dst_url", F.explode(found).alias("c"))
     return j.groupBy(F.col("dst_url").alias("url")).agg(
-        F.max_by("new_step", F.struct("src_url", "cond_ord", "pos")).alias("step_id")
+        F.max_by("c.step", F.struct("src_url", "c.cond_ord", "pos")).alias("step_id")
     )
 
 
-def expand(
-    seeds: DataFrame,
-    edges: DataFrame,
-    max_depth: int = 16,
-    labels: bool = False,
-) -> DataFrame:
-    """L7 (+L9 with ``labels``): breadth-first reach from ``seeds`` over ``edges``; every
-    URL is visited once, at its smallest depth.
+def _overlay(below: Column, above: Column) -> Column:
+    """Two maps as one; where both have a key, the second's value stays."""
+    kept = F.map_filter(below, lambda k, v: ~F.array_contains(F.map_keys(above), k))
+    return F.map_concat(kept, above)
+
+
+#: Written levels are merged into one table whenever so many have come together.
+MERGE_LEVELS = 8
+
+
+def expand(seeds: DataFrame, edges: DataFrame, labels: bool = False) -> DataFrame:
+    """L7 (+L9 with ``labels``): breadth-first reach from ``seeds`` over ``edges``, until
+    nothing new is found; every URL is visited once, at its smallest depth.
 
     seeds: url (+ labels MAP<STRING,STRING>); edges: src_url, dst_url (+ label MAP).
-    With labels, a child's map is the parent's map overlaid by the edge's (child wins,
-    ``spark.sql.mapKeyDedupPolicy=LAST_WIN``); a URL reached from several parents at the
-    same depth takes the parent with the greatest URL (deterministic "last writer").
+    With labels, a child's map is the parent's map overlaid by the edge's (child wins);
+    a URL reached from several parents at the same depth takes the parent with the
+    greatest URL (deterministic "last writer").
 
+    Edges are written once; each level is one join with them and one anti-join with the
+    visited URLs, of which few tables are ever read (levels are merged as they come).
     Output: url, depth (+ labels).
     """
-    spark = seeds.sparkSession
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     cols = ["url", "depth"] + (["labels"] if labels else [])
-    start = seeds.select(
-        "url",
-        F.lit(0).cast("int").alias("depth"),
-        *([F.col("labels")] if labels else []),
-    ).dropDuplicates(["url"])
-    e = edges.select("src_url", "dst_url", *(["label"] if labels else []))
-    # Each level is written once; "visited" is the union of the written levels.
+    start = seeds.select("url", F.lit(0).cast("int").alias("depth"), *(["labels"] if labels else [])).dropDuplicates(["url"])
+    e = cut_lineage(edges.select("src_url", "dst_url", *(["label"] if labels else [])))
     levels = [cut_lineage(start)]
-    frontier = levels[0]
-    for d in range(1, max_depth + 1):
-        visited = _union(levels)
+    frontier, depth = levels[0], 0
+    while not frontier.isEmpty():
+        depth += 1
         step = frontier.join(e, frontier.url == e.src_url)
         if labels:
-            nxt = step.groupBy(F.col("dst_url").alias("url")).agg(
-                F.max_by(
-                    F.map_concat(F.col("labels"), F.coalesce(F.col("label"), F.create_map().cast("map<string,string>"))),
-                    F.col("src_url"),
-                ).alias("labels")
-            )
+            none = F.create_map().cast("map<string,string>")
+            merged = _overlay(F.coalesce("labels", none), F.coalesce("label", none))
+            nxt = step.groupBy(F.col("dst_url").alias("url")).agg(F.max_by(merged, F.col("src_url")).alias("labels"))
         else:
             nxt = step.select(F.col("dst_url").alias("url")).distinct()
-        nxt = nxt.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(d).cast("int"))
-        nxt = cut_lineage(nxt.select(*cols))
-        if nxt.isEmpty():
-            break
-        levels.append(nxt)
-        frontier = nxt
+        nxt = nxt.where(F.col("url").isNotNull()).join(_union(levels).select("url"), "url", "left_anti")
+        frontier = cut_lineage(nxt.withColumn("depth", F.lit(depth).cast("int")).select(*cols))
+        levels.append(frontier)
+        if len(levels) > MERGE_LEVELS:
+            levels = [cut_lineage(_union(levels))]
     return _union(levels)
 
 
@@ -103,13 +110,30 @@ def _union(dfs: list[DataFrame]) -> DataFrame:
     return out
 
 
-def follow_next(seeds: DataFrame, next_edges: DataFrame, max_hops: int = 64) -> DataFrame:
-    """Follow "next page" links from each seed; ``hop`` counts pages from the seed.
+def follow_next(seeds: DataFrame, next_edges: DataFrame) -> DataFrame:
+    """Follow "next page" links from each seed to the end; ``hop`` counts pages from
+    the nearest seed.
+
+    Where every page has one next page, jumps double: after round k the pages within
+    2^k - 1 hops are known and jumps span 2^k hops, so a chain of n pages takes log2(n)
+    rounds. Pages with several next pages are expanded level by level.
 
     next_edges: src_url, dst_url. Output: url, hop.
     """
-    out = expand(seeds.select("url"), next_edges, max_depth=max_hops)
-    return out.select("url", F.col("depth").alias("hop"))
+    edges = cut_lineage(next_edges.select("src_url", "dst_url").where("src_url is not null and dst_url is not null").distinct())
+    if not edges.groupBy("src_url").count().where("count > 1").isEmpty():
+        return expand(seeds.select("url"), edges).select("url", F.col("depth").alias("hop"))
+    reached = cut_lineage(seeds.select("url").distinct().withColumn("hop", F.lit(0).cast("int")))
+    jumps, span, known = edges, 1, reached.count()
+    while True:
+        further = reached.join(jumps, F.col("url") == F.col("src_url")).select(F.col("dst_url").alias("url"), (F.col("hop") + span).cast("int").alias("hop"))
+        reached = cut_lineage(reached.unionByName(further).groupBy("url").agg(F.min("hop").alias("hop")))
+        before, known = known, reached.count()
+        if known == before:
+            return reached
+        there = jumps.select(F.col("src_url").alias("via"), F.col("dst_url").alias("end"))
+        jumps = cut_lineage(jumps.join(there, F.col("dst_url") == F.col("via")).select("src_url", F.col("end").alias("dst_url")))
+        span *= 2
 
 
 def apply_redirects(frontier: DataFrame, redirects: DataFrame) -> DataFrame:
@@ -130,14 +154,16 @@ def fallback_self(pages: DataFrame, hits: DataFrame, label: Column) -> DataFrame
     hits: src_url, dst_url, label (children). Output: src_url, url, label, kind.
     """
     children = hits.select("src_url", F.col("dst_url").alias("url"), "label", F.lit("child").alias("kind"))
-    lonely = pages.join(hits.select(F.col("src_url").alias("url")).distinct(), "url", "left_anti")
-    selfs = lonely.select(F.col("url").alias("src_url"), F.col("url"), label.alias("label"), F.lit("self").alias("kind"))
+    # the label first: page bodies take no part in the join
+    labelled = pages.select("url", label.alias("label"))
+    lonely = labelled.join(hits.select(F.col("src_url").alias("url")).distinct(), "url", "left_anti")
+    selfs = lonely.select(F.col("url").alias("src_url"), F.col("url"), "label", F.lit("self").alias("kind"))
     return children.unionByName(selfs)
 
 
 def lookup(df: DataFrame, table: DataFrame, on: str = "url", how: str = "left") -> DataFrame:
-    """Label lookup from a literal-style table, broadcast after a size check."""
-    return df.join(sized_broadcast(table), on, how)
+    """Label lookup from a literal-style table; its measured size decides how it is joined."""
+    return df.join(table, on, how)
 
 
 def unmatched_selectors(links: DataFrame, pages: DataFrame, selectors: Sequence[str]) -> DataFrame:

@@ -7,32 +7,32 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import attr, fuzzy_match_literal, node_text
+from gridweave.functions.text import attr, decode_references, fuzzy_match_literal
 from gridweave.functions.urls import resolve_url
 from gridweave.operators.pages import STRIP_RE, contained_in, element_text
 
-# An anchor element with its content.
-ANCHOR_RE = r"(?is)<a\b[^>]*>.*?</a>"
+# Where an anchor begins, and where its content ends.
+ANCHOR_START = r"(?i)(?=<a[\s>/])"
+ANCHOR_TAG = r"(?is)^<a[\s][^>]*\bhref\s*=[^>]*>"
+ANCHOR_END = r"(?i)</a\s*>"
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """L1: every anchor of every page in order (``pos`` 0-based), with href, resolved
-    destination and text. One projection per page row: no join, no shuffle.
+    """L1: every link of every page in order (``pos`` 0-based), with href, resolved
+    destination and text. An anchor ends at its closing tag or at the next anchor; anchors
+    without ``href`` are no links. One projection per page row: no join, no shuffle.
 
     Columns: page_id, src_url, pos, href, dst_url, text.
     """
     clean = F.regexp_replace(F.col("html"), STRIP_RE, "")
-    anchors = F.regexp_extract_all(clean, F.lit(ANCHOR_RE), 0)
+    anchors = F.filter(F.split(clean, ANCHOR_START), lambda x: x.rlike(ANCHOR_TAG))
     a = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(anchors).alias("pos", "a"))
     open_tag = F.regexp_extract(F.col("a"), r"(?is)^<a\b[^>]*>", 0)
-    href = attr(open_tag, "href")
+    raw = F.regexp_replace(F.split(F.col("a"), ANCHOR_END, 2)[0], r"<[^>]*>", "")
+    # values that later expressions use many times are columns of their own first
+    a = a.select("page_id", "src_url", F.col("pos").cast("bigint").alias("pos"), attr(open_tag, "href").alias("href"), raw.alias("raw"))
     return a.select(
-        "page_id",
-        "src_url",
-        F.col("pos").cast("bigint").alias("pos"),
-        href.alias("href"),
-        resolve_url(F.col("src_url"), href).alias("dst_url"),
-        node_text(F.col("a")).alias("text"),
+        "page_id", "src_url", "pos", "href", resolve_url(F.col("src_url"), F.col("href")).alias("dst_url"), decode_references("raw").alias("text")
     )
 
 
@@ -56,19 +56,19 @@ def links_in(
     if attr_name:
         cont = cont.where(F.col(attr_name) == value)
     cont = cont.select("page_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    anchors = elements.where(F.col("tag") == "a").select("page_id", "start", "end", "tok")
+    anchors = elements.where((F.col("tag") == "a") & attr("tok", "href").isNotNull()).select("page_id", "start", "end", "tok")
     inside = contained_in(anchors, cont).withColumnRenamed("o_start", "c_start").drop("o_end")
     txt = element_text(inside, tokens)
     urls = pages.select("page_id", F.col("url").alias("src_url"))
     w = Window.partitionBy("page_id", "c_start").orderBy("start")
-    href = attr(F.col("tok"), "href")
-    return txt.join(urls, "page_id").select(
+    rows = txt.join(urls, "page_id").withColumn("href", attr(F.col("tok"), "href"))
+    return rows.select(
         "page_id",
         "src_url",
         "c_start",
         (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
-        href.alias("href"),
-        resolve_url(F.col("src_url"), href).alias("dst_url"),
+        "href",
+        resolve_url(F.col("src_url"), F.col("href")).alias("dst_url"),
         "text",
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import attr, clean_text, node_text
+from gridweave.session import cut_lineage
 
 # Blocks removed before tokenising (scripts, styles, comments).
 STRIP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
@@ -24,46 +25,57 @@ VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link",
 
 
 def page_tokens(pages: DataFrame) -> DataFrame:
-    """page_id, pos, tok, kind ('open' | 'close' | 'text'), tag (lower case)."""
+    """page_id, pos, tok, kind ('open' | 'close' | 'text'), tag (lower case), last_pos.
+
+    The one place that reads and cuts ``html``. What uses the tokens more than once takes
+    :func:`stored_tokens`."""
     clean = F.regexp_replace(F.col("html"), STRIP_RE, "")
     toks = F.regexp_extract_all(clean, F.lit(TOKEN_RE), 1)
-    t = pages.select("page_id", F.posexplode(toks).alias("pos", "tok"))
+    t = pages.select("page_id", toks.alias("toks"))
+    t = t.select("page_id", (F.size("toks") - 1).cast("bigint").alias("last_pos"), F.posexplode("toks").alias("pos", "tok"))
     tag = F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     kind = (
-        F.when(F.col("tok").startswith("</"), F.lit("close"))
+        F.when(F.col("tok").rlike(r"^</[a-zA-Z]"), F.lit("close"))
         .when(F.col("tok").rlike(r"^<[a-zA-Z]"), F.lit("open"))
         .when(F.col("tok").startswith("<"), F.lit("other"))
         .otherwise(F.lit("text"))
     )
-    return t.select("page_id", F.col("pos").cast("bigint").alias("pos"), "tok", kind.alias("kind"), tag.alias("tag"))
+    return t.select("page_id", F.col("pos").cast("bigint").alias("pos"), "tok", kind.alias("kind"), tag.alias("tag"), "last_pos")
 
 
-def page_elements(pages: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """page_id, tag, start, end, id, class. ``end`` is the matching closing token's
-    position; an element never closed ends at the page's last token. Void and
-    self-closing elements end where they start."""
-    t = tokens if tokens is not None else page_tokens(pages)
-    tags = t.where(F.col("kind").isin("open", "close"))
-    void = F.col("tag").isin(*VOID_TAGS) | F.col("tok").rlike(r"/\s*>$")
-    single = tags.where((F.col("kind") == "open") & void)
-    paired = tags.where(~((F.col("kind") == "open") & void))
-    delta = F.when(F.col("kind") == "open", F.lit(1)).otherwise(F.lit(-1))
-    w = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    paired = paired.withColumn("run", F.sum(delta).over(w))
-    depth = F.when(F.col("kind") == "open", F.col("run")).otherwise(F.col("run") + 1)
-    paired = paired.withColumn("d", depth)
-    wk = Window.partitionBy("page_id", "tag", "d", "kind").orderBy("pos")
-    paired = paired.withColumn("k", F.row_number().over(wk))
-    opens = paired.where(F.col("kind") == "open").select("page_id", "tag", "d", "k", F.col("pos").alias("start"), "tok")
-    closes = paired.where(F.col("kind") == "close").select("page_id", "tag", "d", "k", F.col("pos").alias("end"))
-    last = t.groupBy("page_id").agg(F.max("pos").alias("last_pos"))
-    el = opens.join(closes, ["page_id", "tag", "d", "k"], "left").join(last, "page_id", "left")
-    el = el.select("page_id", "tag", "start", F.coalesce("end", "last_pos").alias("end"), "tok")
-    sing = single.select("page_id", "tag", F.col("pos").alias("start"), F.col("pos").alias("end"), "tok")
-    el = el.unionByName(sing)
-    return el.select(
-        "page_id", "tag", "start", "end", attr("tok", "id").alias("id"), attr("tok", "class").alias("class"), "tok"
-    )
+def stored_tokens(pages: DataFrame) -> DataFrame:
+    """The tokens of ``pages`` written once, for operators that read them several times: a
+    page's html is read and cut a single time, whatever is asked of it."""
+    return cut_lineage(page_tokens(pages))
+
+
+def page_elements(tokens: DataFrame) -> DataFrame:
+    """page_id, tag, start, end, id, class, tok.
+
+    Closing tokens are matched within their tag by depth, where a closing token without an
+    open element counts for nothing (the running depth never falls below zero): in the
+    order of one tag and depth, an opening token's end is the next token, its closing one.
+    An element never closed ends at the page's last token. An anchor ends at the next
+    anchor at the latest. Void and self-closing elements end where they start. All windows
+    run on one distribution of the tokens by page."""
+    tags = tokens.where(F.col("kind").isin("open", "close") & (F.col("tag") != ""))
+    # one exchange serves every window below
+    tags = tags.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("page_id")))
+    opens = F.col("kind") == "open"
+    void = opens & (F.col("tag").isin(*VOID_TAGS) | F.col("tok").rlike(r"/\s*>$"))
+    delta = F.when(void, 0).when(opens, 1).otherwise(-1)
+    upto = Window.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    x = tags.withColumn("__run", F.sum(delta).over(upto))
+    x = x.withColumn("__low", F.least(F.min("__run").over(upto), F.lit(0)))
+    x = x.withColumn("__before", F.col("__run") - delta - F.least(F.coalesce(F.lag("__low").over(Window.partitionBy("page_id", "tag").orderBy("pos")), F.lit(0)), F.lit(0)))
+    stray = (F.col("kind") == "close") & (F.col("__before") == 0)
+    depth = F.when(F.col("tag") == "a", F.lit(0)).when(opens, F.col("__before") + 1).otherwise(F.col("__before"))
+    x = x.where(~stray | (F.col("tag") == "a")).withColumn("__d", F.when(void, F.lit(-1)).otherwise(depth))
+    after = Window.partitionBy("page_id", "tag", "__d").orderBy("pos")
+    follow = F.lead(F.struct("pos", "kind")).over(after)
+    x = x.withColumn("__next", follow).where(opens)
+    end = F.when(void, F.col("pos")).when(F.col("__next").isNull(), F.col("last_pos")).when(F.col("__next.kind") == "close", F.col("__next.pos")).otherwise(F.col("__next.pos") - 1)
+    return x.select("page_id", "tag", F.col("pos").alias("start"), end.alias("end"), attr("tok", "id").alias("id"), attr("tok", "class").alias("class"), "tok")
 
 
 def element_text(elements: DataFrame, tokens: DataFrame, bucket: int = 256) -> DataFrame:
@@ -142,53 +154,59 @@ def container_children(
 
 def html_tables(pages: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """T5: HTML tables to a grid (doc = page_id, table_id = table order in the page,
-    row_idx = row order in the table, cells = cleaned text under each td/th, rowspans).
+    row_idx = row order in the table, cells = cleaned text of each td/th, rowspans).
+
+    A cell is a leaf: a table inside a cell is part of the cell's text and no table of its
+    own. A cell ends at its closing tag or at the next cell, row or table end; a row without
+    cells is a row with no cells; cells before a row's opening tag form a row; stray closing
+    tags count for nothing.
 
-    Structure comes from ordered carries over the page's token stream (no pairwise
-    joins): table nesting depth is a running sum; a row's table is the last table
-    opened at its depth, a cell's row the last row opened at its depth.
+    One pass over the page's tokens, on one distribution by page: running depth of tables,
+    then every token takes the table, row and cell that are open where it stands.
     """
     t = tokens if tokens is not None else page_tokens(pages)
-    el = page_elements(pages, t)
-    st = t.where(F.col("tag").isin("table", "tr", "td", "th") & F.col("kind").isin("open", "close"))
-    tdelta = F.when((F.col("tag") == "table") & (F.col("kind") == "open"), 1).when(
-        (F.col("tag") == "table") & (F.col("kind") == "close"), -1
-    ).otherwise(0)
-    wp = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    st = st.withColumn("tdepth", F.sum(tdelta).over(wp))
-    st = st.where(F.col("kind") == "open")
-    wd = Window.partitionBy("page_id", "tdepth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    st = st.withColumn("cur_table", F.last(F.when(F.col("tag") == "table", F.col("pos")), ignorenulls=True).over(wd))
-    st = st.withColumn(
-        "cur_row",
-        F.last(F.when(F.col("tag") == "tr", F.col("pos")), ignorenulls=True).over(wd),
-    )
-    tables = st.where(F.col("tag") == "table").select("page_id", F.col("pos").alias("cur_table"))
-    tables = tables.withColumn(
-        "table_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("cur_table")) - 1).cast("bigint")
+    page = Window.partitionBy("page_id").orderBy("pos")
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
+    is_open, is_table = F.col("kind") == "open", F.col("tag") == "table"
+    delta = F.when(is_table & is_open, 1).when(is_table & (F.col("kind") == "close"), -1).otherwise(0)
+    x = t.where((F.col("kind") == "text") | F.col("tag").isin("table", "tr", "td", "th"))
+    x = x.withColumn("__run", F.sum(delta).over(upto))
+    # depth in tables, stray closing tags not counted; a closing tag has the depth it closes
+    x = x.withColumn("__low", F.least(F.min("__run").over(upto), F.lit(0)))
+    x = x.withColumn("__depth", F.col("__run") - F.col("__low"))
+    x = x.withColumn("__was", F.coalesce(F.lag("__depth").over(page), F.lit(0)))
+    closes = (delta == -1) & (F.col("__was") == 1)
+    outer = F.when(delta == -1, F.col("__was") == 1).otherwise(F.col("__depth") == 1)
+    mark = outer & (F.col("tag") != "") & (F.col("kind") != "text")
+    starts = mark & is_table & is_open
+    x = x.withColumn("__table", F.sum(starts.cast("int")).over(upto) - 1)
+    cell_tag = F.col("tag").isin("td", "th")
+    # the last row event before each token: an open row's place, or none
+    row_event = F.when(mark & (F.col("tag") == "tr") & is_open, F.struct(F.col("pos").alias("at"), F.lit(True).alias("real"))).when(
+        mark & ((F.col("tag") == "tr") | is_table), F.struct(F.col("pos").alias("at"), F.lit(False).alias("real"))
     )
-    rows = st.where(F.col("tag") == "tr").select("page_id", F.col("pos").alias("cur_row"), "cur_table")
-    rows = rows.withColumn(
-        "row_idx",
-        (F.row_number().over(Window.partitionBy("page_id", "cur_table").orderBy("cur_row")) - 1).cast("bigint"),
+    x = x.withColumn("__row", F.last(row_event, ignorenulls=True).over(upto))
+    cell_event = F.when(mark & cell_tag & is_open, F.struct(F.col("pos").alias("at"), F.col("tok").alias("tag"))).when(
+        mark, F.struct(F.lit(None).cast("bigint").alias("at"), F.lit(None).cast("string").alias("tag"))
     )
-    cells = st.where(F.col("tag").isin("td", "th") & F.col("cur_row").isNotNull()).select(
-        "page_id", F.col("pos").alias("start"), "cur_row", "cur_table"
+    x = x.withColumn("__cell", F.last(cell_event, ignorenulls=True).over(upto))
+    in_cell = F.col("__cell.at").isNotNull() & (F.col("__depth") >= 1)
+    row_start = mark & (F.col("tag") == "tr") & is_open
+    x = x.where(row_start | (in_cell & ((F.col("kind") == "text") | (mark & cell_tag & is_open)))).where(F.col("__row").isNotNull() & ~closes)
+    keys = ["page_id", "__table", F.col("__row.at").alias("__at")]
+    cells = x.groupBy(*keys, F.col("__cell.at").alias("__c")).agg(
+        F.first("__cell.tag").alias("tag"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "tok")))), lambda p: p["tok"]), "").alias("raw"),
     )
-    cells = cells.join(el.where(F.col("tag").isin("td", "th")).select("page_id", "start", "end", "tok"), ["page_id", "start"])
-    txt = element_text(cells, t)
-    txt = txt.join(rows, ["page_id", "cur_row", "cur_table"]).join(tables, ["page_id", "cur_table"])
-    grid = txt.groupBy("page_id", "table_id", "row_idx").agg(
-        F.array_sort(
-            F.collect_list(F.struct("start", clean_text(F.col("text")).alias("text"), attr("tok", "rowspan").alias("rs")))
-        ).alias("cellspec")
-    )
-    return grid.select(
+    spec = F.when(F.col("__c").isNotNull(), F.struct(F.col("__c").alias("start"), clean_text(node_text("raw")).alias("text"), attr("tag", "rowspan").alias("rs")))
+    rows = cells.groupBy("page_id", "__table", "__at").agg(F.array_sort(F.collect_list(spec)).alias("spec"))
+    place = F.row_number().over(Window.partitionBy("page_id", "__table").orderBy("__at")) - 1
+    return rows.select(
         F.col("page_id").cast("string").alias("doc"),
-        "table_id",
-        "row_idx",
-        F.transform("cellspec", lambda c: c["text"]).alias("cells"),
-        F.transform("cellspec", lambda c: c["rs"].try_cast("int")).alias("rowspans"),
+        F.col("__table").cast("bigint").alias("table_id"),
+        place.cast("bigint").alias("row_idx"),
+        F.transform("spec", lambda c: c["text"]).alias("cells"),
+        F.transform("spec", lambda c: c["rs"].try_cast("int")).alias("rowspans"),
     )
 
 
@@ -229,9 +247,10 @@ def fill_rowspan(grid: DataFrame) -> DataFrame:
         still = F.transform(
             F.filter(pend, lambda p: p["left"] > 1), lambda p: F.struct(p["idx"].alias("idx"), p["text"].alias("text"), (p["left"] - 1).alias("left"))
         )
+        numbers = F.when(F.size(cells) > 0, F.sequence(F.lit(1), F.size(cells))).otherwise(F.array().cast("array<int>"))
         new = F.filter(
             F.transform(
-                F.sequence(F.lit(1), F.size(cells)),
+                numbers,
                 lambda i: F.struct(
                     (i - 1).alias("idx"),
                     F.element_at(cells, i).alias("text"),
@@ -252,12 +271,12 @@ def fill_rowspan(grid: DataFrame) -> DataFrame:
 
 
 def to_cells(grid: DataFrame) -> DataFrame:
-    """Grid rows to path-addressed cells ``(doc, path ARRAY<INT>, text)``, with
+    """Grid rows to path-addressed cells ``(doc, path ARRAY<BIGINT>, text)``, with
     path = [table_id, row_idx, col]."""
     return grid.select(
         "doc", "table_id", "row_idx", F.posexplode("cells").alias("col", "text")
     ).select(
         "doc",
-        F.array(F.col("table_id").cast("int"), F.col("row_idx").cast("int"), F.col("col").cast("int")).alias("path"),
+        F.array(F.col("table_id").cast("bigint"), F.col("row_idx").cast("bigint"), F.col("col").cast("bigint")).alias("path"),
         "text",
     )

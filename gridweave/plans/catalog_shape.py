@@ -258,7 +258,9 @@ def q_labelled_records(spark, sf):
     page's table, and attach the label its page carried."""
     from gridweave.operators import frontier as FR
 
-    reach = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf), max_depth=1, labels=True)
+    # the wanted level, nation pages, is said of the edges
+    edges = fx.tree_edges(spark, sf).where(F.col("dst_url").startswith("n/"))
+    reach = FR.expand(fx.tree_seeds(spark, sf), edges, labels=True)
     rec = _records(spark, sf).withColumn("url", F.concat(F.lit("n/"), F.col("table_id").cast("string")))
     out = FR.lookup(rec, reach.select("url", F.col("labels")["region"].alias("region")), "url", "left")
     return out.select("doc", "table_id", "row_idx", "cust_key", "cust_name", "region")

@@ -165,21 +165,21 @@ def q_quote(spark, sf):
 
 @register("page_elements")
 def q_elements(spark, sf):
-    el = PG.page_elements(fx.pages(spark, sf))
+    el = PG.page_elements(PG.page_tokens(fx.pages(spark, sf)))
     return el.select("page_id", "tag", "start", "end")
 
 
 @register("element_attr")
 def q_attr(spark, sf):
-    el = PG.page_elements(fx.pages(spark, sf))
+    el = PG.page_elements(PG.page_tokens(fx.pages(spark, sf)))
     return el.where(F.col("class").isNotNull()).select("page_id", "tag", "start", "class")
 
 
 @register("node_text")
 def q_node_text(spark, sf):
     p = fx.pages(spark, sf)
-    t = PG.page_tokens(p)
-    el = PG.page_elements(p, t).where(F.col("tag").isin("h1", "div", "li")).select("page_id", "tag", "start", "end")
+    t = PG.stored_tokens(p)
+    el = PG.page_elements(t).where(F.col("tag").isin("h1", "div", "li")).select("page_id", "tag", "start", "end")
     return PG.element_text(el, t).select("page_id", "start", "tag", "text")
 
 
@@ -192,8 +192,8 @@ def q_clean(spark, sf):
 @register("container_children")
 def q_children(spark, sf):
     p = fx.pages(spark, sf)
-    t = PG.page_tokens(p)
-    el = PG.page_elements(p, t)
+    t = PG.stored_tokens(p)
+    el = PG.page_elements(t)
     kids = PG.container_children(el, "tag", "ul", ("li",))
     txt = PG.element_text(kids.select("page_id", "start", "end", "child_no"), t)
     return txt.select("page_id", "child_no", "text")
@@ -211,8 +211,8 @@ def q_links(spark, sf):
 @register("links_in_container")
 def q_links_in(spark, sf):
     p = fx.pages(spark, sf)
-    t = PG.page_tokens(p)
-    el = PG.page_elements(p, t)
+    t = PG.stored_tokens(p)
+    el = PG.page_elements(t)
     out = LK.links_in(p, el, t, tag="nav")
     return out.select("page_id", "pos", "dst_url", "text")
 
@@ -220,8 +220,8 @@ def q_links_in(spark, sf):
 @register("link_neighbour")
 def q_neighbour(spark, sf):
     p = fx.pages(spark, sf)
-    t = PG.page_tokens(p)
-    el = PG.page_elements(p, t)
+    t = PG.stored_tokens(p)
+    el = PG.page_elements(t)
     anchors = el.where(F.col("tag") == "a").select("page_id", "start", "end")
     out = LK.neighbour_text(anchors, el, t, "ul")
     return out.select("page_id", "start", "neighbour")
@@ -253,13 +253,13 @@ def q_assign(spark, sf):
 
 @register("frontier_reach")
 def q_reach(spark, sf):
-    out = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf), max_depth=8)
+    out = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf))
     return out.select("url", F.col("depth").cast("bigint").alias("depth"))
 
 
 @register("inherit_labels")
 def q_inherit(spark, sf):
-    out = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf), max_depth=8, labels=True)
+    out = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf), labels=True)
     return out.select(
         "url",
         F.col("depth").cast("bigint").alias("depth"),
@@ -272,7 +272,7 @@ def q_inherit(spark, sf):
 
 @register("follow_next")
 def q_follow(spark, sf):
-    out = FR.follow_next(fx.chain_seeds(spark, sf), fx.chain_edges(spark, sf), max_hops=1024)
+    out = FR.follow_next(fx.chain_seeds(spark, sf), fx.chain_edges(spark, sf))
     return out.select("url", F.col("hop").cast("bigint").alias("hop"))
 
 
@@ -323,8 +323,8 @@ def q_article_blocks(spark, sf):
     from gridweave.operators import shaping as SH
 
     p = fx.pages(spark, sf)
-    t = PG.page_tokens(p)
-    el = PG.page_elements(p, t)
+    t = PG.stored_tokens(p)
+    el = PG.page_elements(t)
     kids = PG.container_children(el, "tag", "article", ("h1", "p"))
     txt = PG.element_text(kids.select("page_id", "c_start", "start", "end", "tag", "child_no"), t)
     out = SH.carry_forward(

@@ -22,14 +22,10 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        # Carried labels: the child's value replaces the parent's.
-        .config("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     )
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    spark = b.getOrCreate()
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-    return spark
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

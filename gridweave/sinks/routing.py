@@ -5,18 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.operators.frontier import sized_broadcast
-
 
 def route_outputs(items: DataFrame, outputs: DataFrame) -> DataFrame:
     """K1: each item names an ``output_id`` (null or unknown -> ``default``); the output
     maps sinks to keys. One row per (item, sink) with its ``key``; a sink the output
     does not name receives nothing.
 
-    outputs: output_id, sink, key (configuration; broadcast after a size check).
+    outputs: output_id, sink, key (configuration; its measured size decides the join).
     """
-    outs = sized_broadcast(outputs)
-    known = sized_broadcast(outputs.select(F.col("output_id").alias("__oid")).distinct())
+    outs = outputs
+    known = outputs.select(F.col("output_id").alias("__oid")).distinct()
     x = items.join(known, items.output_id == known.__oid, "left")
     x = x.withColumn("__eff", F.when(F.col("__oid").isNotNull(), F.col("output_id")).otherwise(F.lit("default")))
     x = x.drop("__oid")

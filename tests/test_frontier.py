@@ -4,7 +4,6 @@ from gridweave.operators import frontier as FR
 
 
 def test_expand_cycle_and_labels(spark):
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     edges = spark.createDataFrame(
         [("a", "b", {"k": "1"}), ("b", "c", {"k": "2", "j": "x"}), ("c", "a", {}), ("b", "d", None)],
         "src_url string, dst_url string, label map<string,string>",
