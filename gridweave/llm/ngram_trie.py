@@ -101,38 +101,50 @@ class Level:
                 yield int(which[order[a]]), order[a:b]
 
     def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Nodes of (parent, word), -1 where there is none."""
+        """Nodes of (parent, word), -1 where there is none. Each distinct pair is searched
+        once, in order, which keeps close what is read of the mapped files."""
+        if not self.shards or not len(word):
+            return np.full(len(word), -1, np.int64)
+        bits = int(word.max()).bit_length()
+        if int(parent.max()).bit_length() + bits > 64:
+            return self._search(parent, word)
+        key, back = np.unique((parent << np.uint64(bits)) | word if bits < 64 else word, return_inverse=True)
+        if bits == 64:
+            return self._search(np.zeros(len(key), np.uint64), key)[back]
+        return self._search(key >> np.uint64(bits), key & np.uint64((1 << bits) - 1))[back]
+
+    def _search(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(word), -1, np.int64)
-        if not self.shards:
-            return out
         which = np.searchsorted(self.parent, parent, "right") - 1
         while len(low := np.flatnonzero((which >= 0) & (self.parent[which] == parent) & (self.word[which] > word))):
             which[low] -= 1
         for k, at in self._by_shard(which):
             arrays, facts = self._shard(k)
-            p, w = (parent[at] - self.parent[k]).astype(np.int64), word[at]
-            inside = np.flatnonzero(p <= facts["last"])
-            if not len(inside):
+            inside = parent[at] - self.parent[k] <= np.uint64(facts["last"])
+            at = at[inside]
+            if not len(at):
                 continue
-            p, w, at = p[inside], w[inside], at[inside]
+            p, w = (parent[at] - self.parent[k]).astype(np.int64), word[at]
             values = elias_fano.EliasFano(arrays, facts, "words")
+            # begin, end and base once for each run of one parent
+            cut = np.flatnonzero(np.diff(p, prepend=-1))
+            many = np.diff(np.append(cut, len(p)))
+            p = p[cut]
             if facts["last"]:
                 points = elias_fano.EliasFano(arrays, facts, "points")
                 begin, end = points.at(p).astype(np.int64), points.at(p + 1).astype(np.int64)
             else:
                 begin, end = np.zeros(len(p), np.int64), np.full(len(p), values.n)
-            full = np.flatnonzero(begin < end)
-            begin, end, w, at = begin[full], end[full], w[full], at[full]
-            base = np.full(len(at), facts["base"], np.uint64)
-            later = np.flatnonzero(begin > 0)
+            base = np.zeros(len(p), np.uint64)
+            later = np.flatnonzero((begin > 0) & (begin < end))
             base[later] = values.at(begin[later] - 1) + np.uint64(1)
-            # the base of a shard's first range is its smallest number, of others zero
-            w = w - np.where(begin > 0, np.uint64(0), np.uint64(facts["base"]))
-            base[begin == 0] = 0
-            w_ok = np.flatnonzero((begin > 0) | (word[at] >= np.uint64(facts["base"])))
-            pos, same = values.successor(base[w_ok] + w[w_ok])
-            same &= pos < end[w_ok]
-            out[at[w_ok][same]] = self.rank[k] + pos[same]
+            # numbers of a shard's first range count from its smallest, of others from zero
+            least = np.where(begin > 0, np.uint64(0), np.uint64(facts["base"]))
+            begin, end, base, least = (np.repeat(x, many) for x in (begin, end, base, least))
+            ok = np.flatnonzero((begin < end) & (w >= least))
+            pos, same = values.successor(base[ok] + (w[ok] - least[ok]))
+            same &= pos < end[ok]
+            out[at[ok][same]] = self.rank[k] + pos[same]
         return out
 
     def begin(self, parent: np.ndarray) -> np.ndarray:
@@ -202,29 +214,32 @@ class Model:
 
     def left(self, node: np.ndarray, level: int) -> np.ndarray:
         """g(h) of nodes: the mass that their children leave."""
+        node, back = np.unique(node, return_inverse=True)
         out = np.ones(len(node))
         some = np.flatnonzero(node >= 0)
         if len(self.backs) > level and len(some):
             at = self.backs[level].find(np.zeros(len(some), np.uint64), node[some].astype(np.uint64))
             hit = at >= 0
             out[some[hit]] = _value(self.backs[level].payload(at[hit], "left"))
-        return out
+        return out[back]
 
     def bottom(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.n + 0.1 * (self.v + 1))
 
     def score(self, texts: list[str]) -> dict[str, np.ndarray]:
         distinct, flat, begins = number(texts)
-        ids = self.words(distinct)[flat]
-        count = self.counts(self.words(distinct))[flat]
-        base = np.log10(self.bottom(count))
+        nodes = self.words(distinct)
+        counts = self.counts(nodes)
+        ids, count, p = nodes[flat], counts[flat], self.bottom(counts)[flat]
+        base = np.log10(self.bottom(counts))[flat]
         first = np.zeros(len(flat), bool)
         first[begins] = True
-        p = self.bottom(count)
         for k in range(2, self.order + 1):
             parent, word = self.parents(ids, begins, k)
-            p = self.left(parent, k - 2) * p
-            some = np.flatnonzero((parent >= 0) & (word >= 0))
+            left = self.left(parent, k - 2)
+            p = left * p
+            # a context that leaves all its mass has no kept children
+            some = np.flatnonzero((parent >= 0) & (word >= 0) & (left < 1))
             node = self.levels[k - 1].find(parent[some].astype(np.uint64), word[some].astype(np.uint64))
             hit = node >= 0
             p[some[hit]] += _value(self.levels[k - 1].payload(node[hit], "prob"))
