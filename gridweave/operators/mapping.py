@@ -28,11 +28,8 @@ from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
 from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, row_bucket, running_sum
 from gridweave.session import cut_lineage
 
-# Rule sets are configuration: a few dozen labels. Anything beyond this bound is
-# refused instead of broadcast blindly.
-MAX_RULES = 10_000
 # Up to this many labels, matching is one code-generated regex per label evaluated
-# in the scan (no join); above it, a broadcast theta join with the label table.
+# in the scan (no join); above it, a theta join with the label table.
 INLINE_LABELS = 64
 
 TKEY = ["doc", "table_id"]
@@ -41,7 +38,7 @@ RKEY = ["doc", "table_id", "row_idx"]
 
 @dataclass(frozen=True)
 class RuleSet:
-    """Driver-side view of a (size-checked) rules DataFrame."""
+    """Driver-side view of a rules DataFrame (configuration)."""
 
     attrs: list[tuple[int, str, str]]  # (ord, source, target)
     selects: list[tuple[int, str, str, str | None]]  # (ord, source, target, regex)
@@ -62,7 +59,7 @@ class RuleSet:
 
 
 def load_ruleset(rules: DataFrame) -> RuleSet:
-    """Collect a rules DataFrame (checked to be small) once; remembered on the object."""
+    """Collect a rules DataFrame (configuration) once; remembered on the object."""
     cached = getattr(rules, "_gw_ruleset", None)
     if cached is not None:
         return cached
@@ -75,9 +72,7 @@ def load_ruleset(rules: DataFrame) -> RuleSet:
 
 
 def _load_ruleset(rules: DataFrame) -> RuleSet:
-    rows = rules.select("ord", "kind", "source", "target", "regex").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"rule set larger than {MAX_RULES} rules")
+    rows = rules.select("ord", "kind", "source", "target", "regex").collect()  # configuration
     rows = sorted(rows, key=lambda r: r["ord"])
     attrs = [(r["ord"], r["source"], r["target"]) for r in rows if r["kind"] == "attr"]
     selects = [
@@ -87,15 +82,13 @@ def _load_ruleset(rules: DataFrame) -> RuleSet:
 
 
 def _labels(rules: DataFrame) -> DataFrame:
-    """Attribute labels, broadcast after the size check in :func:`load_ruleset`."""
-    load_ruleset(rules)
-    lab = rules.where(F.col("kind") == "attr").select(
+    """Attribute labels as rows."""
+    return rules.where(F.col("kind") == "attr").select(
         F.col("ord").alias("l_ord"),
         F.col("source").alias("label"),
         F.col("target").alias("l_target"),
         F.length("source").alias("l_len"),
     )
-    return F.broadcast(lab)
 
 
 def cell_hits(grid: DataFrame, rules: DataFrame) -> DataFrame:

@@ -120,8 +120,8 @@ def q_roundtrip(spark, sf):
     pg = fx.grid_html(spark, sf)
     g = PG.html_tables(pg)
     return g.select(
-        (F.col("doc").cast("bigint") / 100000).cast("bigint").alias("table_id"),
-        ((F.col("doc").cast("bigint") % 100000) * fx.RENDER_BLOCK + F.col("row_idx")).cast("bigint").alias("row_idx"),
+        F.shiftright(F.col("doc").cast("bigint"), 40).alias("table_id"),
+        (F.col("doc").cast("bigint").bitwiseAND(F.lit(fx.BLOCK_MASK)) * fx.RENDER_BLOCK + F.col("row_idx")).cast("bigint").alias("row_idx"),
         F.array_join("cells", "|").alias("cells"),
     )
 
@@ -131,8 +131,8 @@ def q_rowspan(spark, sf):
     pg = fx.grid_html(spark, sf, rowspans=True)
     g = PG.fill_rowspan(PG.html_tables(pg))
     return g.select(
-        (F.col("doc").cast("bigint") / 100000).cast("bigint").alias("table_id"),
-        ((F.col("doc").cast("bigint") % 100000) * fx.RENDER_BLOCK + F.col("row_idx")).cast("bigint").alias("row_idx"),
+        F.shiftright(F.col("doc").cast("bigint"), 40).alias("table_id"),
+        (F.col("doc").cast("bigint").bitwiseAND(F.lit(fx.BLOCK_MASK)) * fx.RENDER_BLOCK + F.col("row_idx")).cast("bigint").alias("row_idx"),
         F.array_join("cells", "|").alias("cells"),
     )
 
@@ -236,8 +236,8 @@ def q_rowspan_pairs(spark, sf):
     pg = fx.grid_html(spark, sf, rowspans=True)
     g = PG.fill_rowspan(PG.html_tables(pg)).where(F.size("cells") == 5)
     g = g.select(
-        (F.col("doc").cast("bigint") / 100000).cast("bigint").alias("table_id"),
-        (F.col("doc").cast("bigint") % 100000).alias("block"),
+        F.shiftright(F.col("doc").cast("bigint"), 40).alias("table_id"),
+        F.col("doc").cast("bigint").bitwiseAND(F.lit(fx.BLOCK_MASK)).alias("block"),
         "row_idx",
         *[F.col("cells")[i].alias(f"c{i}") for i in range(5)],
     )

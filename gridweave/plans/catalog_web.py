@@ -251,6 +251,55 @@ def q_assign(spark, sf):
     return FR.assign_steps(frontier, lk, _steps(spark))
 
 
+JOB_CONDITIONS = (
+    # step_id, cond_ord, selector, regex, child_step, is_next; the last has no selector
+    ("root", 0, "//nav//a", "^[A-Z]", "capital", False),
+    ("root", 1, "//nav//a", "^th", None, True),
+    ("root", 2, None, "^a", "never", False),
+)
+
+
+@register("rule_job_frontier")
+def q_job(spark, sf):
+    """The rule-driven job's walk over the given pages: every page is a seed, links in the
+    navigation lead on by their text, targets are resolved and quoted."""
+    from gridweave.operators.job import CONDITIONS, crawl
+
+    p = fx.pages(spark, sf)
+    seeds = p.select("url", F.lit("root").alias("step_id"))
+    return crawl(p, seeds, spark.createDataFrame(list(JOB_CONDITIONS), CONDITIONS))
+
+
+@register("link_sibling")
+def q_sibling(spark, sf):
+    """L3 with a sibling: beside each link of a navigation list, the text of the first list
+    item of its list."""
+    p = fx.pages(spark, sf)
+    t = PG.stored_tokens(p)
+    el = PG.page_elements(t)
+    anchors = el.where(F.col("tag") == "a").select("page_id", "start", "end")
+    out = LK.neighbour_text(anchors, el, t, "ul", "li")
+    return out.select("page_id", "start", "neighbour")
+
+
+@register("grid_files")
+def q_grid_files(spark, sf):
+    """The customer table written as CSV files (into the shared checkpoint folder), one
+    folder per nation, and read back as cell grids; cells as they were written."""
+    import os
+    import uuid
+
+    from gridweave.session import checkpoint_dir
+    from gridweave.sources.pages import read_grid
+
+    path = os.path.join(checkpoint_dir(spark), f"gw-grids-{uuid.uuid4().hex}")
+    c = fx.read(spark, sf, "customer").select("c_custkey", "c_name", F.concat(F.lit("x, "), F.col("c_mktsegment")).alias("segment"), "c_nationkey")
+    c.write.partitionBy("c_nationkey").option("escape", '"').csv(path)
+    g = read_grid(spark, os.path.join(path, "*"))
+    cell = F.col("cells")
+    return g.select(F.regexp_extract("doc", "c_nationkey=([0-9]+)$", 1).cast("bigint").alias("nation"), cell[0].cast("bigint").alias("cust_key"), cell[1].alias("name"), cell[2].alias("segment"), F.size(cell).cast("bigint").alias("n_cells"))
+
+
 @register("frontier_reach")
 def q_reach(spark, sf):
     out = FR.expand(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf))

@@ -60,6 +60,9 @@ def _variant(idx_col) -> F.Column:
     )
 
 
+# The part of a rendered page's id that numbers its block.
+BLOCK_MASK = (1 << 40) - 1
+
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
@@ -128,7 +131,7 @@ def _build_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k",
         F.floor(F.col("c_custkey") / F.lit(1 << 16)),
     )
-    data = cust.join(F.broadcast(nat), cust.c_nationkey == nat.n_nationkey).select(
+    data = cust.join(nat, cust.c_nationkey == nat.n_nationkey).select(
         doc.alias("doc"),
         tid.alias("table_id"),
         F.when(F.col("grade") == "A", F.col("k") + 1)
@@ -301,7 +304,7 @@ def grid_html(spark: SparkSession, sf_dir: str, rowspans: bool = False) -> DataF
 
 def _render_grid_html(spark: SparkSession, sf_dir: str, rowspans: bool = False) -> DataFrame:
     """`grid_html`: the grid rendered as HTML pages of RENDER_BLOCK rows each
-    (page_id = table_id * 100000 + block). With ``rowspans``, equal neighbours in the
+    (page_id = table_id * 2^40 + block). With ``rowspans``, equal neighbours in the
     last two columns are merged into ``rowspan="2"`` cells, and a block's last
     full row gets a ``rowspan="3"`` reaching past the page's end."""
     from pyspark.sql import Window
@@ -345,7 +348,7 @@ def _render_grid_html(spark: SparkSession, sf_dir: str, rowspans: bool = False)
         ).alias("rows")
     )
     return pages_df.select(
-        (F.col("table_id") * 100000 + F.col("block")).cast("bigint").alias("page_id"),
+        F.shiftleft(F.col("table_id").cast("bigint"), 40).bitwiseOR(F.col("block").cast("bigint")).alias("page_id"),
         F.concat(F.lit("grid/"), F.col("table_id").cast("string"), F.lit("/"), F.col("block").cast("string")).alias("url"),
         F.concat(F.lit("<html><body><table>"), F.col("rows"), F.lit("</table></body></html>")).alias("html"),
     )

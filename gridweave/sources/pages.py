@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.urls import postfix
@@ -38,18 +38,20 @@ def route_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_grid(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """A file set of cell grids, one table per file (sheet or archive member): doc is
-    the file's folder, table_id the file, row order from the reader's line order.
+    the file's folder, table_id the file's number in its folder by name, row order the
+    reader's line order.
 
-    CSV rows come back headerless as ``cells ARRAY<STRING>``. The row index is the
-    line's rank within its file: the reader's increasing ids keep file order, and
-    their upper bits (the input split) bucket the two-level running count, so a huge
-    file split over many tasks is still numbered in parallel.
+    CSV rows come back headerless as ``cells ARRAY<STRING>``, quoted cells as CSV has them
+    (one line is one row). The row index is the line's rank within its file: the reader's
+    increasing ids keep file order, and their upper bits (the input split) bucket the
+    two-level running count, so a huge file split over many tasks is still numbered in
+    parallel. Files are numbered over one row per file.
     """
     from gridweave.operators.scan import running_sum
 
     if fmt == "csv":
         raw = spark.read.option("header", False).text(path)
-        cells = F.split(F.col("value"), ",")
+        cells = csv_cells(F.col("value"))
     else:
         raw = spark.read.format(fmt).load(path)
         cells = F.col("cells")
@@ -58,10 +60,14 @@ def read_grid(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
         cells.alias("cells"),
         F.monotonically_increasing_id().alias("mid"),
     )
+    files = df.select("file").distinct().withColumn("doc", F.regexp_replace("file", "/[^/]*$", ""))
+    files = files.withColumn("table_id", (F.row_number().over(Window.partitionBy("doc").orderBy("file")) - 1).cast("bigint"))
     df = running_sum(df, "file", "mid", F.lit(1), "rank", F.floor(F.col("mid") / F.lit(1 << 33)))
-    return df.select(
-        F.regexp_replace("file", "/[^/]*$", "").alias("doc"),
-        F.xxhash64("file").alias("table_id"),
-        (F.col("rank") - 1).cast("bigint").alias("row_idx"),
-        "cells",
-    )
+    return df.join(files, "file").select("doc", "table_id", (F.col("rank") - 1).cast("bigint").alias("row_idx"), "cells")
+
+
+def csv_cells(line) -> Column:
+    """The cells of one CSV line: commas within quotes do not part cells, doubled quotes are
+    one, and white space stays."""
+    cells = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), 1)
+    return F.transform(cells, lambda c: F.when(c.rlike('(?s)^".*"$'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))

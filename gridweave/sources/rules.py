@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridweave.functions.text import decode_references
+
 RULES_SCHEMA = T.StructType(
     [
         T.StructField("rule_id", T.StringType()),
@@ -44,7 +46,7 @@ def rules_from_dict(spark: SparkSession, rule_id: str, mapping: dict, regexes: d
 
 
 # Schema of one <spider> element of an XML rule file, as the Spark XML source reads it.
-# The url tree is read to a fixed depth; deeper levels are reported by read_rules.
+# The url tree's depth is taken from the files.
 _COL = T.StructType(
     [
         T.StructField("_attri", T.StringType()),
@@ -78,51 +80,46 @@ def _url_type(depth: int) -> T.StructType:
     return T.StructType(fields)
 
 
-MAX_URL_DEPTH = 6
+def _spider_schema(depth: int) -> T.StructType:
+    """Schema of a ``<spider>`` element whose url tree has ``depth`` levels. Outputs are
+    kept as their XML text, so any sink tag comes through."""
+    rule = T.StructType([T.StructField("_id", T.StringType()), T.StructField("table", T.StructType([T.StructField("col", T.ArrayType(_COL))]))])
+    return T.StructType(
+        [
+            T.StructField("_id", T.StringType()),
+            T.StructField("_class", T.StringType()),
+            T.StructField("_is_active", T.StringType()),
+            T.StructField("url", T.ArrayType(_url_type(depth))),
+            T.StructField("mapping", T.ArrayType(rule)),
+        ]
+    )
 
-SPIDER_SCHEMA = T.StructType(
-    [
-        T.StructField("_id", T.StringType()),
-        T.StructField("_class", T.StringType()),
-        T.StructField("_is_active", T.StringType()),
-        T.StructField("url", T.ArrayType(_url_type(MAX_URL_DEPTH))),
-        T.StructField(
-            "mapping",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("_id", T.StringType()),
-                        T.StructField(
-                            "table", T.StructType([T.StructField("col", T.ArrayType(_COL))])
-                        ),
-                    ]
-                )
-            ),
-        ),
-        T.StructField(
-            "outputs",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField("_id", T.StringType()),
-                        T.StructField("csv", T.StringType()),
-                        T.StructField("redis", T.StringType()),
-                        T.StructField("json", T.StringType()),
-                    ]
-                )
-            ),
-        ),
-    ]
-)
 
+def url_depth(spark: SparkSession, path: str) -> int:
+    """The deepest nesting of ``<url>`` in the rule files (rule files are configuration,
+    read whole)."""
+    marks = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract_all(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), F.lit(r"<(/?url\b)[^>]*?(/?)>"), 1).alias("t"),
+        F.regexp_extract_all(F.regexp_replace("value", r"(?s)<!--.*?-->", ""), F.lit(r"<(/?url\b)[^>]*?(/?)>"), 2).alias("s"),
+    )
+    state = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(a, x):
+        now = a["now"] + F.when(x["t"].startswith("/"), -1).otherwise(1)
+        most = F.greatest(a["most"], now)
+        return F.struct(F.when(x["s"] == "/", a["now"]).otherwise(now).alias("now"), most.alias("most"))
+
+    deep = marks.select(F.aggregate(F.arrays_zip("t", "s"), state, step)["most"].alias("d")).agg(F.max("d")).first()[0]
+    return max(1, deep or 1)
 
-def read_spiders(spark: SparkSession, path: str) -> DataFrame:
+
+def read_spiders(spark: SparkSession, path: str, depth: int | None = None) -> DataFrame:
     """S2 (raw): one row per ``<spider>`` with the file it came from."""
     return (
         spark.read.format("xml")
         .option("rowTag", "spider")
         .option("valueTag", "_text")
-        .schema(SPIDER_SCHEMA)
+        .schema(_spider_schema(depth or url_depth(spark, path)))
         .load(path)
         .withColumn("file", F.col("_metadata.file_path"))
     )
@@ -136,16 +133,16 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
     rules: spider_id, rule_id (mapping id or ``default``), ord, kind, source, target, regex.
     outputs: spider_id, output_id (or ``default``), sink, key.
     """
-    sp = read_spiders(spark, path).select(
+    depth = url_depth(spark, path)
+    sp = read_spiders(spark, path, depth).select(
         F.col("_id").alias("spider_id"),
         F.col("_class").alias("class"),
         F.col("_is_active").alias("is_active"),
         "url",
         "mapping",
-        "outputs",
     )
     head = ["spider_id", "class", "is_active"]
-    # Unroll the url tree level by level (fixed maximum depth).
+    # Unroll the url tree level by level, to the depth of the files.
     level = sp.select(
         *head,
         F.posexplode("url").alias("cond_ord", "u"),
@@ -157,9 +154,9 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
         "u",
     )
     levels = []
-    for depth in range(MAX_URL_DEPTH):
+    for d in range(depth):
         levels.append(level)
-        if depth == MAX_URL_DEPTH - 1:
+        if d == depth - 1:
             break
         # Children: url conditions first, then next-page conditions; their index is the
         # position among all condition children, as in the file.
@@ -233,22 +230,22 @@ def read_rules(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Da
             F.when(F.col("c._select").isNotNull(), F.col("c._regex")).alias("regex"),
         )
     )
-    outputs = (
-        sp.select("spider_id", F.explode("outputs").alias("o"))
-        .select(
-            "spider_id",
-            F.coalesce(F.col("o._id"), F.lit("default")).alias("output_id"),
-            F.explode(
-                F.map_filter(
-                    F.create_map(
-                        F.lit("csv"), F.col("o.csv"), F.lit("redis"), F.col("o.redis"), F.lit("json"), F.col("o.json")
-                    ),
-                    lambda k, v: v.isNotNull(),
-                )
-            ).alias("sink", "key"),
-        )
-    )
-    return steps_out, rules, outputs
+    return steps_out, rules, read_outputs(spark, path)
+
+
+def read_outputs(spark: SparkSession, path: str) -> DataFrame:
+    """The sinks of every ``<outputs>`` element, whatever their tags: spider_id, output_id
+    (or ``default``), sink, key."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"(?s)<!--.*?-->", "").alias("v"))
+    spiders = files.select(F.explode(F.regexp_extract_all("v", F.lit(r"(?s)(<spider\b.*?</spider>)"), 1)).alias("v"))
+    attr_id = lambda c: F.regexp_extract(c, r"""^<\w+\b[^>]*?\bid\s*=\s*["']([^"']*)["']""", 1)
+    none = lambda c: F.when(c != "", c)
+    sets = spiders.select(none(attr_id(F.col("v"))).alias("spider_id"), F.explode(F.regexp_extract_all("v", F.lit(r"(?s)(<outputs\b.*?</outputs>)"), 1)).alias("o"))
+    tags = F.regexp_extract_all(F.regexp_replace("o", r"(?s)^<outputs\b[^>]*>", ""), F.lit(r"(?s)<([A-Za-z_][\w.-]*)\b[^>]*>([^<]*)</\1\s*>"), 0)
+    rows = sets.select("spider_id", F.coalesce(none(attr_id(F.col("o"))), F.lit("default")).alias("output_id"), F.explode(tags).alias("x"))
+    text = F.trim(F.regexp_extract("x", r"(?s)>([^<]*)<", 1))
+    sink = F.regexp_extract("x", r"^<([A-Za-z_][\w.-]*)", 1).alias("sink")
+    return rows.withColumn("raw", text).select("spider_id", "output_id", sink, decode_references("raw").alias("key"))
 
 
 def select_rules(steps: DataFrame, group: str | None = None, rule_set_id: str | None = None) -> DataFrame:

@@ -68,12 +68,17 @@ def map_pages_stream(pages: DataFrame, rules: DataFrame, out_path: str, name: st
 
 def running_url_counts(items: DataFrame) -> DataFrame:
     """R2: records per URL, kept as streaming state (``complete``/``update`` output)."""
-    return items.where(F.col("url").isNotNull()).groupBy("url").agg(F.count(F.lit(1)).alias("n"))
+    from gridweave.operators.aggregates import url_counts
 
+    return url_counts(items)
 
-def drop_seen_urls(pages: DataFrame, arrival: str | None = None, delay: str = "1 hour") -> DataFrame:
-    """Each URL once. With an arrival-time column, state is bounded by the
-    watermark (``dropDuplicatesWithinWatermark``); without one, it holds every URL."""
+
+def drop_seen_urls(pages: DataFrame, arrival: str | None = None, delay: str | None = None) -> DataFrame:
+    """Each URL once; the state holds every URL seen. With an arrival-time column and a
+    ``delay`` (say ``"1 hour"``) the state is bounded instead, at a price: a URL that comes
+    again later than that after its first arrival passes again."""
+    if (arrival is None) != (delay is None):
+        raise ValueError("give arrival and delay together")
     if arrival:
         return pages.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["url"])
     return pages.dropDuplicates(["url"])
