@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,8 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", limit: int = L
     @F.arrow_udf("array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>")
     def cut(texts: pa.Array) -> pa.Array:
         out = []
-        for ids in encoder(tokenizer).encode(texts.to_pylist()):
+        some = (texts.slice(lo, 256).to_pylist() for lo in range(0, len(texts), 256))
+        for ids in chain.from_iterable(map(encoder(tokenizer).encode, some)):
             raw = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
             at = cuts(len(raw) // 4, limit)
             rows = []

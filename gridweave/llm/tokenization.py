@@ -18,9 +18,11 @@ from itertools import chain, islice
 import numpy as np
 
 #: Pieces a worker keeps, some 250 bytes each; beyond it the rarer half is forgotten.
-KEEP = 500_000
+KEEP = 300_000
 #: Texts are cut into pieces so many characters at a time.
-STEP = 4_000_000
+STEP = 1_000_000
+#: Pieces encoded in one call, whose results are large until their ids are taken.
+CALL = 4096
 
 _RUN = re.compile(r"\s\s")
 _SIGNS = ".,;:!?"
@@ -108,8 +110,10 @@ class Encoder:
         # a sign after a letter is a part of its own, so the word's stem is encoded once
         stem = [t[:-1] if len(t) > 2 and t[-1] in _SIGNS and t[-2].isalpha() else t for t in texts]
         distinct = list(dict.fromkeys(chain(stem, _SIGNS)))
-        found = dict(zip(distinct, self._t.encode_batch(distinct, add_special_tokens=False)))
-        found = {k: v.ids for k, v in found.items()}
+        found = {}
+        for lo in range(0, len(distinct), CALL):
+            part = distinct[lo : lo + CALL]
+            found.update(zip(part, (e.ids for e in self._t.encode_batch(part, add_special_tokens=False))))
         ids = [found[s] if len(s) == len(t) else found[s] + found[t[-1]] for s, t in zip(stem, texts)]
         n = np.fromiter(map(len, ids), np.int64, len(ids))
         self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
