@@ -64,35 +64,34 @@ def write_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int
         held, have, over = [], 0, []
 
         def emit(n):
-            nonlocal chunk, first, held, have, over
-            ids = np.concatenate(held)
-            row = {"part": part, "chunk": chunk, "first": first, "n": n, "docs": [dict(zip(("doc_id", "first", "n"), d)) for d in over], "planes": to_planes(ids[:n], bits)}
-            held, have = [ids[n:]], have - n
+            nonlocal chunk, first, have, over
+            got, need = [], n
+            while need:
+                got.append(held[0][:need])
+                need -= len(got[-1])
+                held[0] = held[0][len(got[-1]) :]
+                if not len(held[0]):
+                    held.pop(0)
+            row = {"part": part, "chunk": chunk, "first": first, "n": n, "docs": [dict(zip(("doc_id", "first", "n"), d)) for d in over], "planes": to_planes(np.concatenate(got), bits)}
+            have -= n
             chunk, first = chunk + 1, first + n
             over = [d for d in over if d[1] + d[2] > first]
             return row
 
         for b in batches:
             rows = []
-            texts = b.column("text").to_pylist()
-            lo = 0
-            while lo < len(texts):  # bounds what is encoded but not yet written
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < 4_000_000):
-                    size += len(texts[hi])
-                    hi += 1
-                for d, ids in zip(b.column("doc_id").to_pylist()[lo:hi], encoder(tokenizer).encode(texts[lo:hi])):
+            for lo in range(0, b.num_rows, 256):  # bounds what is encoded but not yet written
+                some = b.slice(lo, 256)
+                for d, ids in zip(some.column("doc_id").to_pylist(), encoder(tokenizer).encode(some.column("text").to_pylist())):
                     held.append(np.append(ids, np.uint32(end)))
                     over.append((d, where, len(ids) + 1))
                     where, have = where + len(ids) + 1, have + len(ids) + 1
-                    if have >= block:
+                    while have >= block:
                         # documents that begin after a chunk's end belong to later chunks
-                        while have >= block:
-                            later = [x for x in over if x[1] >= first + block]
-                            over = [x for x in over if x[1] < first + block]
-                            rows.append(emit(block))
-                            over += later
-                lo = hi
+                        later = [x for x in over if x[1] >= first + block]
+                        over = [x for x in over if x[1] < first + block]
+                        rows.append(emit(block))
+                        over += later
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, _CHUNK)
         if have:
