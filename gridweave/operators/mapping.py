@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
-from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, row_bucket, running_sum
+from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, ranged_buckets, row_bucket, running_sum
 from gridweave.session import cut_lineage
 
 # Up to this many labels, matching is one code-generated regex per label evaluated
@@ -164,8 +164,8 @@ def header_order(grid: DataFrame, rules: DataFrame) -> DataFrame:
     h = find_headers(grid, rules)
     # Dense rank as a two-level running count, so a document with very many headers
     # is still numbered by many tasks.
-    bucket = F.struct(F.col("first_ord"), F.floor(F.col("table_id") / F.lit(1024)))
-    ranked = running_sum(h, "doc", ["first_ord", "table_id", "row_idx"], F.lit(1), "rank", bucket)
+    order = ["first_ord", "table_id", "row_idx"]
+    ranked = running_sum(ranged_buckets(h, "doc", order), "doc", order, F.lit(1), "rank", "__range")
     return ranked.select(*RKEY, F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.session import cut_lineage
+
 DEFAULT_BUCKET_ROWS = 1 << 16
 
 _B = "__bucket"
@@ -41,6 +43,16 @@ def _with_bucket(df: DataFrame, bucket: Column | str) -> tuple[DataFrame, str, b
     return df.withColumn(_B, bucket), _B, True
 
 
+def ranged_buckets(df: DataFrame, keys: Sequence[str] | str, order: Sequence[str] | str, out: str = "__range") -> DataFrame:
+    """``df`` with a bucket column for the scans below, from the data: rows are dealt into
+    ranges of (keys, order) and the range's number is the bucket. However the keys are
+    spread, there are at most as many (key, bucket) pairs as keys and ranges together, and
+    a key with many rows covers many ranges. Written once, as a range's bounds are
+    sampled and must not differ between two readings."""
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*_cols(keys), *_cols(order)]])
+    return cut_lineage(ranged.withColumn(out, F.spark_partition_id()))
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str] | str,

@@ -10,6 +10,7 @@ from gridweave.operators import aggregates as AG
 from gridweave.operators import mapping as M
 from gridweave.operators import pages as PG
 from gridweave.operators import shaping as SH
+from gridweave.operators.scan import ranged_buckets
 from gridweave.plans import fixtures as fx
 from gridweave.plans.catalog import register
 from gridweave.sinks.routing import route_outputs
@@ -41,14 +42,14 @@ def _items(spark, sf):
 
 @register("carry_heading")
 def q_carry(spark, sf):
-    ev = fx.headed_events(spark, sf)
+    ev = ranged_buckets(fx.headed_events(spark, sf), "user_id", ["ts", "event_id"])
     out = SH.carry_forward(
         ev,
         "user_id",
         ["ts", "event_id"],
         F.col("event_type") == "signup",
         F.col("event_id").cast("string"),
-        F.date_trunc("minute", F.col("ts")),
+        "__range",
         out="heading",
     )
     return out.select("event_id", "user_id", "heading")
@@ -192,6 +193,7 @@ def q_carry_reset(spark, sf):
     """E1, the ``dt`` variant: a heading without a label (a signup whose value is below
     10) resets the carried label to null instead of keeping the previous one."""
     ev = fx.read(spark, sf, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    ev = ranged_buckets(ev, "user_id", ["ts", "event_id"])
     label = F.when(F.col("value") >= 10, F.col("event_id").cast("string"))
     out = SH.carry_forward(
         ev,
@@ -199,7 +201,7 @@ def q_carry_reset(spark, sf):
         ["ts", "event_id"],
         F.col("event_type") == "signup",
         label,
-        F.date_trunc("minute", F.col("ts")),
+        "__range",
         out="heading",
         null_sets=True,
     )

@@ -48,3 +48,33 @@ def test_no_python_udfs_anywhere(spark):
     for name in ["map_records", "resolve_url", "quote_url", "rowspan_fill", "fuzzy_match"]:
         p = plan(E.queries()[name](spark, SF))
         assert "EvalPython" not in p and "PythonUDF" not in p, name
+
+
+def test_page_queries_read_html_once(spark):
+    from gridweave.operators import pages as PG
+    from gridweave.operators.selectors import placed_links
+    from gridweave.plans.fixtures import pages
+
+    p = pages(spark, SF)
+    for df in (PG.page_elements(PG.page_tokens(p)), PG.html_tables(p)):
+        text = plan(df)
+        assert len(re.findall(r"ReadSchema: struct<[^>]*html", text)) == 1
+        assert text.count("Exchange hashpartitioning") == 1  # by page, for every window and group
+    for name in ("node_text", "links_in_container", "link_neighbour", "article_blocks", "container_children"):
+        assert "html:string" not in plan(E.queries()[name](spark, SF)), name  # reads the stored tokens
+    assert "html:string" not in plan(placed_links(p, PG.stored_tokens(p)))
+
+
+def test_range_buckets_split_a_hot_key_and_bound_the_summary(spark):
+    from pyspark.sql import functions as F
+
+    from gridweave.operators.scan import carry_last, ranged_buckets
+
+    rows = spark.range(20_000).select(F.when(F.col("id") < 8_000, F.lit(0)).otherwise(F.col("id") % 3_000).alias("k"), "id")
+    b = ranged_buckets(rows.repartition(8), "k", "id")
+    pairs = b.select("k", "__range").distinct().count()
+    keys, ranges = b.select("k").distinct().count(), b.select("__range").distinct().count()
+    assert pairs <= keys + ranges
+    assert b.where("k = 0").select("__range").distinct().count() > 1 or ranges == 1
+    got = carry_last(b, "k", "id", F.when(F.col("id") % 50 == 0, F.col("id")), "v", "__range").where("k = 0 and v <> id - id % 50")
+    assert got.where("id < 8000").count() == 0
