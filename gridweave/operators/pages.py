@@ -280,3 +280,30 @@ def to_cells(grid: DataFrame) -> DataFrame:
         F.array(F.col("table_id").cast("bigint"), F.col("row_idx").cast("bigint"), F.col("col").cast("bigint")).alias("path"),
         "text",
     )
+
+
+def cells_to_grid(cells: DataFrame) -> DataFrame:
+    """Path-addressed cells of any depth as a grid: a row is an innermost list (its path
+    without the last index), a table the rows with one path before that. Tables are
+    numbered per document in path order; ``row_idx`` is the row's index in its table.
+
+    cells: doc, path ARRAY<INT or BIGINT> (two indexes or more), text. Output as
+    :func:`html_tables` without rowspans, ready for the mapping operators."""
+    path = F.col("path").cast("array<bigint>")
+    n = F.size("path")
+    rows = cells.where(n >= 2).select(
+        "doc", F.slice(path, F.lit(1), n - 2).alias("__table"), F.element_at(path, -2).alias("row_idx"), F.element_at(path, -1).alias("__c"), "text"
+    )
+    grid = rows.groupBy("doc", "__table", "row_idx").agg(F.array_sort(F.collect_list(F.struct("__c", "text"))).alias("x"))
+    tables = grid.select("doc", "__table").distinct()
+    tables = tables.withColumn("table_id", (F.row_number().over(Window.partitionBy("doc").orderBy("__table")) - 1).cast("bigint"))
+    return grid.join(tables, ["doc", "__table"]).select("doc", "table_id", "row_idx", F.transform("x", lambda c: c["text"]).alias("cells"))
+
+
+def children_cells(children: DataFrame) -> DataFrame:
+    """T12 as cells: the child elements of each container (page_id, c_start, child_no,
+    text, and optionally ``piece``, the texts of its parts) as ``(doc, path, text)`` with
+    path = [container, child, part]."""
+    parts = F.col("piece") if "piece" in children.columns else F.array("text")
+    x = children.select(F.col("page_id").cast("string").alias("doc"), "c_start", "child_no", F.posexplode(parts).alias("part", "text"))
+    return x.select("doc", F.array("c_start", F.col("child_no").cast("bigint") - 1, F.col("part").cast("bigint")).alias("path"), "text")

@@ -84,7 +84,7 @@ def _written_once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFra
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key in _WRITTEN:
         return spark.read.parquet(_WRITTEN[key])
-    written = cut_lineage(build())
+    written = cut_lineage(build(), keep=True)
     files = written.inputFiles()
     if files:
         _WRITTEN[key] = files[0].rsplit("/", 1)[0]

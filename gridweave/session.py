@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -46,14 +47,35 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+_open_scopes: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def intermediates(spark: SparkSession):
+    """Tables that :func:`cut_lineage` writes inside are deleted when this ends; results
+    that read them must be written or collected by then."""
+    made: list[str] = []
+    _open_scopes.append(made)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(made)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write ``df`` once as a Parquet table under the shared checkpoint folder and read it
     back: the plan is computed a single time, survives executor loss (files on shared
     storage, not executor memory), and the re-read scan carries real size statistics
-    for the planner."""
+    for the planner. ``keep`` leaves it when an :func:`intermediates` scope ends."""
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), f"gw-{uuid.uuid4().hex}")
     df.write.mode("error").parquet(path)
+    if _open_scopes and not keep:
+        _open_scopes[-1].append(path)
     return spark.read.parquet(path)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridweave.session import checkpoint_dir
+from gridweave.session import checkpoint_dir, intermediates
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -41,11 +41,11 @@ def keyed_batch_writer(out_path: str, transform, key: str | None = None):
     (overwrite), so a replayed batch replaces its own output and nothing else."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = transform(batch)
-        w = out.write.mode("overwrite")
-        if key:
-            w = w.partitionBy(key)
-        w.parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+        with intermediates(batch.sparkSession):
+            w = transform(batch).write.mode("overwrite")
+            if key:
+                w = w.partitionBy(key)
+            w.parquet(os.path.join(out_path, f"batch_id={batch_id}"))
 
     return write
 

@@ -115,3 +115,23 @@ def test_selectors(spark):
     assert pick("//div[@id='m']//a") == ["one"]
     assert pick("//ul[@class='l']/li/a") == ["one"] and pick("//ul/a") == ["three"] and pick("/p/a") == ["two"] and pick("//*[@id='m']/a") == []
     assert {r.dst_url for r in lk.collect()} == {"http://s.org/1", "http://s.org/2%20%C3%A9", "http://s.org/3"}
+
+
+def test_other_layouts_map_like_tables(spark):
+    """A list page: T12 children, split at a sign, become cells and are mapped; deeper
+    paths make the same grid."""
+    from pyspark.sql import functions as F
+
+    from gridweave.operators.mapping import map_records
+    from gridweave.sources.rules import rules_frame
+
+    html = "<ul class=x><li>name: age: city</li><li>ann: 1: x</li><li>bob: 2: y</li></ul>"
+    t = PG.stored_tokens(frame(spark, html))
+    kids = PG.container_children(PG.page_elements(t), "class", "x", ("li",))
+    txt = PG.element_text(kids.select("page_id", "c_start", "start", "end", "child_no"), t)
+    cells = PG.children_cells(txt.withColumn("piece", F.split("text", ": ")))
+    rules = rules_frame(spark, "r", [(0, "attr", "name", "N", None), (1, "attr", "age", "A", None), (2, "attr", "city", "C", None)])
+    want = [("ann", "1", "x"), ("bob", "2", "y")]
+    assert sorted((r.N, r.A, r.C) for r in map_records(PG.cells_to_grid(cells), rules).collect()) == want
+    deep = cells.withColumn("path", F.concat(F.array(F.lit(7).cast("bigint"), F.lit(3).cast("bigint")), "path"))
+    assert sorted((r.N, r.A, r.C) for r in map_records(PG.cells_to_grid(deep), rules).collect()) == want
