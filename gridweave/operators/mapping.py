@@ -471,15 +471,8 @@ def describe_table(grid: DataFrame, rules: DataFrame, bucket_rows: int = DEFAULT
     # Headers in rank order per document; two-level so a document with very many
     # headers still spreads out.
     b = b.withColumn("rk", F.struct("first_ord", "table_id", "row_idx"))
-    b = carry_last(
-        b,
-        "doc",
-        ["first_ord", "table_id", "row_idx"],
-        prev,
-        "prev",
-        F.struct(F.col("first_ord"), F.floor(F.col("table_id") / F.lit(1024))),
-        inclusive=False,
-    )
+    order = ["first_ord", "table_id", "row_idx"]
+    b = carry_last(ranged_buckets(b, "doc", order), "doc", order, prev, "prev", "__range", inclusive=False)
     start = F.when(F.col("prev.t") == F.col("table_id"), F.col("prev.e") + 1).otherwise(F.lit(0))
     heads = b.where(F.col("data_end").isNotNull()).select(*RKEY, start.alias("d_start"))
     # Range join rows [d_start, row_idx) of the same table, through row buckets.
@@ -525,15 +518,8 @@ def select_title(grid: DataFrame, rules: DataFrame, n: int, regex: str | None =
     """
     lay = header_layout(grid, rules)
     b = region_bounds(grid, rules, lay)
-    b = carry_last(
-        b,
-        "doc",
-        ["first_ord", "table_id", "row_idx"],
-        F.col("break_end"),
-        "prev_end",
-        F.struct(F.col("first_ord"), F.floor(F.col("table_id") / F.lit(1024))),
-        inclusive=False,
-    )
+    order = ["first_ord", "table_id", "row_idx"]
+    b = carry_last(ranged_buckets(b, "doc", order), "doc", order, F.col("break_end"), "prev_end", "__range", inclusive=False)
     t_row = F.col("row_idx") - F.lit(n)
     b = b.withColumn("t_row", t_row).withColumn(
         "ok", (F.col("t_row") >= 0) & (F.col("t_row") > F.coalesce(F.col("prev_end"), F.lit(-1)))

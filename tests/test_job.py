@@ -108,3 +108,12 @@ def test_grid_files(spark, tmp_path):
 
     assert to_cells(read_grid(spark, str(folder))).count() == 8
     assert os.path.basename(read_grid(spark, str(folder)).first()["doc"]) == "book"
+
+
+def test_routing_by_an_expression(spark):
+    from gridweave.sinks.routing import route_outputs
+
+    items = spark.createDataFrame([("http://a/x",), ("http://b/y",), ("http://c/z",)], "url string")
+    outs = spark.createDataFrame([("A", "csv", "ka"), ("default", "csv", "kd")], "output_id string, sink string, key string")
+    got = route_outputs(items, outs, lambda d: F.when(d.url.contains("//a/"), F.lit("A")).otherwise(F.lit("none")))
+    assert sorted((r.url, r.key) for r in got.collect()) == [("http://a/x", "ka"), ("http://b/y", "kd"), ("http://c/z", "kd")]
