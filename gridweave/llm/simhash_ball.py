@@ -9,8 +9,9 @@ block carries fingerprints instead of 2,081 variants each. Within a bucket the v
 sorted; fingerprints that meet on one are linked to the smallest of them after a check of
 their distance, which keeps every connection without emitting pairs.
 
-The number of buckets is chosen from the count of distinct fingerprints so that a bucket
-holds about ``BUCKET_VARIANTS`` variants; it never changes the result.
+A fingerprint goes to 256 buckets while one bucket can hold all (``BUCKET_FINGERPRINTS``),
+and beyond that to the up to 2,081 of more buckets; a bucket takes its variants in turns of
+about ``BUCKET_VARIANTS``. Neither changes the result.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and
 links like any other; a text of fewer words than a shingle is one shingle; repeated rows are
@@ -20,6 +21,7 @@ id unless all its rows lack one. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -33,7 +35,8 @@ from gridweave.llm.common import cut_lineage, text_or_empty
 from gridweave.llm.components import connected_components
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
-BUCKET_VARIANTS = 4_000_000
+#: Variants sorted at a time, and fingerprints that a bucket may hold (8 bytes each).
+BUCKET_VARIANTS, BUCKET_FINGERPRINTS = 4_000_000, 16_000_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -57,12 +60,14 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
     return pa.array(np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64))
 
 
+@functools.cache
 def masks(radius: int = RADIUS) -> np.ndarray:
     """All masks of at most half the radius (rounded up) flipped bits."""
     half = -(-radius // 2)
     return np.array([sum(1 << b for b in c) for k in range(half + 1) for c in combinations(range(64), k)], np.uint64)
 
 
+@functools.cache
 def _tables(bits: int) -> np.ndarray:
     """Per byte of a word, the xor of its bits' columns: a linear hash to ``bits`` bits."""
     column = np.random.default_rng(64).permutation(np.arange(1, max(128, 1 << bits)))[:64] & ((1 << bits) - 1)
@@ -100,14 +105,26 @@ def _roots(member: np.ndarray, root: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return nodes[keep], nodes[low[keep]]
 
 
-def meet(fps: np.ndarray, bucket: int, bits: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links among ``fps`` (distinct) whose variants fall into one bucket and coincide there."""
+class Indexed:
+    """Distinct fingerprints by the linear hash of their bits."""
+
+    def __init__(self, fps: np.ndarray, bits: int):
+        own = bucket_of(fps, bits)
+        order = np.argsort(own, kind="stable")
+        self.bits, self.fps, self.own = bits, fps[order], own[order]
+
+    def having(self, key: int) -> np.ndarray:
+        a, b = np.searchsorted(self.own, [key, key + 1])
+        return self.fps[a:b]
+
+
+def meet(fps: Indexed, key: int, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links among fingerprints whose variants have the hash ``key`` and coincide."""
     m = masks(radius)
-    kind = bucket_of(m, bits)
-    own = bucket_of(fps, bits)
+    kind = bucket_of(m, fps.bits)
     variants, parents = [], []
     for k in np.unique(kind):
-        sel = fps[own == (bucket ^ k)]
+        sel = fps.having(int(key ^ k))
         if len(sel):
             variants.append((sel[:, None] ^ m[kind == k][None, :]).ravel())
             parents.append(np.repeat(sel, int((kind == k).sum())))
@@ -134,18 +151,27 @@ def fingerprint_column(text):
     return F.arrow_udf(_fingerprints, "long")(text)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fps(fp)`` of distinct longs -> ``(a, b)`` links that connect all within ``radius``."""
-    n = fps.count()
-    bits = max(8, int(np.ceil(np.log2(max(1, n * len(masks(radius)) / BUCKET_VARIANTS)))))
+def sizes(n: int, radius: int = RADIUS) -> tuple[int, int]:
+    """Bits of the hash that name a bucket, and further bits by which a bucket's variants
+    are taken in turns, for ``n`` distinct fingerprints."""
+    every = n * len(masks(radius))
+    bits = 8 if n <= BUCKET_FINGERPRINTS else int(np.ceil(np.log2(every / BUCKET_FINGERPRINTS)))
+    turns = max(0, int(np.ceil(np.log2(max(1, every / BUCKET_VARIANTS)))) - bits)
+    return bits, turns
+
+
+def links(fps: DataFrame, radius: int = RADIUS, split: tuple[int, int] | None = None) -> DataFrame:
+    """``fps(fp)`` of distinct longs -> ``(a, b)`` links that connect all within ``radius``.
+    ``split`` sets what :func:`sizes` would choose."""
+    bits, turns = split or sizes(fps.count(), radius)
 
     def send(batches):
-        nonempty = np.unique(bucket_of(masks(radius), bits))
+        nonempty = np.unique(bucket_of(masks(radius), bits + turns) >> turns)
         for b in batches:
             x = b["fp"].to_numpy(np.int64).view(np.uint64)
             for lo in range(0, len(x), 8192):
                 part = np.sort(x[lo : lo + 8192])
-                to = (bucket_of(part, bits)[:, None] ^ nonempty[None, :]).ravel()
+                to = ((bucket_of(part, bits + turns) >> turns)[:, None] ^ nonempty[None, :]).ravel()
                 order = np.argsort(to, kind="stable")
                 to, who = to[order], part[order // len(nonempty)]
                 cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
@@ -153,8 +179,9 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pd.DataFrame({"bucket": to[cut], "block": [who[i:j].tobytes() for i, j in zip(cut, ends)]})
 
     def gather(key, rows):
-        x = np.frombuffer(b"".join(rows["block"]), np.uint64)
-        a, b = meet(x, int(key[0]), bits, radius)
+        x = Indexed(np.frombuffer(b"".join(rows["block"]), np.uint64), bits + turns)
+        found = [meet(x, (int(key[0]) << turns) | k, radius) for k in range(1 << turns)]
+        a, b = (np.concatenate(f) for f in zip(*found))
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     blocks = fps.mapInPandas(send, "bucket long, block binary")

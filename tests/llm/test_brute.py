@@ -87,22 +87,41 @@ def test_simhash(spark, given, which):
     assert len(kept) == len(set(comp.values()))
 
 
-def test_ball_finds_every_link():
+@pytest.mark.parametrize("split_by", [(8, 0), (8, 2), (9, 1)])
+def test_ball_connects_what_is_near(spark, split_by):
     rng = np.random.default_rng(3)
-    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
     near = base.copy()
     for k in range(len(near)):
-        for b in rng.choice(64, k % 5, replace=False):
+        for b in rng.choice(64, k % 7, replace=False):
             near[k] ^= np.uint64(1) << np.uint64(b)
     fps = np.unique(np.concatenate([base, near]))
-    links = set()
-    for bucket in range(256):
-        a, b = simhash_ball.meet(fps, bucket, 8)
-        links |= set(zip(a.tolist(), b.tolist()))
-    assert all(bin(a ^ b).count("1") <= 4 * 4 for a, b in links)
-    seen = {a for a, _ in links} | {b for _, b in links}
-    for a, b in zip(base.tolist(), near.tolist()):
-        assert a == b or (a in seen and b in seen)
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    got = simhash_ball.links(df, split=split_by).collect()
+    unsigned = lambda x: x & (2**64 - 1)
+    joined = brute_components(fps.tolist())
+    top = {f: f for f in fps.tolist()}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in got:
+        a, b = unsigned(r.a), unsigned(r.b)
+        assert joined[a] == joined[b]  # nothing is linked that no chain of near pairs links
+        top[find(a)] = find(b)
+    named = {}
+    for f in joined:
+        assert named.setdefault(joined[f], find(f)) == find(f)
+    assert len(set(named.values())) == len(named)
+
+
+def test_bucket_sizes():
+    assert simhash_ball.sizes(0) == (8, 0) and simhash_ball.sizes(236_000) == (8, 0)
+    assert simhash_ball.sizes(15_000_000) == (8, 5)
+    bits, turns = simhash_ball.sizes(10**9)
+    assert 10**9 * 2081 / 2**bits <= 16_000_000 and turns <= 3
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
