@@ -18,7 +18,7 @@ from itertools import chain, islice
 import numpy as np
 
 #: Pieces a worker keeps, some 250 bytes each; beyond it the rarer half is forgotten.
-KEEP = 300_000
+KEEP = 500_000
 #: Texts are cut into pieces so many characters at a time.
 STEP = 1_000_000
 #: Pieces encoded in one call, whose results are large until their ids are taken.
