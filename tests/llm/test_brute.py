@@ -239,6 +239,46 @@ def test_slots_follow_the_shares(spark, given):
         assert all(abs(n[s] - upto * t / total) < 6 for s, t in share.items())
 
 
+@pytest.mark.parametrize("which", ["given", "short"])
+def test_slots_choose_the_blocks(spark, given, which):
+    """``short``: sources far below a slot's share beside one that fills most slots."""
+    docs = given if which == "given" else odd(spark, [(i, "w " * 200, "b") for i in range(200)] + [(1000 + i, "v " * (30 + i), f"s{i:02}") for i in range(25)])
+    sizes = mixing.sized(docs)
+    plan = mixing.targets(sizes)
+    target = {r.sk: r.target for r in plan.collect()}
+    need = {s: -(-int(t) // 64) for s, t in target.items()}
+    rows = mixing.mix(sizes, plan, 64).collect()
+    blocks, filled = defaultdict(set), Counter()
+    for r in rows:
+        blocks[r.slot].add((r.sk, r.rank))
+        filled[r.slot] += r.length
+    assert sorted(blocks) == list(range(sum(need.values())))  # every slot has a block, every block a slot
+    assert all(len(b) == 1 for b in blocks.values())
+    order = [next(iter(blocks[s])) for s in range(len(blocks))]
+    for s, n in need.items():  # a source's slots take its blocks in order
+        assert [k for x, k in order if x == s] == list(range(n))
+    assert all(filled[i] == min(64, int(target[s]) - 64 * k) for i, (s, k) in enumerate(order))
+    # the golden-ratio points decide the source of all but the slots that change hands
+    edges, names = np.cumsum([target[s] for s in sorted(target)]) / sum(target.values()), sorted(target)
+    points = [names[int(np.searchsorted(edges, (i + 1) * mixing.PHI % 1.0, "right"))] for i in range(len(order))]
+    extra = sum(max(0, n - need[s]) for s, n in Counter(points).items())
+    assert sum(a != b for a, (b, _) in zip(points, order)) == extra and (which == "given" or extra > 0)
+    first = {}
+    for r in rows:
+        first[r.doc_id] = min(first.get(r.doc_id, r.slot), r.slot)
+    for r in mixing.mixed_taken(docs, block=64).collect():
+        assert r.slot == first.get(r.doc_id) and (r.slot is None) == (r.taken == 0)
+
+
+def test_mixed_documents_stand_in_slot_order(spark, given):
+    rows = mixing.mix(sizes := mixing.sized(given), mixing.targets(sizes), 64).collect()
+    place = defaultdict(list)
+    for r in rows:
+        place[r.doc_id, r["pass"]].append((r.slot, r.at))
+    want = [d for d, _ in sorted(place, key=lambda x: min(place[x]))]
+    assert [r.doc_id for r in mixing.mixed_documents(given, block=64).collect()] == want
+
+
 @pytest.fixture(scope="module")
 def hf():
     import public_tokenizers
