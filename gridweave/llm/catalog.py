@@ -7,7 +7,7 @@ from gridweave.llm.common import read
 
 
 def op1_elias_fano_trie(spark, sf_dir):
-    return ngram_trie.score_corpus(read(spark, sf_dir, "documents"))
+    return ngram_trie.score_corpus(read(spark, sf_dir, "documents"), order=3, least=1)
 
 
 def op2_mix_sources(spark, sf_dir):

@@ -68,6 +68,16 @@ def test_trie(spark, which, order):
         assert abs(g[6] - w[6]) <= 2e-3 * g[2] + 1e-6
 
 
+def test_registered_trie_is_whole(spark):
+    """Order 3 with every n-gram that was seen, also those seen once."""
+    rows = [(r.doc_id, r.text or "") for r in read(spark, SF, "documents").collect()]
+    want = {r[0]: r for r in brute_scores(rows, 3, least=1)}
+    got = catalog.op1_elias_fano_trie(spark, SF).collect()
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r.score - want[r.doc_id][6]) <= 2e-3 * r.n_tokens + 1e-6
+
+
 def test_trie_without_training_texts(spark):
     got = ngram_trie.score_corpus(spark.createDataFrame([(None, "a b", None, None, None, None, None, None)], SCHEMA)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)]
