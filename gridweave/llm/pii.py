@@ -2,9 +2,9 @@
 
 Kinds ``email``, ``ip``, ``card`` and ``phone`` follow fixed patterns (leftmost, not
 overlapping within a kind; a match that fails its check is dropped without another try) and
-are always kept. Two more kinds need more evidence: ``iban`` (shape, country's check digits
-by mod-97) and ``ssn`` (shape, ranges never issued left out); they are kept only where
-score and context words reach ``MIN_SCORE``.
+are always kept. Two more kinds need more evidence: ``iban`` (shape, cut to its country's
+length, check digits by mod-97) and ``ssn`` (shape, ranges never issued left out); they are
+kept only where score and context words reach ``MIN_SCORE``.
 
 A span's score starts at its kind's prior, rises when a checksum confirms it and moves by
 context words within ``CONTEXT`` characters on either side. All patterns scan in linear
@@ -52,6 +52,15 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+# Lengths of countries' numbers. A code without one takes all that fits _IBAN.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_OF = {c: re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n, cs in _IBAN_LENGTHS.items() for c in cs.split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[a-z]+")
@@ -100,9 +109,13 @@ def _phones(text: str):
 
 
 def _ibans(text: str):
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
+    at = 0
+    while head := _IBAN_HEAD.search(text, at):
+        at = head.end()
+        m = _IBAN_OF.get(head[0][:2], _IBAN).match(text, head.start())
+        if m and mod97(m[0]):
             yield m.span()
+            at = m.end()
 
 
 def _ssns(text: str):

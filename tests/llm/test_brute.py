@@ -172,6 +172,20 @@ def test_pii_more_kinds_and_mask():
     assert pii.mask("1" * 200_000 + "@" + "a." * 1000) is not None  # linear in the text
 
 
+def test_iban_ends_at_its_countrys_length():
+    for iban, after in (
+        ("DE89 3704 0044 0532 0130 00", " BIC COBADEFF"), ("DE89370400440532013000", " 2024"), ("GB82 WEST 1234 5698 7654 32", " AB 12 CD 34"),
+        ("NO93 8601 1117 947", " 1"), ("MT84MALT011000012345MTLCAST001S", " X"), ("BE68 5390 0754 7034", ""),
+    ):
+        t = "IBAN " + iban + after
+        assert [x[:3] for x in pii.find_spans(t) if x[0] == "iban"] == [("iban", 5, 5 + len(iban))], t
+        assert pii.mask(t).startswith("IBAN [IBAN]")
+    # a code in front and a second number behind a first
+    both = "REF AB12 DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32"
+    assert [both[a:b] for k, a, b, _ in pii.find_spans(both) if k == "iban"] == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert not [x for x in pii.find_spans("IBAN DE89370400440532013000X and DE88 3704 0044 0532 0130 00 BIC") if x[0] == "iban"]
+
+
 def brute_targets(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
     w = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
