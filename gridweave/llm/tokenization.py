@@ -54,7 +54,7 @@ class Encoder:
 
             name = public_tokenizers.path(name)
         self._t = Tokenizer.from_file(name)
-        self._t.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._added = [t.content for t in self._t.get_added_tokens_decoder().values()]
         split = json.loads(self._t.pre_tokenizer.__getstate__()) if self._t.pre_tokenizer else {}
         # piece by piece holds for plain byte-level splitting only
         self._by_piece = self._t.normalizer is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
@@ -81,7 +81,7 @@ class Encoder:
     def _some(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._numbers) > KEEP:
             self._forget()
-        odd = [i for i, t in enumerate(texts) if _RUN.search(t)]
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self._added) or _RUN.search(t)]
         skip = set(odd)
         # the first piece of a text has no space before it, nor one that begins with a line feed
         cut = [[] if i in skip else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]

@@ -313,6 +313,26 @@ def test_encoder_gives_the_tokenizers_ids(hf):
     assert [x.tolist() for x in e.encode(made)] == [x.ids for x in hf.encode_batch(made, add_special_tokens=False)]
 
 
+def test_special_strings_are_recognised(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    made = ["x<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>", "one\n<|endoftext|>two", "<|endoftext>", "no such string"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in made]
+    assert want[0] == [87, 50256]
+    rng, signs = np.random.default_rng(9), ["a", " ", "\n", "  ", "it's", ".", "é", "<|endoftext|>", "<|", "|>", "endoftext", "12", "\t", "中"]
+    mixed = ["".join(rng.choice(signs, rng.integers(0, 12))) for _ in range(3000)]
+    assert [x.tolist() for x in encoder("byte_bpe_50k.json").encode(mixed)] == [x.ids for x in plain.encode_batch(mixed, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder("byte_bpe_50k.json").encode(made)] == want
+    docs, at = odd(spark, [(i, t, "s") for i, t in enumerate(made)]), 0
+    for r in sorted(token_files.read_documents(spark, token_files.write_tokens(docs)).collect(), key=lambda r: r.doc_id):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(want[r.doc_id]) + 1, crc([*want[r.doc_id], 2]))
+        at += r.n_tokens
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs).collect()}
+    assert got == {i: (len(ids) + 1, crc([*ids, 0])) for i, ids in enumerate(want)}
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
