@@ -212,16 +212,18 @@ class Model:
             node = found
         return node, word
 
-    def left(self, node: np.ndarray, level: int) -> np.ndarray:
-        """g(h) of nodes: the mass that their children leave."""
+    def left(self, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """g(h) of nodes: the mass that their children leave, and whether they have any
+        (a mass near 1 is stored as 1, so the mass does not tell)."""
         node, back = np.unique(node, return_inverse=True)
-        out = np.ones(len(node))
+        out, has = np.ones(len(node)), np.zeros(len(node), bool)
         some = np.flatnonzero(node >= 0)
         if len(self.backs) > level and len(some):
             at = self.backs[level].find(np.zeros(len(some), np.uint64), node[some].astype(np.uint64))
             hit = at >= 0
             out[some[hit]] = _value(self.backs[level].payload(at[hit], "left"))
-        return out[back]
+            has[some[hit]] = True
+        return out[back], has[back]
 
     def bottom(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.n + 0.1 * (self.v + 1))
@@ -236,10 +238,9 @@ class Model:
         first[begins] = True
         for k in range(2, self.order + 1):
             parent, word = self.parents(ids, begins, k)
-            left = self.left(parent, k - 2)
+            left, has = self.left(parent, k - 2)
             p = left * p
-            # a context that leaves all its mass has no kept children
-            some = np.flatnonzero((parent >= 0) & (word >= 0) & (left < 1))
+            some = np.flatnonzero((parent >= 0) & (word >= 0) & has)
             node = self.levels[k - 1].find(parent[some].astype(np.uint64), word[some].astype(np.uint64))
             hit = node >= 0
             p[some[hit]] += _value(self.levels[k - 1].payload(node[hit], "prob"))

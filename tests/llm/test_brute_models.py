@@ -78,6 +78,15 @@ def test_registered_trie_is_whole(spark):
         assert abs(r.score - want[r.doc_id][6]) <= 2e-3 * r.n_tokens + 1e-6
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_kept_pairs_of_a_hot_context(spark, order):
+    """A context whose kept pairs hold less mass than a step of the stored logarithms."""
+    rows = [(1, " ".join(f"h u{i}" for i in range(20_000)) + " h k h k"), (2, "h k")]
+    want = {r[0]: r[6] for r in brute_scores(rows, order)}
+    got = {r.doc_id: r.score for r in ngram_trie.score_corpus(odd(spark, [(*r, "s") for r in rows]), order).collect()}
+    assert not held(1, 10) and abs(got[2] - want[2]) <= 6e-3
+
+
 def test_trie_without_training_texts(spark):
     got = ngram_trie.score_corpus(spark.createDataFrame([(None, "a b", None, None, None, None, None, None)], SCHEMA)).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)]
