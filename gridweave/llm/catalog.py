@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import adaptive_rules, itq, langid, mixing, ngram_trie, packing, pii, quality_mil, simhash_ball, token_files
+from gridweave.llm import adaptive_rules, itq, langid, mixing, ngram_trie, packing, pii, quality_mil, resampling, simhash_ball, token_files, toxicity, vector_code
 from gridweave.llm.common import read
 
 
@@ -46,11 +46,23 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(read(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark, sf_dir):
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op12_dual_tree_codes(spark, sf_dir):
+    return vector_code.vector_codes(read(spark, sf_dir, "embeddings"))
+
+
+def op13_compression_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_elias_fano_trie, op2_mix_sources, op3_token_planes, op4_pii, op5_itq_near_dups, op6_quality_mil, op7_simhash_ball, op8_language_fusion, op9_adaptive_rules, op10_best_fit_packing, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op9_adaptive_rules": adaptive_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_elias_fano_trie, op2_mix_sources, op3_token_planes, op4_pii, op5_itq_near_dups, op6_quality_mil, op7_simhash_ball, op8_language_fusion, op9_adaptive_rules, op10_best_fit_packing, op11_importance_resampling, op12_dual_tree_codes, op13_compression_toxicity, pipeline)}
+ORACLE_SQL: dict[str, str] = {"op9_adaptive_rules": adaptive_rules.ORACLE, "op11_importance_resampling": resampling.ORACLE, "op12_dual_tree_codes": vector_code.ORACLE}
