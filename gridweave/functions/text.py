@@ -98,9 +98,18 @@ def decode_references(c) -> Column:
     return F.when(c.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(c)
 
 
+def strip_tags(c) -> Column:
+    """``c`` without its tags, in time linear in its length: after the last ``>`` there is no
+    tag, and no ``<`` there is tried as one. Give a column rather than an expression."""
+    c = _c(c)
+    tail = F.substring_index(c, ">", -1)
+    tags = lambda x: F.regexp_replace(x, r"<[^>]*>", "")
+    return F.when(tail.contains("<"), F.concat(tags(F.substr(c, F.lit(1), F.length(c) - F.length(tail))), tail)).otherwise(tags(c))
+
+
 def node_text(c) -> Column:
     """All text under an element: drop tags, decode character references."""
-    return decode_references(F.regexp_replace(_c(c), r"<[^>]*>", ""))
+    return decode_references(strip_tags(c))
 
 
 def attr(tag_token, name: str) -> Column:

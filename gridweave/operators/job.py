@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.text import node_text
 from gridweave.operators.frontier import MERGE_LEVELS, assign_steps
 from gridweave.operators.mapping import load_ruleset, map_records, select_values
-from gridweave.operators.pages import STRIP_RE, fill_rowspan, html_tables, stored_tokens
+from gridweave.operators.pages import fill_rowspan, html_tables, stored_tokens, strip_blocks
 from gridweave.operators.selectors import placed_links
 from gridweave.session import cut_lineage
 from gridweave.sinks.routing import route_outputs
@@ -101,7 +101,7 @@ def run_rules(pages: DataFrame, steps: DataFrame, rules: DataFrame, outputs: Dat
         selects = bool(load_ruleset(own).selects)
         records = map_records(grid, own, keep_header=selects)
         if selects:
-            text = data.select(F.col("page_id").cast("string").alias("doc"), F.regexp_replace("html", STRIP_RE, "").alias("raw"))
+            text = data.select(F.col("page_id").cast("string").alias("doc"), strip_blocks("html").alias("raw"))
             records = select_values(records, own, text.select("doc", node_text("raw").alias("text")))
         fields = load_ruleset(own).output_columns
         item = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f"`{f}`").cast("string") for f in fields]))

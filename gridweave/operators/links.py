@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import attr, decode_references, fuzzy_match_literal
+from gridweave.functions.text import attr, decode_references, fuzzy_match_literal, strip_tags
 from gridweave.functions.urls import resolve_url
-from gridweave.operators.pages import STRIP_RE, contained_in, element_text
+from gridweave.operators.pages import contained_in, element_text, strip_blocks
 
 # Where an anchor begins, and where its content ends.
 ANCHOR_START = r"(?i)(?=<a[\s>/])"
@@ -24,13 +24,14 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
     Columns: page_id, src_url, pos, href, dst_url, text.
     """
-    clean = F.regexp_replace(F.col("html"), STRIP_RE, "")
+    clean = strip_blocks("html")
     anchors = F.filter(F.split(clean, ANCHOR_START), lambda x: x.rlike(ANCHOR_TAG))
     a = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(anchors).alias("pos", "a"))
     open_tag = F.regexp_extract(F.col("a"), r"(?is)^<a\b[^>]*>", 0)
-    raw = F.regexp_replace(F.split(F.col("a"), ANCHOR_END, 2)[0], r"<[^>]*>", "")
+    raw = F.split(F.col("a"), ANCHOR_END, 2)[0]
     # values that later expressions use many times are columns of their own first
     a = a.select("page_id", "src_url", F.col("pos").cast("bigint").alias("pos"), attr(open_tag, "href").alias("href"), raw.alias("raw"))
+    a = a.withColumn("raw", strip_tags("raw"))
     return a.select(
         "page_id", "src_url", "pos", "href", resolve_url(F.col("src_url"), F.col("href")).alias("dst_url"), decode_references("raw").alias("text")
     )

@@ -91,43 +91,33 @@ def _labels(rules: DataFrame) -> DataFrame:
     )
 
 
+def label_hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` joined with every attribute label that fuzzy-matches their ``cell``: their
+    columns, and ``ord`` and ``target`` of the label."""
+    rs = load_ruleset(rules)
+    if len(rs.attrs) <= INLINE_LABELS:
+        hit = [
+            F.when(fuzzy_match_literal(F.col("cell"), src), F.struct(F.lit(o).alias("ord"), F.lit(t).alias("target")))
+            for o, src, t in rs.attrs
+        ]
+        hits = F.array_compact(F.array(*hit)) if hit else F.array().cast("array<struct<ord:int,target:string>>")
+        return rows.select(*rows.columns, F.explode(hits).alias("__h")).select(*rows.columns, "__h.ord", "__h.target")
+    lab = _labels(rules)
+    cond = (F.col("l_len") <= F.length("cell")) & fuzzy_match(F.col("cell"), F.col("label"))
+    return rows.join(lab, cond, "inner").select(*rows.columns, F.col("l_ord").alias("ord"), F.col("l_target").alias("target"))
+
+
 def cell_hits(grid: DataFrame, rules: DataFrame) -> DataFrame:
     """Every (cell, label) pair where the label fuzzy-matches the cell.
 
     Columns: doc, table_id, row_idx, col, cell, n_cells, ord, target.
     """
-    rs = load_ruleset(rules)
     cells = grid.select(
         *RKEY,
         F.size("cells").alias("n_cells"),
         F.posexplode("cells").alias("col", "cell"),
     )
-    if len(rs.attrs) <= INLINE_LABELS:
-        hit_list = F.array_compact(
-            F.array(
-                *[
-                    F.when(
-                        fuzzy_match_literal(F.col("cell"), src),
-                        F.struct(F.lit(o).alias("ord"), F.lit(t).alias("target")),
-                    )
-                    for o, src, t in rs.attrs
-                ]
-            )
-        )
-        return cells.select(*RKEY, "col", "cell", "n_cells", F.explode(hit_list).alias("h")).select(
-            *RKEY, "col", "cell", "n_cells", F.col("h.ord").alias("ord"), F.col("h.target").alias("target")
-        )
-    cells = cells.withColumn("c_len", F.length("cell"))
-    lab = _labels(rules)
-    cond = (F.col("l_len") <= F.col("c_len")) & fuzzy_match(F.col("cell"), F.col("label"))
-    return cells.join(lab, cond, "inner").select(
-        *RKEY,
-        "col",
-        "cell",
-        "n_cells",
-        F.col("l_ord").alias("ord"),
-        F.col("l_target").alias("target"),
-    )
+    return label_hits(cells, rules).select(*RKEY, "col", "cell", "n_cells", "ord", "target")
 
 
 def dedup_sources(rules: DataFrame) -> DataFrame:
@@ -386,6 +376,7 @@ def map_records(
     mode: str = "last",
     keep_header: bool = False,
     bucket_rows: int = DEFAULT_BUCKET_ROWS,
+    layout: DataFrame | None = None,
 ) -> DataFrame:
     """M5: data rows projected onto the rule targets (M13 order). Two columns mapped to
     one target: the rightmost wins; a target without a column is ``''``.
@@ -393,7 +384,7 @@ def map_records(
     Columns: doc, table_id, row_idx, <targets...> (+ ``hdr`` when ``keep_header``).
     """
     rs = load_ruleset(rules)
-    rows = data_rows(grid, rules, mode, bucket_rows)
+    rows = data_rows(grid, rules, mode, bucket_rows, layout)
     outs = [_project(t, mode == "first").alias(t) for t in rs.targets]
     extra = ["hdr"] if keep_header else []
     return rows.select(*RKEY, *outs, *extra)
@@ -458,14 +449,14 @@ def region_bounds(grid: DataFrame, rules: DataFrame, layout: DataFrame | None =
     )
 
 
-def describe_table(grid: DataFrame, rules: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS) -> DataFrame:
+def describe_table(grid: DataFrame, rules: DataFrame, bucket_rows: int = DEFAULT_BUCKET_ROWS, layout: DataFrame | None = None) -> DataFrame:
     """Text above each header (with a non-empty region): rows from the end of the
     previous non-empty region in header order (if in the same table, else the table
     start) up to the header, each row's cells joined, rows concatenated.
 
     Columns: doc, table_id, row_idx (header row), description.
     """
-    lay = header_layout(grid, rules)
+    lay = layout if layout is not None else header_layout(grid, rules)
     b = region_bounds(grid, rules, lay)
     prev = F.when(F.col("data_end").isNotNull(), F.struct(F.col("table_id").alias("t"), F.col("data_end").alias("e")))
     # Headers in rank order per document; two-level so a document with very many

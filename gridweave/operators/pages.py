@@ -11,7 +11,7 @@ page, a single input row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import attr, clean_text, node_text
@@ -19,19 +19,58 @@ from gridweave.session import cut_lineage
 
 # Blocks removed before tokenising (scripts, styles, comments).
 STRIP_RE = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
+# How those blocks begin, and how they end.
+STRIP_ENDS = ((r"<(?=script\b)", "</script>"), (r"<(?=style\b)", "</style>"), (r"<(?=!--)", "-->"))
 TOKEN_RE = r"(<[^>]*>|[^<]+)"
 # HTML void elements, which never take a closing tag.
 VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 
 
+_HIDDEN = "\ufffe"  # a noncharacter, dropped from pages
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _hide_open(begin: str, end: str):
+    def hidden(html: Column, n: Column, rest: Column) -> Column:
+        return F.when(rest.rlike(f"(?i){begin}"), F.concat(F.substr(html, F.lit(1), n), F.regexp_replace(rest, f"(?i){begin}", _HIDDEN))).otherwise(html)
+
+    upto = lambda html: F.length(F.regexp_extract(html, f"(?is)^.*{end}", 0))
+    return lambda html: _let(upto(html), lambda n: _let(F.substr(html, n + 1), lambda rest: hidden(html, n, rest)))
+
+
+def strip_blocks(html) -> Column:
+    """``html`` without scripts, styles and comments, in time linear in its length: a block's
+    beginning after the last end of its kind can match nothing, so its ``<`` is hidden from the
+    pattern (which would look for an end from each of them) and put back. Ordinary pages, with
+    nothing begun after the last end, skip that."""
+    html = F.col(html) if isinstance(html, str) else html
+    open_ = [F.substring_index(html, end, -1).rlike(f"(?i){begin}") for begin, end in STRIP_ENDS]
+    guarded = F.translate(html, _HIDDEN, "")
+    for ends in STRIP_ENDS:
+        guarded = _let(guarded, _hide_open(*ends))
+    strip = lambda x: F.regexp_replace(x, STRIP_RE, "")
+    return F.when(open_[0] | open_[1] | open_[2], F.translate(strip(guarded), _HIDDEN, "<")).otherwise(strip(html))
+
+
+def tokens_of(html) -> Column:
+    """The tokens of a page: tags and text runs in order. After the last ``>`` there are only
+    text runs, so every ``<`` that is tried as a tag is one, and the time is linear."""
+    tags = lambda x: F.regexp_extract_all(x, F.lit(TOKEN_RE), 1)
+    runs = lambda x: F.regexp_extract_all(x, F.lit("([^<]+)"), 1)
+    halves = lambda x, n: F.concat(tags(F.substr(x, F.lit(1), n)), runs(F.substr(x, n + 1)))
+    return _let(strip_blocks(html), lambda x: _let(F.length(x) - F.length(F.substring_index(x, ">", -1)), lambda n: halves(x, n)))
+
+
 def page_tokens(pages: DataFrame) -> DataFrame:
     """page_id, pos, tok, kind ('open' | 'close' | 'text'), tag (lower case), last_pos.
 
     The one place that reads and cuts ``html``. What uses the tokens more than once takes
     :func:`stored_tokens`."""
-    clean = F.regexp_replace(F.col("html"), STRIP_RE, "")
-    toks = F.regexp_extract_all(clean, F.lit(TOKEN_RE), 1)
-    t = pages.select("page_id", toks.alias("toks"))
+    t = pages.select("page_id", tokens_of("html").alias("toks"))
     t = t.select("page_id", (F.size("toks") - 1).cast("bigint").alias("last_pos"), F.posexplode("toks").alias("pos", "tok"))
     tag = F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
     kind = (

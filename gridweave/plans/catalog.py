@@ -126,4 +126,4 @@ def q_award_level(spark, sf):
 
 
 # Register the remaining query groups.
-from gridweave.plans import catalog_shape, catalog_web  # noqa: E402,F401
+from gridweave.plans import catalog_deep, catalog_shape, catalog_web  # noqa: E402,F401

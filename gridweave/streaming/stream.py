@@ -51,13 +51,13 @@ def keyed_batch_writer(out_path: str, transform, key: str | None = None):
 
 
 def map_pages_stream(pages: DataFrame, rules: DataFrame, out_path: str, name: str = "map_pages"):
-    """New pages -> HTML tables -> mapped records, written per micro-batch."""
+    """New pages -> HTML tables, rowspans filled -> mapped records, written per
+    micro-batch: what the batch job makes of the same pages."""
     from gridweave.operators.mapping import map_records
-    from gridweave.operators.pages import html_tables
+    from gridweave.operators.pages import fill_rowspan, html_tables
 
     def transform(batch: DataFrame) -> DataFrame:
-        grid = html_tables(batch).select("doc", "table_id", "row_idx", "cells")
-        return map_records(grid, rules)
+        return map_records(fill_rowspan(html_tables(batch)), rules)
 
     spark = pages.sparkSession
     return (

@@ -1,90 +1,70 @@
-"""Plain-Python models of the reference semantics, written from reading it, used as
-brute-force oracles on small inputs. They walk nested lists row by row."""
+"""Plain-Python models on small inputs, written from the operators' definitions."""
 
 from __future__ import annotations
 
+from itertools import takewhile
+
 
 def fuzzy(s, r) -> bool:
-    if s is None or r is None or len(r) > len(s):
-        return False
-    start = 0
-    for ch in r:
-        found = False
-        for j in range(start, len(s)):
-            if s[j] == ch:
-                start += 1
-                found = True
-                break
-        if not found:
-            return False
-    return True
-
-
-def map_tables(tables: list[list[list[str]]], rules: list[tuple[str, str]]):
-    """tables: table -> rows -> cells. rules: ordered (label, target).
-
-    Returns (records, descriptions): records are (table, row, {target: value}) in
-    iteration order; descriptions map (table, header_row) -> text."""
+    """X1 in its closed form: no character of the label is missing from the rest of the text."""
+    return s is not None and r is not None and len(r) <= len(s) and all(c in s[i:] for i, c in enumerate(r))
+
+
+def texts_of(data, path=()):
+    """(path, text) of all texts in nested lists, in order."""
+    for i, x in enumerate(data):
+        yield from [((*path, i), x)] if isinstance(x, str) else texts_of(x, (*path, i))
+
+
+def item(data, path):
+    return item(data[path[0]], path[1:]) if path else data
+
+
+def flat(x) -> str:
+    return x if isinstance(x, str) else "".join(map(flat, x))
+
+
+def map_nested(data, rules):
+    """rules: ordered (label, target). (records, descriptions) of nested lists: records are
+    (path, {target: value}) of data rows, descriptions (path, text) of headers with data."""
     targets = list(dict.fromkeys(t for _, t in rules))
-    counts: dict[tuple[int, int], int] = {}
-    for label, _ in rules:
-        for t, table in enumerate(tables):
-            for r, row in enumerate(table):
-                for cell in row:
-                    if fuzzy(cell, label):
-                        counts[(t, r)] = counts.get((t, r), 0) + 1
-    need = min(len(targets), 3)
-    headers = [k for k, v in counts.items() if v >= need]
-    hset = set(headers)
-    records, descr = [], {}
-    last_data = None
-    for (t, hr) in headers:
-        table = tables[t]
-        hrow = table[hr]
-        colmap = {}
-        for i, cell in enumerate(hrow):
-            tgt = None
-            for label, target in rules:
-                if fuzzy(cell, label):
-                    tgt = target
-            if tgt is not None:
-                colmap[i] = tgt
-        rows = []
-        r = hr + 1
-        while r < len(table) and len(table[r]) == len(hrow) and (t, r) not in hset:
-            rows.append(r)
-            r += 1
-        if not rows:
-            continue
-        start = 0
-        if last_data is not None and last_data[0] == t:
-            start = last_data[1] + 1
-        descr[(t, hr)] = "".join("".join(table[i]) for i in range(start, hr))
-        for r in rows:
-            rec = {}
-            for j, cell in enumerate(table[r]):
-                if j in colmap:
-                    rec[colmap[j]] = cell
-            for tg in targets:
-                rec.setdefault(tg, "")
-            records.append((t, r, rec))
-        last_data = (t, rows[-1])
-    return records, descr
+    hits: dict[tuple, list] = {}
+    for path, text in texts_of(data):
+        for k, (label, _) in enumerate(rules):
+            if len(path) > 1 and fuzzy(text, label):
+                hits.setdefault(path[:-1], []).append((k, path))
+    heads = {p: min(h) for p, h in hits.items() if len(h) >= min(len(targets), 3)}
+    records, told, before = [], [], None
+    for head in sorted(heads, key=heads.get):
+        *table, at = head
+        rows, names = item(data, table), item(data, head)
+        place = [[t for label, t in rules if fuzzy(flat(c), label)] for c in names]
+        fits = lambda i: len(rows[i]) == len(names) and (*table, i) not in heads
+        below = list(takewhile(fits, range(at + 1, len(rows))))
+        for i in below:
+            got = {p[-1]: flat(c) for p, c in zip(place, rows[i]) if p}
+            records.append(((*table, i), {t: got.get(t, "") for t in targets}))
+        if below:
+            start = before[1] + 1 if before and before[0] == table else 0
+            told.append((head, "".join(flat(r) for r in rows[start:at])))
+            before = table, below[-1]
+    return records, told
+
+
+def map_tables(tables, rules):
+    """The same for tables of rows of cells: ((table, row, record)..., {(table, header): text})."""
+    records, told = map_nested(tables, rules)
+    return [(*p, r) for p, r in records], dict(told)
 
 
 def sections(nos: list[str], levels: list[str], first: int = 100):
-    out = []
-    lv = list(reversed(levels))
-    cur = None
-    last = first
-    for i, no in enumerate(nos):
-        if no is None or not str(no).isdigit():
-            continue
-        n = int(no)
-        if n < last:
-            if not lv:
-                break
-            cur = lv.pop()
-        out.append((i, cur))
-        last = n
+    """(position, level) of numbered rows; a number below the one before starts the next
+    level, and rows past the last level are dropped."""
+    valid = [(i, int(n)) for i, n in enumerate(nos) if n is not None and str(n).isdigit()]
+    out, level = [], -1
+    for (i, n), (_, last) in zip(valid, [(None, first), *valid]):
+        level += n < last
+        if level >= len(levels):
+            break
+        out.append((i, levels[level] if level >= 0 else None))
     return out
