@@ -1,12 +1,20 @@
-"""Registered queries: nested data of any depth."""
+"""Registered queries: nested data of any depth, CSV records, all sinks in one write."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridweave.operators import deep, trees
 from gridweave.plans import fixtures as fx
 from gridweave.plans.catalog import register
+from gridweave.plans.catalog_shape import ITEM_FIELDS, _items, _routed
+from gridweave.session import checkpoint_dir
+from gridweave.sinks.files import write_csv
+from gridweave.sinks.once import csv_line, read_lines, write_once
+from gridweave.sources.pages import read_grid
 
 #: Every fifth table ends in a bare text as long as its header has cells.
 FIVE_SIGNS = "total"
@@ -52,3 +60,41 @@ def q_map_cells(spark, sf):
 @register("describe_cells")
 def q_describe_cells(spark, sf):
     return deep.describe_cells(deep_cells(spark, sf), fx.grid_rules(spark)).select("doc", _path(), "description")
+
+
+def _folder(spark, kind: str) -> str:
+    return os.path.join(checkpoint_dir(spark), f"gw-{kind}-{uuid.uuid4().hex}")
+
+
+@register("all_sinks")
+def q_all_sinks(spark, sf):
+    """K1 to K4 and A2: keyed lists, CSV files and URL counts written by one job and read back
+    line by line."""
+    order, path = ["doc", "table_id", "row_idx"], _folder(spark, "sinks")
+    routed = _routed(spark, sf)
+    fields = F.map_from_arrays(F.array(*[F.lit(f) for f in ITEM_FIELDS]), F.array(*[F.col(f) for f in ITEM_FIELDS]))
+    write_once(_items(spark, sf), routed.withColumn("data_item", fields), path, order)
+    return read_lines(spark, path)
+
+
+@register("csv_records")
+def q_csv_records(spark, sf):
+    """Whole texts, with their line breaks, quotes and commas, written as CSV files
+    by language and read back as records."""
+    path = _folder(spark, "csv")
+    write_csv(fx.read(spark, sf, "documents").select("doc_id", "text", "source", F.col("lang").alias("key")), path, ["doc_id", "text", "source"])
+    rows = read_grid(spark, os.path.join(path, "*")).where("row_idx > 0")
+    cell = F.col("cells")
+    return rows.select(cell[0].cast("bigint").alias("doc_id"), cell[1].alias("text"), cell[2].alias("source"), F.size(cell).cast("bigint").alias("n_cells"))
+
+
+@register("file_tables")
+def q_file_tables(spark, sf):
+    """A folder per document with all its tables in CSV files, blank lines between them."""
+    path = _folder(spark, "book")
+    g = fx.grid(spark, sf).select(F.coalesce(F.regexp_replace("doc", "/", "-"), F.lit("")).alias("book"), "table_id", "row_idx", csv_line(F.col("cells")).alias("line"))
+    blank = g.where("row_idx = 0").select("book", "table_id", F.lit(-1).cast("bigint").alias("row_idx"), F.lit("").alias("line"))
+    rows = g.unionByName(blank).repartition("book").sortWithinPartitions("book", "table_id", "row_idx")
+    rows.select("book", "line").write.partitionBy("book").text(path)
+    out = read_grid(spark, os.path.join(path, "*"), table_break="^$")
+    return out.select(F.regexp_extract("doc", "book=([^/]*)$", 1).alias("book"), "table_id", "row_idx", F.array_join("cells", "|").alias("cells"))
