@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import attr, decode_references, fuzzy_match_literal, strip_tags
 from gridweave.functions.urls import resolve_url
+from gridweave.operators.label_index import INLINE_LABELS, match_labels
 from gridweave.operators.pages import contained_in, element_text, strip_blocks
 
 # Where an anchor begins, and where its content ends.
@@ -112,9 +113,14 @@ def label_links(links: DataFrame, labels: Sequence[str], order: Sequence[str] =
     """L4: links whose text fuzzy-matches any of the labels; a link may match several,
     and per destination URL the last match (link order, then label order) wins.
 
-    Labels are a literal list, compiled into the projection (no join).
+    Labels are a literal list, compiled into the projection (no join); long lists are joined
+    through the label index.
     Columns: dst_url, label.
     """
+    if len(labels) > INLINE_LABELS:
+        rows = links.sparkSession.createDataFrame([(i, lab) for i, lab in enumerate(labels)], "ord int, label string")
+        met = match_labels(links.select(*order, "dst_url", "text"), rows, "text")
+        return met.groupBy("dst_url").agg(F.max_by("label", F.struct(*[F.col(c) for c in order], "ord")).alias("label"))
     hits = F.array_compact(
         F.array(
             *[

@@ -7,7 +7,7 @@ Rules: ``ord INT, kind STRING ('attr' | 'select'), source STRING, target STRING,
 Plan shape (per grid):
 
 * cell hits: ``posexplode`` of the cells; each label of the (size-checked) rule set is one
-  compiled regex evaluated in the scan (a broadcast theta join only for very large sets);
+  compiled regex evaluated in the scan (large sets: an equi-join with a label index);
 * header rows: two partial-aggregating group-bys (cell, then row), written once as a small
   table (one row per header);
 * nearest header above and the end of its data region: header rows are unioned into the
@@ -25,13 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import extract, fuzzy_match, fuzzy_match_literal
+from gridweave.operators.label_index import INLINE_LABELS, match_labels
 from gridweave.operators.scan import DEFAULT_BUCKET_ROWS, carry_last, ranged_buckets, row_bucket, running_sum
 from gridweave.session import cut_lineage
 
-# Up to this many labels, matching is one code-generated regex per label evaluated
-# in the scan (no join); above it, a theta join with the label table.
-INLINE_LABELS = 64
-
 TKEY = ["doc", "table_id"]
 RKEY = ["doc", "table_id", "row_idx"]
 
@@ -87,7 +84,6 @@ def _labels(rules: DataFrame) -> DataFrame:
         F.col("ord").alias("l_ord"),
         F.col("source").alias("label"),
         F.col("target").alias("l_target"),
-        F.length("source").alias("l_len"),
     )
 
 
@@ -102,9 +98,8 @@ def label_hits(rows: DataFrame, rules: DataFrame) -> DataFrame:
         ]
         hits = F.array_compact(F.array(*hit)) if hit else F.array().cast("array<struct<ord:int,target:string>>")
         return rows.select(*rows.columns, F.explode(hits).alias("__h")).select(*rows.columns, "__h.ord", "__h.target")
-    lab = _labels(rules)
-    cond = (F.col("l_len") <= F.length("cell")) & fuzzy_match(F.col("cell"), F.col("label"))
-    return rows.join(lab, cond, "inner").select(*rows.columns, F.col("l_ord").alias("ord"), F.col("l_target").alias("target"))
+    names = list(rows.columns)
+    return match_labels(rows, _labels(rules)).select(*names, F.col("l_ord").alias("ord"), F.col("l_target").alias("target"))
 
 
 def cell_hits(grid: DataFrame, rules: DataFrame) -> DataFrame:
@@ -205,21 +200,17 @@ def assign_columns(grid: DataFrame, rules: DataFrame, mode: str = "last") -> Dat
 
 
 def _first_wins_join(grid: DataFrame, headers: DataFrame, rules: DataFrame) -> DataFrame:
-    """M12 for large label sets: broadcast theta join (size proven by load_ruleset)."""
+    """M12 for large label sets: the header cells against the label index."""
     lab_targets = (
         rules.where(F.col("kind") == "attr")
-        .groupBy(F.col("source"))
+        .groupBy(F.col("source").alias("label"))
         .agg(
             F.min("ord").alias("src_ord"),
             F.transform(F.array_sort(F.collect_list(F.struct("ord", "target"))), lambda x: x["target"]).alias("targets"),
         )
     )
-    hits = (
-        grid.join(headers, RKEY, "left_semi")
-        .select(*RKEY, F.posexplode("cells").alias("col", "cell"))
-        .where(F.col("cell") != "")
-        .join(F.broadcast(lab_targets), fuzzy_match(F.col("cell"), F.col("source")), "inner")
-    )
+    cells = grid.join(headers, RKEY, "left_semi").select(*RKEY, F.posexplode("cells").alias("col", "cell")).where(F.col("cell") != "")
+    hits = match_labels(cells, lab_targets)
     first = hits.groupBy(*RKEY, "col").agg(
         F.first("cell").alias("header_text"), F.min_by("targets", "src_ord").alias("targets")
     )

@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gridweave.functions.sql import register_sql
 from gridweave.operators import deep, trees
+from gridweave.operators.label_index import match_labels
 from gridweave.plans import fixtures as fx
 from gridweave.plans.catalog import register
 from gridweave.plans.catalog_shape import ITEM_FIELDS, _items, _routed
-from gridweave.session import checkpoint_dir
+from gridweave.session import checkpoint_dir, table_path
 from gridweave.sinks.files import write_csv
 from gridweave.sinks.once import csv_line, read_lines, write_once
 from gridweave.sources.pages import read_grid
@@ -98,3 +100,23 @@ def q_file_tables(spark, sf):
     rows.select("book", "line").write.partitionBy("book").text(path)
     out = read_grid(spark, os.path.join(path, "*"), table_break="^$")
     return out.select(F.regexp_extract("doc", "book=([^/]*)$", 1).alias("book"), "table_id", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
+@register("label_index")
+def q_label_index(spark, sf):
+    """X1 against a label set too large to be compiled: part names under part types and brands."""
+    part = fx.read(spark, sf, "part")
+    labels = part.select(F.lower("p_type").alias("label")).union(part.select(F.lower("p_brand"))).union(part.select(F.substring("p_name", 1, 5))).distinct()
+    rows = part.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")).alias("cell"))
+    return match_labels(rows, labels).select("p_partkey", "label")
+
+
+@register("sql_functions")
+def q_sql_functions(spark, sf):
+    """X1, X10, X11, S8, T3 and T4 in a query written in SQL alone."""
+    register_sql(spark)
+    return spark.sql(
+        f"""SELECT page_id, gw_quote_url(url) AS quoted, gw_url_postfix(url) AS postfix, gw_url_base_name(url) AS base_name,
+  gw_resolve_url(url, concat('../x y?', page_id)) AS resolved, gw_label_match(url, 'news') AS matched,
+  gw_clean_text(gw_node_text(regexp_extract(html, '(?s)<h1>.*?</h1>', 0))) AS heading FROM parquet.`{table_path(sf, "pages")}`"""
+    )
