@@ -8,6 +8,7 @@ and mapped by their own rules; records go to the outputs that their step names.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -73,42 +74,63 @@ def crawl(pages: DataFrame, seeds: DataFrame, conditions: DataFrame, redirects:
     return out
 
 
-def run_rules(pages: DataFrame, steps: DataFrame, rules: DataFrame, outputs: DataFrame, redirects: DataFrame | None = None) -> RuleJob:
-    """Run one rule set (the rows of one ``spider_id`` of ``read_rules``) over ``pages``
-    (page_id, url, html). An unknown mapping id is an error, an unknown output id means the
-    default output."""
-    spark = pages.sparkSession
-    config = steps.where(~F.col("is_next")).collect()  # configuration
-    roots = [(r["url"], _name(r["step_id"])) for r in config if r["parent_step"] is None]
+def root_seeds(steps: DataFrame) -> DataFrame:
+    """url, step_id of the rule set's root steps; a root without a URL is an error."""
+    rows = steps.where(~F.col("is_next") & F.col("parent_step").isNull()).collect()  # configuration
+    roots = [(r["url"], _name(r["step_id"])) for r in rows]
     if any(u is None or not u.strip() for u, _ in roots):
         raise ValueError("a root step has no URL")
-    seeds = spark.createDataFrame(roots, "url string, step_id string")
-    frontier = crawl(pages, seeds, conditions_of(steps), redirects)
+    return steps.sparkSession.createDataFrame(roots, "url string, step_id string")
+
+
+ITEMS = "page_id long, table_id long, row_idx long, data_item map<string,string>, url string, output_id string"
+
 
-    known = {r["rule_id"] for r in rules.select("rule_id").distinct().collect()}
-    wanted: dict[str, list] = {}
-    for r in config:
+def claimed_records(steps: DataFrame, rules: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A function from claimed pages (page_id, url, html, step_id) to their items, each page
+    mapped by the rules that its step names. Pages of steps without a mapping have none. The
+    pages are written once and cut into tables once, whatever the number of rules: a page
+    belongs to one step, and each rule's mapping reads its own pages' grid."""
+    known = {r["rule_id"] for r in rules.select("rule_id").distinct().collect()}  # configuration
+    uses = []
+    for r in steps.where(~F.col("is_next")).collect():
         if r["mapping_id"] is not None:
             if r["mapping_id"] not in known:
                 raise ValueError(f"no mapping with id {r['mapping_id']!r}")
-            wanted.setdefault(r["mapping_id"], []).append((_name(r["step_id"]), r["output_id"]))
-    parts = []
-    for rule_id, uses in wanted.items():
-        own = rules.where(F.col("rule_id") == rule_id)
-        of = spark.createDataFrame(uses, "step_id string, output_id string")
-        data = cut_lineage(frontier.join(of, "step_id").join(pages, "url").select("page_id", "url", "html", "output_id"))
-        grid = fill_rowspan(html_tables(data))
-        selects = bool(load_ruleset(own).selects)
-        records = map_records(grid, own, keep_header=selects)
-        if selects:
-            text = data.select(F.col("page_id").cast("string").alias("doc"), strip_blocks("html").alias("raw"))
-            records = select_values(records, own, text.select("doc", node_text("raw").alias("text")))
-        fields = load_ruleset(own).output_columns
-        item = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f"`{f}`").cast("string") for f in fields]))
-        rows = records.select(F.col("doc").cast("bigint").alias("page_id"), "table_id", "row_idx", item.alias("data_item"))
-        parts.append(rows.join(data.select("page_id", "url", "output_id"), "page_id"))
-    empty = "page_id long, table_id long, row_idx long, data_item map<string,string>, url string, output_id string"
-    items = spark.createDataFrame([], empty)
-    for p in parts:
-        items = items.unionByName(p)
+            uses.append((_name(r["step_id"]), r["mapping_id"], r["output_id"]))
+    sets = {rule_id: rules.where(F.col("rule_id") == rule_id) for rule_id in dict.fromkeys(u[1] for u in uses)}
+
+    def items(claimed: DataFrame) -> DataFrame:
+        spark = claimed.sparkSession
+        out = spark.createDataFrame([], ITEMS)
+        if not uses:
+            return out
+        of = spark.createDataFrame(uses, "step_id string, rule_id string, output_id string")
+        data = cut_lineage(claimed.join(of, "step_id").select("page_id", "url", "html", "rule_id", "output_id"))
+        about = data.drop("html")
+        grid = fill_rowspan(html_tables(data)).withColumn("page_id", F.col("doc").cast("bigint"))
+        grid = cut_lineage(grid.join(about.select("page_id", "rule_id").distinct(), "page_id"))
+        for rule_id, own in sets.items():
+            selects = bool(load_ruleset(own).selects)
+            mine = F.col("rule_id") == rule_id
+            records = map_records(grid.where(mine).select("doc", "table_id", "row_idx", "cells"), own, keep_header=selects)
+            if selects:
+                text = data.where(mine).select(F.col("page_id").cast("string").alias("doc"), strip_blocks("html").alias("raw"))
+                records = select_values(records, own, text.select("doc", node_text("raw").alias("text")))
+            fields = load_ruleset(own).output_columns
+            item = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f"`{f}`").cast("string") for f in fields]))
+            rows = records.select(F.col("doc").cast("bigint").alias("page_id"), "table_id", "row_idx", item.alias("data_item"))
+            out = out.unionByName(rows.join(about.where(mine).select("page_id", "url", "output_id"), "page_id"))
+        return out
+
+    return items
+
+
+def run_rules(pages: DataFrame, steps: DataFrame, rules: DataFrame, outputs: DataFrame, redirects: DataFrame | None = None) -> RuleJob:
+    """Run one rule set (the rows of one ``spider_id`` of ``read_rules``) over ``pages``
+    (page_id, url, html). An unknown mapping id is an error, an unknown output id means the
+    default output."""
+    frontier = crawl(pages, root_seeds(steps), conditions_of(steps), redirects)
+    records = claimed_records(steps, rules)
+    items = records(frontier.join(pages, "url").select("page_id", "url", "html", "step_id"))
     return RuleJob(frontier, items, route_outputs(items, outputs.select("output_id", "sink", "key")))

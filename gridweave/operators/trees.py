@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.text import attr, clean_text, node_text
 from gridweave.operators.pages import VOID_TAGS, tokens_of
+from gridweave.session import ship
 
 # How strongly an open element holds against closing tags of other names; a
 # closing tag does not reach past an element of a higher rank than its own. Others: 100.
@@ -179,6 +180,7 @@ def body_cells(pages: DataFrame, max_depth: int = 256) -> DataFrame:
     element with several children. ``rowspan`` is filled first (T6). Texts are those of all
     below the leaf, references decoded, cleaned. A body that is one leaf has the empty path;
     a null or empty page has no cells."""
+    ship(pages.sparkSession)
     toks = pages.select(F.col("page_id").cast("string").alias("doc"), tokens_of("html").alias("toks"))
     rows = toks.select("doc", F.explode(_cells_column(max_depth)("toks")).alias("c"))
     return rows.select("doc", F.col("c.path").alias("path"), F.col("c.raw").alias("raw")).select("doc", "path", clean_text(node_text("raw")).alias("text"))
@@ -208,6 +210,7 @@ def page_tree(pages: DataFrame, max_depth: int = 256) -> DataFrame:
     around it, -1 at the top), level (1 at the top), ordinal (0-based place among the parent's
     children), tag, id, class, tok. Intervals nest: an element holds another when its
     interval holds the other's."""
+    ship(pages.sparkSession)
     toks = pages.select("page_id", tokens_of("html").alias("toks"))
     flat = toks.select("page_id", F.explode(_nodes_column(max_depth)("toks")).alias("n")).select("page_id", "n.*")
     return flat.select("page_id", "start", "end", "parent", "level", "ordinal", "tag", attr("tok", "id").alias("id"), attr("tok", "class").alias("class"), "tok")

@@ -6,6 +6,7 @@ import contextlib
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,5 +80,22 @@ def cut_lineage(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package (like ``--py-files``), once per application: the
+    operators' Arrow and state functions are imported there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_gridweave_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="gridweave-py-"), "gridweave.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(here):
+            for n in sorted(n for n in names if n.endswith(".py")):
+                full = os.path.join(folder, n)
+                z.write(full, os.path.relpath(full, os.path.dirname(here)))
+    sc.addPyFile(out)
+    sc._gridweave_shipped = True
+
+
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
