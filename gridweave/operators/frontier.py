@@ -10,12 +10,14 @@ is a skewed join key, which adaptive execution splits.
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.session import cut_lineage
+from gridweave.session import checkpoint_dir, cut_lineage
 
 
 def assign_steps(frontier: DataFrame, links: DataFrame, steps: DataFrame) -> DataFrame:
@@ -68,6 +70,57 @@ def _overlay(below: Column, above: Column) -> Column:
 MERGE_LEVELS = 8
 
 
+def _next_level(frontier: DataFrame, edges: DataFrame, labels: bool, by_url=lambda df: df) -> DataFrame:
+    """url (+ labels) of what the frontier's edges lead to, each once; ``by_url`` deals them."""
+    step = frontier.join(edges, frontier["url"] == edges["src_url"])
+    if not labels:
+        return by_url(step.select(F.col("dst_url").alias("url")).where(F.col("url").isNotNull())).distinct()
+    none = F.create_map().cast("map<string,string>")
+    merged = _overlay(F.coalesce("labels", none), F.coalesce("label", none))
+    found = step.select(F.col("dst_url").alias("url"), merged.alias("labels"), "src_url").where(F.col("url").isNotNull())
+    return by_url(found).groupBy("url").agg(F.max_by("labels", "src_url").alias("labels"))
+
+
+def _new_urls(level: DataFrame, edges: DataFrame, visited: DataFrame, labels: bool, buckets: int) -> DataFrame:
+    """What a level leads to that was not visited; the tables are bucketed by their URL."""
+    found = _next_level(level, edges, labels, lambda df: df.repartition(buckets, "url"))
+    return found.join(visited.select("url"), "url", "left_anti")
+
+
+def expand_bucketed(seeds: DataFrame, edges: DataFrame, labels: bool = False, buckets: int = 256) -> DataFrame:
+    """:func:`expand` for graphs whose edges and visited URLs are large next to a level.
+
+    Edges are written once bucketed by source, visited URLs bucketed by URL with a folder per
+    depth, so a level's joins find both where they lie: what is shuffled in a level are the URLs
+    that its own frontier leads to, neither the edges nor the visited set. ``buckets`` should be
+    the cluster's tasks or a multiple of them. The tables are external ones in the shared folder;
+    their names go when the walk ends, the visited files are the result."""
+    spark = seeds.sparkSession
+    base = os.path.join(checkpoint_dir(spark), f"gw-reach-{uuid.uuid4().hex}")
+    name = "gw_" + os.path.basename(base).replace("-", "_")
+    by = lambda key: lambda df: df.repartition(buckets, key)
+
+    def save(df: DataFrame, table: str, key: str, mode: str, parts: Sequence[str] = ()) -> None:
+        w = df.write.format("parquet").mode(mode).option("path", f"{base}/{table}").bucketBy(buckets, key).sortBy(key)
+        (w.partitionBy(*parts) if parts else w).saveAsTable(f"{name}_{table}")
+
+    more = ["labels"] if labels else []
+    start = seeds.select("url", *more).where(F.col("url").isNotNull()).dropDuplicates(["url"]).withColumn("depth", F.lit(0))
+    try:
+        save(by("src_url")(edges.select("src_url", "dst_url", *(["label"] if labels else []))), "edges", "src_url", "error")
+        save(by("url")(start), "visited", "url", "error", ["depth"])
+        e, depth = spark.table(f"{name}_edges"), 0
+        while not (level := spark.table(f"{name}_visited").where(F.col("depth") == depth)).isEmpty():
+            depth += 1
+            new = _new_urls(level, e, spark.table(f"{name}_visited"), labels, buckets)
+            save(new.withColumn("depth", F.lit(depth)), "visited", "url", "append", ["depth"])
+            spark.catalog.refreshTable(f"{name}_visited")
+        return spark.read.schema(spark.table(f"{name}_visited").schema).parquet(f"{base}/visited").select("url", F.col("depth").cast("int").alias("depth"), *more)
+    finally:
+        for table in ("edges", "visited"):
+            spark.sql(f"DROP TABLE IF EXISTS {name}_{table}")
+
+
 def expand(seeds: DataFrame, edges: DataFrame, labels: bool = False) -> DataFrame:
     """L7 (+L9 with ``labels``): breadth-first reach from ``seeds`` over ``edges``, until
     nothing new is found; every URL is visited once, at its smallest depth.
@@ -88,14 +141,7 @@ def expand(seeds: DataFrame, edges: DataFrame, labels: bool = False) -> DataFram
     frontier, depth = levels[0], 0
     while not frontier.isEmpty():
         depth += 1
-        step = frontier.join(e, frontier.url == e.src_url)
-        if labels:
-            none = F.create_map().cast("map<string,string>")
-            merged = _overlay(F.coalesce("labels", none), F.coalesce("label", none))
-            nxt = step.groupBy(F.col("dst_url").alias("url")).agg(F.max_by(merged, F.col("src_url")).alias("labels"))
-        else:
-            nxt = step.select(F.col("dst_url").alias("url")).distinct()
-        nxt = nxt.where(F.col("url").isNotNull()).join(_union(levels).select("url"), "url", "left_anti")
+        nxt = _next_level(frontier, e, labels).join(_union(levels).select("url"), "url", "left_anti")
         frontier = cut_lineage(nxt.withColumn("depth", F.lit(depth).cast("int")).select(*cols))
         levels.append(frontier)
         if len(levels) > MERGE_LEVELS:

@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.sql import register_sql
 from gridweave.operators import deep, trees
+from gridweave.operators.frontier import expand_bucketed
+from gridweave.operators.job import CONDITIONS
 from gridweave.operators.label_index import match_labels
 from gridweave.plans import fixtures as fx
 from gridweave.plans.catalog import register
 from gridweave.plans.catalog_shape import ITEM_FIELDS, _items, _routed
+from gridweave.plans.catalog_web import JOB_CONDITIONS
 from gridweave.session import checkpoint_dir, table_path
 from gridweave.sinks.files import write_csv
 from gridweave.sinks.once import csv_line, read_lines, write_once
 from gridweave.sources.pages import read_grid
+from gridweave.streaming.frontier import RuleStream
 
 #: Every fifth table ends in a bare text as long as its header has cells.
 FIVE_SIGNS = "total"
@@ -120,3 +124,22 @@ def q_sql_functions(spark, sf):
   gw_resolve_url(url, concat('../x y?', page_id)) AS resolved, gw_label_match(url, 'news') AS matched,
   gw_clean_text(gw_node_text(regexp_extract(html, '(?s)<h1>.*?</h1>', 0))) AS heading FROM parquet.`{table_path(sf, "pages")}`"""
     )
+
+
+@register("frontier_bucketed")
+def q_frontier_bucketed(spark, sf):
+    """L7 with edges and visited URLs in buckets."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return expand_bucketed(fx.tree_seeds(spark, sf), fx.tree_edges(spark, sf), buckets=buckets).select("url", F.col("depth").cast("bigint").alias("depth"))
+
+
+@register("stream_rule_job")
+def q_stream_rule_job(spark, sf):
+    """R1 with L6 to L9: the walk over the given pages as a stream whose state is keyed by URL;
+    pages lie in two drops, every page is a seed."""
+    drops, p = _folder(spark, "drops"), fx.pages(spark, sf)
+    for k in (0, 1):
+        p.where(F.col("page_id") % 2 == k).write.parquet(f"{drops}/drop={k}")
+    stream = RuleStream(spark, drops, _folder(spark, "walk"), spark.createDataFrame(list(JOB_CONDITIONS), CONDITIONS), p.select("url", F.lit("root").alias("step_id")))
+    stream.drain()
+    return stream.frontier()

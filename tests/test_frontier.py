@@ -48,3 +48,44 @@ def test_unmatched_and_fallback(spark):
     hits = spark.createDataFrame([("u1", "c1", "L")], "src_url string, dst_url string, label string")
     out = sorted((r.src_url, r.url, r.kind) for r in FR.fallback_self(pages, hits, F.lit("self")).collect())
     assert out == [("u1", "c1", "child"), ("u2", "u2", "self")]
+
+
+def test_bucketed_walk_equals_the_plain_one(spark):
+    import random
+
+    from gridweave.operators.frontier import expand_bucketed
+
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", {f"k{rng.randrange(3)}": str(i)}) for i in range(90)] + [("n0", None, None), (None, "n1", None), ("n0", "n0", {"k9": "x"})]
+    edges = spark.createDataFrame(rows, "src_url string, dst_url string, label map<string,string>")
+    seeds = spark.createDataFrame([("n0", {"s": "0"}), ("n0", {"s": "0"}), ("n7", None), ("alone", None)], "url string, labels map<string,string>")
+    key = lambda r: (r.url, r.depth, sorted((r.labels or {}).items()) if "labels" in r else None)
+    for labels in (False, True):
+        want = sorted(key(r) for r in FR.expand(seeds, edges, labels=labels).collect())
+        assert sorted(key(r) for r in expand_bucketed(seeds, edges, labels=labels, buckets=4).collect()) == want
+    assert expand_bucketed(seeds.limit(0), edges, buckets=4).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("gw_")and "reach" in t.name]
+
+
+def test_a_level_shuffles_its_own_finds_only(spark, monkeypatch):
+    """Joins with the edges and the visited URLs take both from their buckets."""
+    plans, plain = [], FR._new_urls
+
+    def kept(*a):
+        out = plain(*a)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(FR, "_new_urls", kept)
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(3)], "src_url string, dst_url string")
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert FR.expand_bucketed(spark.createDataFrame([("n0",)], "url string"), edges, buckets=4).count() == 4
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert len(plans) == 4
+    for p in plans:  # one exchange, of the found URLs
+        assert p.count("Exchange") == 1 and "Exchange hashpartitioning(url" in p and p.count("SortMergeJoin") == 2, p
