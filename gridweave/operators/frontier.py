@@ -47,7 +47,7 @@ def assign_steps(frontier: DataFrame, links: DataFrame, steps: DataFrame) -> Dat
         for c in sorted(conditions, key=lambda c: c["cond_ord"]):
             ok = F.lit(True)
             if "selector" in steps.columns:
-                ok = F.lit(False) if c["selector"] is None else matches_path(F.col("path"), c["selector"])
+                ok = F.lit(False) if c["selector"] is None else matches_path(F.col("path"), c["selector"], F.col("text"))
             if c["regex"] is not None:
                 ok = ok & F.coalesce(F.col("text").rlike(c["regex"]), F.lit(False))
             to = own if c["is_next"] else F.lit(c["child_step"]).cast("string")

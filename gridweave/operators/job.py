@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from gridweave.functions.text import node_text
 from gridweave.operators.frontier import MERGE_LEVELS, assign_steps
 from gridweave.operators.mapping import load_ruleset, map_records, select_values
-from gridweave.operators.pages import fill_rowspan, html_tables, stored_tokens, strip_blocks
+from gridweave.operators.pages import fill_rowspan, html_tables, strip_blocks
 from gridweave.operators.selectors import placed_links
 from gridweave.session import cut_lineage
 from gridweave.sinks.routing import route_outputs
@@ -52,7 +52,7 @@ def crawl(pages: DataFrame, seeds: DataFrame, conditions: DataFrame, redirects:
 
     seeds: url, step_id; redirects: from_url, to_url (a target takes its source's step;
     chains are followed). Links are extracted once for all pages."""
-    links = cut_lineage(placed_links(pages, stored_tokens(pages)).select("src_url", "pos", "dst_url", "text", "path"))
+    links = cut_lineage(placed_links(pages).select("src_url", "pos", "dst_url", "text", "path"))
     levels = [cut_lineage(seeds.groupBy("url").agg(F.max("step_id").alias("step_id")))]
     level = levels[0]
     while not level.isEmpty():

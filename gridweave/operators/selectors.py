@@ -1,10 +1,17 @@
-"""Selectors of links by their place in the page: a chain of tags with id or class tests.
+"""Selectors of links by their place in the page: the usual shapes of element paths.
 
 A link's place is its path from the root: for every element around it, and then itself,
-``/tag{id}{class}``. A selector of the shape ``//div[@id='x']//ul/li/a`` (steps by ``/`` or
-``//``, a tag or ``*``, any number of ``[@id='...']`` and ``[@class='...']`` tests) becomes one
-regular expression over that path. Other expressions are refused: there is no general
-path evaluator.
+``/tag{id}{class}{place}{last}``, where place counts the siblings of its tag from 1 and last is ``l`` for
+the last of them. A selector becomes one regular expression over that path, and conditions on
+the link's text. It has steps by ``/`` or ``//``, a tag or ``*``, and any number of tests:
+
+* ``[@id='..']``, ``[@class='..']``, ``[contains(@class, '..')]``, ``[starts-with(@id, '..')]``;
+* ``[2]``, ``[position()=2]``, ``[last()]`` on a tag, before its other tests (after them it would count
+  only what passes them);
+* ``[text()='..']``, ``[contains(text(), '..')]``, ``[contains(., '..')]`` on the last step;
+* several of them joined by ``and``.
+
+Other expressions are refused: there is no general path evaluator.
 """
 
 from __future__ import annotations
@@ -14,55 +21,92 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.functions.text import attr
+from gridweave.functions.text import attr, decode_references
 from gridweave.functions.urls import quote_url, resolve_url
-from gridweave.operators.pages import contained_in, element_text, page_elements
+from gridweave.operators.trees import PLAIN, placed
 
-_STEP = re.compile(r"(//?)([A-Za-z][A-Za-z0-9]*|\*)((?:\[@(?:id|class)\s*=\s*(?:'[^']*'|\"[^\"]*\")\])*)")
-_TEST = re.compile(r"\[@(id|class)\s*=\s*(?:'([^']*)'|\"([^\"]*)\")\]")
+_QUOTED = r"""('[^']*'|"[^"]*")"""
+_STEP = re.compile(r"(//?)([A-Za-z][A-Za-z0-9]*|\*)")
+_TEST = re.compile(
+    rf"\s*(?:@(id|class)\s*=\s*{_QUOTED}|(contains|starts-with)\(\s*@(id|class)\s*,\s*{_QUOTED}\s*\)"
+    rf"|(?:position\(\)\s*=\s*)?(\d+)|(last\(\))|(?:text\(\)|\.)\s*=\s*{_QUOTED}|contains\(\s*(?:text\(\)|\.)\s*,\s*{_QUOTED}\s*\))\s*"
+)
+_ANY = "[^{}/]*"
 
 
-def _plain(c) -> Column:
-    """An attribute value without the signs that a path is made of."""
-    return F.translate(F.coalesce(c, F.lit("")), "/{}", "\u0001\u0002\u0003")
+def _literal(quoted: str) -> str:
+    return re.sub(r"([^\w\s])", r"\\\1", quoted[1:-1].translate(PLAIN))
 
 
-def path_pattern(selector: str) -> str:
-    """The regular expression of the paths that a selector chooses."""
-    at, out = 0, "^"
-    text = selector.strip()
-    while at < len(text):
+def parts_of(selector: str) -> tuple[str, list[tuple[str, str]]]:
+    """(the regular expression of the paths, the conditions on the text: ('is' or 'has', text))."""
+    text, at, out, said = selector.strip(), 0, "^", []
+
+    def refuse():
+        raise ValueError(f"selector not supported: {selector!r}")
+
+    while at < len(text) or out == "^":
         m = _STEP.match(text, at)
-        if not m:
-            raise ValueError(f"selector not supported: {selector!r}")
-        axis, tag, tests = m.groups()
-        want = {"id": r"[^{}/]*", "class": r"[^{}/]*"}
-        for name, one, two in _TEST.findall(tests):
-            want[name] = re.sub(r"([^\w\s])", r"\\\1", (one or two).translate(str.maketrans("/{}", "\u0001\u0002\u0003")))
-        out += ("(?:/[^/]*)*" if axis == "//" else "") + "/" + (r"[a-z0-9]+" if tag == "*" else tag.lower())
-        out += r"\{" + want["id"] + r"\}\{" + want["class"] + r"\}"
+        if not m or said:  # a text is tested on the last step only
+            refuse()
+        axis, tag = m.groups()
         at = m.end()
-    return out + "$"
+        want = {"id": [], "class": []}
+        place, last = r"\d+", "l?"
+        tested = False
+        while text[at : at + 1] == "[":
+            at += 1
+            while True:
+                t = _TEST.match(text, at)
+                if not t:
+                    refuse()
+                name, equal, how, of, part, number, final, is_, has = t.groups()
+                at = t.end()
+                if name:
+                    want[name].append(_literal(equal))
+                elif how:
+                    want[of].append((_ANY if how == "contains" else "") + _literal(part) + _ANY)
+                elif number or final:
+                    if tag == "*" or tested:
+                        refuse()
+                    place, last = (number.lstrip("0") or "0", last) if number else (place, "l")
+                else:
+                    said.append(("is", is_[1:-1]) if is_ else ("has", has[1:-1]))
+                tested = tested or not (number or final)
+                if text.startswith("and ", at):
+                    at += 4
+                elif text[at : at + 1] == "]":
+                    at += 1
+                    break
+                else:
+                    refuse()
+        # every test of an attribute looks ahead at it
+        field = lambda k: "".join(rf"(?={x}\}})" for x in want[k]) + _ANY
+        out += ("(?:/[^/]*)*" if axis == "//" else "") + "/" + (r"[a-z0-9]+" if tag == "*" else tag.lower())
+        out += rf"\{{{field('id')}\}}\{{{field('class')}\}}\{{{place}\}}\{{{last}\}}"
+    return out + "$", said
+
+
+def path_pattern(selector: str) -> str:
+    """The regular expression of the paths that a selector chooses."""
+    return parts_of(selector)[0]
 
 
-def matches_path(path: Column, selector: str) -> Column:
-    return F.coalesce(path.rlike(path_pattern(selector)), F.lit(False))
+def matches_path(path: Column, selector: str, text: Column | None = None) -> Column:
+    pattern, said = parts_of(selector)
+    if said and text is None:
+        raise ValueError(f"selector tests a text that is not at hand: {selector!r}")
+    ok = path.rlike(pattern)
+    for how, value in said:
+        ok = ok & (text == value if how == "is" else text.contains(value))
+    return F.coalesce(ok, F.lit(False))
 
 
-def placed_links(pages: DataFrame, tokens: DataFrame) -> DataFrame:
+def placed_links(pages: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
     """Links with their places: page_id, src_url, pos, href, dst_url (resolved and quoted),
-    text, path. Anchors without ``href`` are no links."""
-    el = page_elements(tokens).where(F.col("tag") != "")
-    step = F.concat(F.lit("/"), F.col("tag"), F.lit("{"), _plain(F.col("id")), F.lit("}{"), _plain(F.col("class")), F.lit("}"))
-    el = el.withColumn("step", step)
-    anchors = el.where((F.col("tag") == "a") & attr("tok", "href").isNotNull())
-    anchors = anchors.select("page_id", "start", "end", "step", attr("tok", "href").alias("href"))
-    around = el.where(F.col("end") > F.col("start")).select("page_id", F.col("start").alias("o_start"), F.col("end").alias("o_end"), F.col("step").alias("o_step"))
-    inside = contained_in(anchors.select("page_id", "start", "end"), around)
-    above = inside.groupBy("page_id", "start").agg(F.array_sort(F.collect_list(F.struct("o_start", "o_step"))).alias("up"))
-    texts = element_text(anchors.select("page_id", "start", "end"), tokens).select("page_id", "start", "text")
-    rows = anchors.join(texts, ["page_id", "start"]).join(above, ["page_id", "start"], "left")
-    rows = rows.join(pages.select("page_id", F.col("url").alias("src_url")), "page_id")
-    up = F.coalesce(F.array_join(F.transform("up", lambda x: x["o_step"]), ""), F.lit(""))
+    text, path. Anchors without ``href`` are no links. One pass over the pages, no join and no
+    shuffle (``tokens`` are not needed any more)."""
+    rows = placed(pages.select("page_id", F.col("url").alias("src_url"), "html"), "a")
+    rows = rows.select("page_id", "src_url", "pos", attr("tok", "href").alias("href"), "raw", "path").where(F.col("href").isNotNull())
     rows = rows.withColumn("to", resolve_url(F.col("src_url"), F.col("href")))
-    return rows.select("page_id", "src_url", F.col("start").alias("pos"), "href", quote_url("to").alias("dst_url"), "text", F.concat(up, "step").alias("path"))
+    return rows.select("page_id", "src_url", "pos", "href", quote_url("to").alias("dst_url"), decode_references("raw").alias("text"), "path")

@@ -15,7 +15,9 @@ Elements deeper than ``max_depth`` are part of the one at that depth, their text
 
 from __future__ import annotations
 
+import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,6 +68,7 @@ class Node:
     span: int = 0
     lead: bool = False  # has text of its own before its first child
     children: list[Node] = field(default_factory=list)
+    frame: list[tuple[str, int]] = field(default_factory=list)  # of the root: html and body tags
 
 
 def nest(toks: list[str], max_depth: int = 256) -> Node:
@@ -89,6 +92,8 @@ def nest(toks: list[str], max_depth: int = 256) -> Node:
             continue
         name = m[2].lower()
         if name in ("html", "body"):
+            if not m[1] and name not in dict(root.frame):
+                root.frame.append((name, i))
             if name == "body" and not m[1] and len(stack) == 1:  # what stood before was no part of it
                 root.children, root.lead = [], False
             continue
@@ -186,6 +191,51 @@ def body_cells(pages: DataFrame, max_depth: int = 256) -> DataFrame:
     return rows.select("doc", F.col("c.path").alias("path"), F.col("c.raw").alias("raw")).select("doc", "path", clean_text(node_text("raw")).alias("text"))
 
 
+_VALUE = {n: re.compile(rf"""\s{n}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I) for n in ("id", "class")}
+#: Signs that paths are made of stand for themselves nowhere else.
+PLAIN = str.maketrans("/{}", "\x01\x02\x03")
+
+
+def _step(tag: str, tok: str, place: int, last: bool) -> str:
+    """One element of a path: its tag, id, class, place among siblings of its tag, ``l`` for the last."""
+    found = [m and next(g for g in m.groups() if g is not None) for m in (_VALUE[n].search(tok) for n in ("id", "class"))]
+    own = [html.unescape(v or "").translate(PLAIN) for v in found]
+    return f"/{tag}{{{own[0]}}}{{{own[1]}}}{{{place}}}{{{'l' if last else ''}}}"
+
+
+def _paths_column(tag: str, max_depth: int):
+    def paths(pages: pa.Array) -> pa.Array:
+        out = []
+        for page in pages:
+            toks, rows = page.as_py(), []
+            root = nest(toks, max_depth) if toks else Node("body", -1)
+            todo = [(root, "".join(_step(n, toks[i], 1, True) for n, i in root.frame))]
+            while todo:
+                node, above = todo.pop()
+                if node.tag == tag and node is not root:
+                    rows.append({"pos": node.start, "tok": toks[node.start], "raw": "".join(t for t in toks[node.start : node.end + 1] if t[0] != "<"), "path": above})
+                of: dict[str, int] = {}
+                many = Counter(c.tag for c in node.children)
+                for c in node.children:
+                    of[c.tag] = of.get(c.tag, 0) + 1
+                    todo.append((c, above + _step(c.tag, toks[c.start], of[c.tag], of[c.tag] == many[c.tag])))
+            out.append(rows)
+        kind = pa.struct([("pos", pa.int64()), ("tok", pa.string()), ("raw", pa.string()), ("path", pa.string())])
+        return pa.array(out, pa.list_(kind))
+
+    return F.arrow_udf(paths, "array<struct<pos:bigint,tok:string,raw:string,path:string>>")
+
+
+def placed(pages: DataFrame, tag: str, max_depth: int = 256) -> DataFrame:
+    """Elements of one tag with their places: the columns of ``pages`` but ``html``, and pos (the
+    opening token), tok, raw (the text inside, references as written), path (a step for every
+    element around it and for itself, see :mod:`selectors`)."""
+    ship(pages.sparkSession)
+    rest = [c for c in pages.columns if c != "html"]
+    toks = pages.select(*rest, tokens_of("html").alias("__toks"))
+    return toks.select(*rest, F.explode(_paths_column(tag, max_depth)("__toks")).alias("__e")).select(*rest, "__e.*")
+
+
 def _nodes_column(max_depth: int):
     names = ("start", "end", "parent", "level", "ordinal", "tag", "tok")
 

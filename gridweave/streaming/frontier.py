@@ -27,7 +27,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gridweave.operators.frontier import assign_steps
 from gridweave.operators.job import claimed_records, conditions_of, root_seeds
-from gridweave.operators.pages import stored_tokens
 from gridweave.operators.selectors import placed_links
 from gridweave.session import cut_lineage, intermediates
 from gridweave.streaming.stream import PAGES_SCHEMA
@@ -121,7 +120,7 @@ class RuleStream:
             claimed = rows.where("page_id is null").select("url", "step_id")
             claimed.write.mode("overwrite").parquet(self._path("frontier", batch_id))
             pages = rows.where("page_id is not null")
-            links = placed_links(pages.select("page_id", "url", "html"), stored_tokens(pages))
+            links = placed_links(pages.select("page_id", "url", "html"))
             found = assign_steps(pages.select("url", "step_id").distinct(), links, self.conditions)
             if self.redirects is not None:
                 alias = claimed.join(self.redirects, claimed.url == self.redirects.from_url).select(F.col("to_url").alias("url"), "step_id")
