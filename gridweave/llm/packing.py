@@ -188,7 +188,8 @@ def place(made: DataFrame, limit: int = LIMIT) -> DataFrame:
     per = rows.groupBy("length", "__b").count()
     before = Window.partitionBy("length").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     per = per.select("length", "__b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "start")
+    # rows that tie in all of these are the same piece: which of them gets which place is one
+    inside = Window.partitionBy("length", "__b").orderBy("doc_id", "piece", "start", "ids_crc32")
     rows = rows.withColumn("__r", F.row_number().over(inside) - 1).join(per, ["length", "__b"])
     rows = rows.withColumn("__at", look_up("length", F.col("__r") + F.col("__before")))
     return rows.select(*made.columns, "__at.sequence_id", "__at.offset")
