@@ -5,10 +5,11 @@ Four pieces of evidence about a page's language are added as logarithms:
 * its text: a naive Bayes model of letter trigrams (hashed to ``BINS`` bins), counted over
   all labelled documents per language; as neighbouring trigrams are not independent, the log
   likelihood counts for at most ``WORTH`` trigrams;
-* the language that its markup declares, and the suffix of its address: confusion tables
-  P(declared | language), P(suffix | language);
-* its host: a prior of the host smoothed towards its domain's, that towards the suffix's,
-  that towards that of all pages (Dirichlet weights ``KAPPA``).
+* the language that its markup declares: a confusion table P(declared | language);
+* the suffix of its address: P(suffix | language), weighed by ``KAPPA`` against the number of other
+  pages of its domain, as a domain that is well known says by itself what its suffix hints at;
+* its host: a prior of the host smoothed towards its domain's, that towards that of all pages
+  (Dirichlet weights ``KAPPA``).
 
 Pages carry no true labels, so the tables are counts of the text model's posteriors, summed
 by grouped aggregation (a page's own share is taken out again before it is scored).
@@ -16,7 +17,7 @@ Every table has a row per value and language, is joined by its key, and is never
 
 Defined results: a null page counts as empty; without text, and for texts without a
 trigram, the likelihood is even; missing declarations, addresses or hosts are values of
-their own that speak evenly; repeated rows are scored each; without labelled documents there
+their own that speak evenly; texts of any length are read whole; repeated rows are scored each; without labelled documents there
 are no languages and ``lang`` is null; other columns are not read.
 """
 
@@ -34,13 +35,28 @@ from gridweave.llm.common import cut_lineage, text_or_empty
 
 BINS, WORTH, KAPPA, ALPHA = 16_384, 40, 5.0, 0.5
 
-_HIDDEN = re.compile(r"<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->", re.S | re.I)
+_BEGIN = re.compile(r"<(script|style)\b[^>]*>|<!--", re.I)
+_END = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), None: re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
 _OTHER = re.compile(r"[^a-zß-ɏͰ-￿]+")
 
 
 def visible(html: str) -> str:
-    return unescape(_TAG.sub(" ", _HIDDEN.sub(" ", html)))
+    """The text of a page, in time linear in its length: an end that was looked for in vain is
+    not looked for again, and after the last ``>`` there are no tags."""
+    last = html.rfind(">") + 1
+    parts, at, search, never = [], 0, 0, set()
+    while m := _BEGIN.search(html, search, last):
+        kind = m[1] and m[1].lower()
+        end = None if kind in never else _END[kind].search(html, m.end())
+        if end:
+            parts.append(html[at : m.start()])
+            at = search = end.end()
+        else:
+            never.add(kind)
+            search = m.end()
+    parts.append(html[at:last])
+    return unescape(_TAG.sub(" ", " ".join(parts)) + html[max(at, last) :])
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -92,7 +108,8 @@ def text_column(langs: list[str], table: np.ndarray):
 
 def declared_language(html: Column) -> Column:
     """The primary subtag that the html element declares, or the empty string."""
-    return F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    tag = F.regexp_extract(html, r"(?i)<html(\s[^>]*)", 1)
+    return F.lower(F.regexp_extract(tag, r"(?i)\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
 
 
 def host_of(url: Column) -> Column:
@@ -132,11 +149,11 @@ def identify(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame
     others = lambda c: F.greatest(F.col(c) - 1, F.lit(0.0))
     every = (own("n_all") + ALPHA) / (others("total") + ALPHA * k)
     prior = every
-    for key in ("suffix", "domain", "host"):
+    for key in ("domain", "host"):
         prior = (own(f"n_{key}") + KAPPA * prior) / (others(f"t_{key}") + KAPPA)
     said = lambda key, kinds: F.when(F.col(key) == "", F.lit(0.0)).otherwise(F.log((own(f"n_{key}") + ALPHA) / (own("n_all") + ALPHA * F.col(kinds))))
-    # the prior holds the suffix already through its smoothing where there is a host
-    fused = F.col("ll") + F.log(prior) + said("declared", "kd") + F.when(F.col("host") == "", said("suffix", "ks")).otherwise(F.lit(0.0))
+    hint = KAPPA / (others("t_domain") + KAPPA)
+    fused = F.col("ll") + F.log(prior) + said("declared", "kd") + hint * said("suffix", "ks")
     best = t.select("row", "l", fused.alias("s"), "ll").groupBy("row").agg(
         F.max_by("l", F.struct("s", -F.col("l"))).alias("l"), F.max("s").alias("top"), F.collect_list("s").alias("all"), F.max_by("l", F.struct("ll", -F.col("l"))).alias("tl")
     )  # one value per language
