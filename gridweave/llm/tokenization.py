@@ -6,6 +6,10 @@ part of its own, so a text without white space runs is encoded piece by piece: e
 distinct piece once by the tokenizer, all others from a bounded table that the worker keeps
 for its life. Texts with runs of white space (where the split looks further) go to the
 tokenizer whole. Both give the ids of encoding the whole text, which the tests compare.
+New pieces are encoded many in one call, a line feed between them, and taken apart at its id.
+
+Defined results: an empty text has no ids; texts of any length are encoded whole; equal texts
+have equal ids.
 """
 
 from __future__ import annotations
@@ -18,13 +22,14 @@ from itertools import chain, islice
 import numpy as np
 
 #: Pieces a worker keeps, some 250 bytes each; beyond it the rarer half is forgotten.
-KEEP = 500_000
+KEEP = 300_000
 #: Texts are cut into pieces so many characters at a time.
 STEP = 1_000_000
 #: Pieces encoded in one call, whose results are large until their ids are taken.
 CALL = 4096
 
 _RUN = re.compile(r"\s\s")
+_PLAIN = re.compile(r" ?\S+")
 _SIGNS = ".,;:!?"
 _encoders: dict = {}
 
@@ -58,6 +63,11 @@ class Encoder:
         split = json.loads(self._t.pre_tokenizer.__getstate__()) if self._t.pre_tokenizer else {}
         # piece by piece holds for plain byte-level splitting only
         self._by_piece = self._t.normalizer is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+        # pieces are cut off at line feeds and signs, which must be one id each
+        single = [self._t.encode(c, add_special_tokens=False).ids for c in "\n" + _SIGNS]
+        self._by_piece = self._by_piece and all(len(x) == 1 for x in single)
+        (self._line, *sign) = [x[0] if x else 0 for x in single]
+        self._sign = dict(zip(_SIGNS, sign))
         self._numbers = _Numbers()
         self._used = np.zeros(0, np.int64)
         self._start, self._flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -107,18 +117,49 @@ class Encoder:
         """Ids of the pieces numbered ``known`` and above."""
         pieces = list(islice(reversed(self._numbers), len(self._numbers) - known))[::-1]
         texts = [p[0] if isinstance(p, tuple) else p if p[:1] == "\n" else " " + p for p in pieces]
-        # a sign after a letter is a part of its own, so the word's stem is encoded once
-        stem = [t[:-1] if len(t) > 2 and t[-1] in _SIGNS and t[-2].isalpha() else t for t in texts]
-        distinct = list(dict.fromkeys(chain(stem, _SIGNS)))
-        found = {}
-        for lo in range(0, len(distinct), CALL):
-            part = distinct[lo : lo + CALL]
-            found.update(zip(part, (e.ids for e in self._t.encode_batch(part, add_special_tokens=False))))
-        ids = [found[s] if len(s) == len(t) else found[s] + found[t[-1]] for s, t in zip(stem, texts)]
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        self._flat = np.concatenate([self._flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
-        self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(n)])
-        self._used = np.concatenate([self._used, np.zeros(len(ids), np.int64)])
+        # a line feed before a piece is a part of its own, and so is a sign after a letter:
+        # the stem between them is encoded once
+        line = np.fromiter((t[:1] == "\n" for t in texts), bool, len(texts))
+        texts = [t[1:] if first else t for t, first in zip(texts, line.tolist())]
+        signed = np.fromiter((len(t) > 2 and t[-1] in _SIGNS and t[-2].isalpha() for t in texts), bool, len(texts))
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(t[:-1] if cut else t, len(number)) for t, cut in zip(texts, signed.tolist())), np.int64, len(texts))
+        first, count, flat = self._ids_of(list(number))
+        n = count[at] + line + signed
+        ends = np.cumsum(n)
+        ids = np.empty(int(ends[-1]), np.uint32)
+        own = count[at]
+        inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
+        ids[inside + np.repeat(ends - n + line, own)] = flat[inside + np.repeat(first[at], own)]
+        ids[(ends - n)[line]] = self._line
+        ids[ends[signed] - 1] = np.fromiter((self._sign[t[-1]] for t, cut in zip(texts, signed.tolist()) if cut), np.uint32, int(signed.sum()))
+        self._flat = np.concatenate([self._flat, ids])
+        self._start = np.concatenate([self._start, self._start[-1] + ends])
+        self._used = np.concatenate([self._used, np.zeros(len(n), np.int64)])
+
+    def _ids_of(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each stem's ids begin, how many they are, and the ids. Stems without white space
+        inside are encoded many at a time, a line feed between them."""
+        plain = [i for i, s in enumerate(stems) if _PLAIN.fullmatch(s)]
+        other = sorted(set(range(len(stems))).difference(plain))
+        count, parts = [], []
+        for lo in range(0, len(plain), CALL):
+            some = [stems[i] for i in plain[lo : lo + CALL]]
+            ids = np.array(self._t.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            between = np.flatnonzero(ids == self._line)
+            if len(between) != len(some) - 1:
+                raise ValueError("a piece without line feeds holds a line feed's id")
+            count.append(np.diff(np.concatenate([[-1], between, [len(ids)]])) - 1)
+            parts.append(ids[ids != self._line])
+        for lo in range(0, len(other), CALL):
+            got = [e.ids for e in self._t.encode_batch_fast([stems[i] for i in other[lo : lo + CALL]], add_special_tokens=False)]
+            count.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter(chain.from_iterable(got), np.uint32, int(count[-1].sum())))
+        none = np.zeros(0, np.int64)
+        order, n = np.array(plain + other, np.int64), np.concatenate([none, *count])
+        first, many = np.empty(len(stems), np.int64), np.empty(len(stems), np.int64)
+        first[order], many[order] = np.cumsum(n) - n, n
+        return first, many, np.concatenate([np.zeros(0, np.uint32), *parts])
 
     def _forget(self) -> None:
         keep = np.sort(np.argsort(-self._used, kind="stable")[: KEEP // 2])
