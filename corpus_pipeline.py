@@ -9,6 +9,12 @@ and read again as the next one's documents. All but the last return the columns
 3. pii: every span of personal data is replaced by its kind.
 4. mix: documents are repeated, cut or left out so that sources come near their targets.
 5. pack: pieces of at most 2,048 tokens in sequences; one row per piece.
+
+Defined results: a null text counts as empty in every stage (as empty in quality's score, fingerprint
+zero, no words to mix, one end token packed); rows without a ``doc_id`` are scored and kept like
+others, and never learned from; rows equal in ``doc_id`` and text are one row after near
+duplicates, of ties the one with the smallest source; very long texts are read whole; an empty
+table gives an empty result; columns other than those of ``documents`` are dropped at the start.
 """
 
 from __future__ import annotations
