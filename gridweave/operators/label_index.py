@@ -6,6 +6,10 @@ own: an equi-join whose label side is the size of the label set, not a compariso
 text with every label. What meets must also pass a 64-bit signature of characters
 and the lengths; the exact rule decides last. The empty label matches all and is filed
 under the empty string, as every text is.
+
+The label side is written before it meets the texts. Its planned size would be a product of its
+joins' sides, that of the texts the size of their compressed files, and the planner would take
+the texts, one row per character, for the side to broadcast.
 """
 
 from __future__ import annotations
@@ -14,12 +18,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions.text import fuzzy_match
-
+from gridweave.session import cut_lineage
 
 #: Up to this many labels, matching is one code-generated regex per label evaluated in the
 #: scan (no join); above it, a join with the index.
 INLINE_LABELS = 64
 
+#: Filed labels of up to this many bytes (as text) go to every task; more are sorted by character.
+#: The texts are never broadcast.
+BROADCAST_BYTES = 8_000_000
+
 
 def _characters(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1))
@@ -49,8 +57,12 @@ def index_labels(labels: DataFrame, counts: DataFrame, label: str = "label") ->
 
 def match_labels(rows: DataFrame, labels: DataFrame, text: str = "cell", label: str = "label") -> DataFrame:
     """Rows joined with every label that matches their ``text``: the columns of both (``labels``
-    must not share a name with ``rows``). Each pair comes once, as a label is filed once."""
-    filed = index_labels(labels, character_counts(rows, text), label)
+    must not share a name with ``rows``). Each pair comes once, as a label is filed once.
+    The labels, their index and the counts of characters are written when this is called."""
+    counts = cut_lineage(character_counts(rows, text))
+    filed = cut_lineage(index_labels(cut_lineage(labels), counts, label))
+    size = filed.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0
+    filed = F.broadcast(filed) if size <= BROADCAST_BYTES else filed.hint("merge")
     keys = _characters(F.col(text))
     looked = rows.where(F.col(text).isNotNull()).withColumn("__tsig", _signature(keys)).withColumn("__key", F.explode(F.concat(keys, F.array(F.lit("")))))
     fits = (F.col("__lsig").bitwiseAND(F.bitwise_not("__tsig")) == 0) & (F.length(label) <= F.length(text))
