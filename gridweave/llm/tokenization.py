@@ -6,7 +6,10 @@ part of its own, so a text without white space runs is encoded piece by piece: e
 distinct piece once by the tokenizer, all others from a bounded table that the worker keeps
 for its life. Texts with runs of white space (where the split looks further) go to the
 tokenizer whole. Both give the ids of encoding the whole text, which the tests compare.
-New pieces are encoded many in one call, a line feed between them, and taken apart at its id.
+A piece also ends before a sign that follows a letter, where the split always cuts. Texts are cut
+and their distinct pieces found in Arrow, a batch at a time. New pieces that are one part of the
+split go to the tokenizer's model, as bytes written in its alphabet. Other new pieces go through the
+whole tokenizer, many in one call, a line feed between them, and are taken apart at its id.
 
 Defined results: an empty text has no ids; texts of any length are encoded whole; equal texts
 have equal ids.
@@ -20,6 +23,8 @@ import re
 from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces a worker keeps, some 250 bytes each; beyond it the rarer half is forgotten.
 KEEP = 300_000
@@ -30,7 +35,13 @@ CALL = 4096
 
 _RUN = re.compile(r"\s\s")
 _PLAIN = re.compile(r" ?\S+")
-_SIGNS = ".,;:!?"
+#: Letters in every version of Unicode since 5, and signs that are neither letters nor digits.
+_LETTER = "[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u0513]"
+_SIGN = r"[!-/:-@\[-`{-~]"
+#: One part of the byte-level split, whatever stands around it.
+_PART = re.compile(f" ?(?:{_LETTER}+|{_SIGN}+|[0-9]+)")
+#: Begins a piece that has no space before it; texts that hold it are encoded whole.
+_MARK = "\x01"
 _encoders: dict = {}
 
 
@@ -41,6 +52,17 @@ def encoder(name: str) -> Encoder:
     return _encoders[name]
 
 
+def _alphabet() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary: its own where it can be
+    seen, else the next from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = sorted(set(range(256)).difference(seen))
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = _alphabet()
+
+
 class _Numbers(dict):
     """Piece -> number, given out in order of appearance."""
 
@@ -63,11 +85,10 @@ class Encoder:
         split = json.loads(self._t.pre_tokenizer.__getstate__()) if self._t.pre_tokenizer else {}
         # piece by piece holds for plain byte-level splitting only
         self._by_piece = self._t.normalizer is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
-        # pieces are cut off at line feeds and signs, which must be one id each
-        single = [self._t.encode(c, add_special_tokens=False).ids for c in "\n" + _SIGNS]
-        self._by_piece = self._by_piece and all(len(x) == 1 for x in single)
-        (self._line, *sign) = [x[0] if x else 0 for x in single]
-        self._sign = dict(zip(_SIGNS, sign))
+        # pieces without white space are taken apart at line feeds, which must be one id
+        line = self._t.encode("\n", add_special_tokens=False).ids
+        self._by_piece = self._by_piece and len(line) == 1
+        self._line = line[0] if line else 0
         self._numbers = _Numbers()
         self._used = np.zeros(0, np.int64)
         self._start, self._flat = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -91,16 +112,17 @@ class Encoder:
     def _some(self, texts: list[str]) -> list[np.ndarray]:
         if len(self._numbers) > KEEP:
             self._forget()
-        odd = [i for i, t in enumerate(texts) if any(a in t for a in self._added) or _RUN.search(t)]
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self._added) or _MARK in t or _RUN.search(t)]
         skip = set(odd)
-        # the first piece of a text has no space before it, nor one that begins with a line feed
-        cut = [[] if i in skip else t.replace("\n", " \n").split(" ") for i, t in enumerate(texts)]
-        for parts in cut:
-            if parts:
-                parts[0] = (parts[0],)
-        sizes = np.array([len(p) for p in cut], np.int64)
+        out: list = [None] * len(texts)
+        plain = [i for i in range(len(texts)) if i not in skip]
+        marked = pa.array([_MARK + texts[i].replace("\n", f" \n {_MARK}") for i in plain], pa.large_string())
+        cut = pc.split_pattern(pc.replace_substring_regex(marked, f"({_LETTER})({_SIGN})", rf"\1 {_MARK}\2"), " ")
+        sizes = pc.list_value_length(cut).to_numpy()
+        coded = cut.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # str, as to_pylist gives, without a scalar for each
         known = len(self._numbers)
-        at = np.fromiter(map(self._numbers.__getitem__, chain.from_iterable(cut)), np.int64, int(sizes.sum()))
+        at = np.fromiter(map(self._numbers.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         if len(self._numbers) > known:
             self._learn(known)
         self._used += np.bincount(at, minlength=len(self._used))
@@ -108,7 +130,8 @@ class Encoder:
         ends = np.cumsum(n)
         ids = self._flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        for i, a, b in zip(plain, bounds[:-1].tolist(), bounds[1:].tolist()):
+            out[i] = ids[a:b]
         for i, x in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = x
         return out
@@ -116,33 +139,26 @@ class Encoder:
     def _learn(self, known: int) -> None:
         """Ids of the pieces numbered ``known`` and above."""
         pieces = list(islice(reversed(self._numbers), len(self._numbers) - known))[::-1]
-        texts = [p[0] if isinstance(p, tuple) else p if p[:1] == "\n" else " " + p for p in pieces]
-        # a line feed before a piece is a part of its own, and so is a sign after a letter:
-        # the stem between them is encoded once
-        line = np.fromiter((t[:1] == "\n" for t in texts), bool, len(texts))
-        texts = [t[1:] if first else t for t, first in zip(texts, line.tolist())]
-        signed = np.fromiter((len(t) > 2 and t[-1] in _SIGNS and t[-2].isalpha() for t in texts), bool, len(texts))
-        number: dict[str, int] = {}
-        at = np.fromiter((number.setdefault(t[:-1] if cut else t, len(number)) for t, cut in zip(texts, signed.tolist())), np.int64, len(texts))
-        first, count, flat = self._ids_of(list(number))
-        n = count[at] + line + signed
+        first, n, flat = self._ids_of([p[1:] if p[:1] == _MARK else p if p == "\n" else " " + p for p in pieces])
         ends = np.cumsum(n)
-        ids = np.empty(int(ends[-1]), np.uint32)
-        own = count[at]
-        inside = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own)
-        ids[inside + np.repeat(ends - n + line, own)] = flat[inside + np.repeat(first[at], own)]
-        ids[(ends - n)[line]] = self._line
-        ids[ends[signed] - 1] = np.fromiter((self._sign[t[-1]] for t, cut in zip(texts, signed.tolist()) if cut), np.uint32, int(signed.sum()))
-        self._flat = np.concatenate([self._flat, ids])
+        self._flat = np.concatenate([self._flat, flat[np.repeat(first - (ends - n), n) + np.arange(ends[-1])]])
         self._start = np.concatenate([self._start, self._start[-1] + ends])
         self._used = np.concatenate([self._used, np.zeros(len(n), np.int64)])
 
     def _ids_of(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each stem's ids begin, how many they are, and the ids. Stems without white space
-        inside are encoded many at a time, a line feed between them."""
-        plain = [i for i, s in enumerate(stems) if _PLAIN.fullmatch(s)]
-        other = sorted(set(range(len(stems))).difference(plain))
+        """Where each stem's ids begin, how many they are, and the ids. Stems that are one part go
+        to the model; others without white space inside are encoded many at a time, a line feed
+        between them."""
+        single, plain, other = [], [], []
+        for i, s in enumerate(stems):
+            (single if _PART.fullmatch(s) else plain if _PLAIN.fullmatch(s) else other).append(i)
         count, parts = [], []
+        model = self._t.model.tokenize
+        for lo in range(0, len(single), CALL):
+            some = "\n".join([stems[i] for i in single[lo : lo + CALL]])
+            got = list(map(model, some.encode().decode("latin-1").translate(_BYTES).split(_BYTES[10])))
+            count.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter([t.id for x in got for t in x], np.uint32, int(count[-1].sum())))
         for lo in range(0, len(plain), CALL):
             some = [stems[i] for i in plain[lo : lo + CALL]]
             ids = np.array(self._t.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
@@ -156,7 +172,7 @@ class Encoder:
             count.append(np.fromiter(map(len, got), np.int64, len(got)))
             parts.append(np.fromiter(chain.from_iterable(got), np.uint32, int(count[-1].sum())))
         none = np.zeros(0, np.int64)
-        order, n = np.array(plain + other, np.int64), np.concatenate([none, *count])
+        order, n = np.array(single + plain + other, np.int64), np.concatenate([none, *count])
         first, many = np.empty(len(stems), np.int64), np.empty(len(stems), np.int64)
         first[order], many[order] = np.cumsum(n) - n, n
         return first, many, np.concatenate([np.zeros(0, np.uint32), *parts])

@@ -13,7 +13,7 @@ import xxhash
 
 from gridweave.llm import mixing, packing, pii, simhash_ball, token_files
 from gridweave.llm.common import read
-from gridweave.llm.tokenization import encoder
+from gridweave.llm.tokenization import Encoder, encoder
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, k string, pass string"
@@ -312,6 +312,21 @@ def test_encoder_gives_the_tokenizers_ids(hf):
     assert [x.tolist() for x in e.encode(made)] == [x.ids for x in hf.encode_batch(made, add_special_tokens=False)]
 
 
+def test_words_and_signs_share_what_is_encoded(hf):
+    """A word met with other signs behind it is not encoded again (op3: the check's CPU seconds)."""
+    rng = np.random.default_rng(11)
+    letters, signs = list("abzÉéñßжЯ"), ["", ".", ",", "'", "'s", "'ll", "!!", "***", "…", "²", ").", "-", "_x", "4", "\x01", "\x01.", "\n", "\t", "中", "\u0301"]
+    words = ["".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(60)]
+    made = [" ".join(rng.choice(words) + rng.choice(signs) + rng.choice(signs) for _ in range(rng.integers(1, 9))) for _ in range(3000)]
+    made += ["", " ", "\n", "a\n", "\na", " a", "a ", ".", "'s", "a'", "\x01", "a\n.", "x" * 5000 + "." * 5000, "ا، ب", "\ufeffa.", "a\u180eb", "e\u0301."]
+    e = Encoder("byte_bpe_50k.json")
+    assert [x.tolist() for x in e.encode(made)] == [x.ids for x in hf.encode_batch(made, add_special_tokens=False)]
+    plain = [w + s for w in words for s in [".", ",", "!!", "***", ").", ""]]
+    e = Encoder("byte_bpe_50k.json")
+    assert [x.tolist() for x in e.encode([" ".join(plain)])] == [hf.encode(" ".join(plain), add_special_tokens=False).ids]
+    assert len(e._numbers) <= len(set(words)) + 6
+
+
 def test_special_strings_are_recognised(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
