@@ -9,7 +9,8 @@ import uuid
 import numpy as np
 
 _BLOCK = 512
-#: For every byte value and k, where its k-th one is (8: it has fewer).
+#: One byte in each of a word's eight; and for every byte value and k, where its k-th one is (8: it has fewer).
+_EVEN, _PAIRS, _HALVES, _EACH, _TOP = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
 _NTH = np.full((256, 8), 8, np.uint8)
 for _b in range(256):
     _at = [i for i in range(8) if _b >> i & 1]
@@ -72,25 +73,34 @@ class EliasFano:
     def __init__(self, arrays: dict, facts: dict, name: str):
         self.words, self.lows, self.ones = (arrays[f"{name}.{k}"] for k in ("high", "low", "ones"))
         self.n, self.bits, self.top = (facts[f"{name}.{k}"] for k in ("n", "bits", "top"))
+        self._upto: dict[bool, np.ndarray] = {}
         self.zeros = np.arange(len(self.ones), dtype=np.int64) * _BLOCK - self.ones
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Where the k-th (from 0) one or zero of the high bits is."""
-        before = self.ones if ones else self.zeros
-        block = np.searchsorted(before, k, "right") - 1
-        left = k - before[block]
-        words = self.words[block[:, None] * (_BLOCK // 64) + np.arange(_BLOCK // 64)]
-        words = words if ones else ~words
-        upto = np.cumsum(np.bitwise_count(words), 1, dtype=np.int64)
-        at = (upto <= left[:, None]).sum(1)
-        row = np.arange(len(k))
-        left = left - np.where(at > 0, upto[row, np.maximum(at - 1, 0)], 0)
-        word = words[row, at]
-        by = word.view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(by), 1, dtype=np.int64)
-        b = (upto <= left[:, None]).sum(1)
-        left = left - np.where(b > 0, upto[row, np.maximum(b - 1, 0)], 0)
-        return block * _BLOCK + at * 64 + b * 8 + _NTH[by[row, b], left]
+        if len(k) * 4 > len(self.words):  # as many as words: all of them are counted once
+            if ones not in self._upto:
+                self._upto[ones] = np.cumsum(np.bitwise_count(self.words if ones else ~self.words), dtype=np.int64)
+            upto = self._upto[ones]
+            at = np.searchsorted(upto, k, "right")
+            left = k - np.where(at > 0, upto[np.maximum(at - 1, 0)], 0)
+        else:
+            before = self.ones if ones else self.zeros
+            block = np.searchsorted(before, k, "right") - 1
+            left = k - before[block]
+            words = self.words[block[:, None] * (_BLOCK // 64) + np.arange(_BLOCK // 64)]
+            upto = np.cumsum(np.bitwise_count(words if ones else ~words), 1, dtype=np.int64)
+            at = (upto <= left[:, None]).sum(1)
+            left = left - np.where(at > 0, upto[np.arange(len(k)), np.maximum(at - 1, 0)], 0)
+            at += block * (_BLOCK // 64)
+        word, left = self.words[at] if ones else ~self.words[at], left.astype(np.uint64)
+        # ones up to each byte of a word, in the word's bytes, and how many of them are too few
+        upto = word - ((word >> np.uint64(1)) & _EVEN)
+        upto = (upto & _PAIRS) + ((upto >> np.uint64(2)) & _PAIRS)
+        upto = ((upto + (upto >> np.uint64(4))) & _HALVES) * _EACH
+        shift = np.bitwise_count(((left * _EACH | _TOP) - upto) & _TOP).astype(np.uint64) << np.uint64(3)
+        left -= ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+        return at * 64 + shift.astype(np.int64) + _NTH[((word >> shift) & np.uint64(255)).astype(np.int64), left.astype(np.int64)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:

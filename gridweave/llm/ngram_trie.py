@@ -16,9 +16,11 @@ and their mass left to ``g(h) = 1 - sum of the kept terms``; at the bottom
 ``p(w) = (c + 0.1) / (N + 0.1 (V + 1))`` over words and one end per text (a start of text
 serves as context only). Counts run over all training texts.
 
-Counting: a task counts the pairs of its texts in arrays, cuts them by hash into buckets and
-sends each bucket as one compressed block; a bucket's blocks are added up together. A level
-counts only n-grams whose parts were kept before, which loses none (none of the others can
+Counting: a task counts the pairs of its texts in arrays, cuts them by ranges into buckets and
+sends each bucket as one compressed block; a bucket's blocks are added up together and written
+as shards by the same task, so that no n-gram is a row of its own or sorted twice. The ranges
+hold some equal numbers of tokens, as the level before counted its nodes; a node with more is
+cut by its words. A level counts only n-grams whose parts were kept before, which loses none (none of the others can
 reach ``MIN_COUNT``). Everything sent is distinct pairs per task, so a word or pair in a
 third of all places is one entry of each block.
 
@@ -49,6 +51,7 @@ from pyspark.sql import functions as F
 
 from gridweave.llm import elias_fano
 from gridweave.llm.common import checkpoint_dir, cut_lineage, remainder, text_or_empty
+from gridweave.session import intermediates
 
 ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.75
 SHARD, BUCKETS, BUCKET_TOKENS, HELD = 500_000, 64, 4_000_000, 2_000_000
@@ -115,9 +118,14 @@ class Level:
 
     def _search(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.full(len(word), -1, np.int64)
-        which = np.searchsorted(self.parent, parent, "right") - 1
-        while len(low := np.flatnonzero((which >= 0) & (self.parent[which] == parent) & (self.word[which] > word))):
-            which[low] -= 1
+        # the last shard that begins at or before the pair
+        low, high = np.searchsorted(self.parent, parent, "left"), np.searchsorted(self.parent, parent, "right")
+        while len(open_ := np.flatnonzero(low < high)):
+            mid = (low[open_] + high[open_]) >> 1
+            before = self.word[mid] <= word[open_]
+            low[open_[before]] = mid[before] + 1
+            high[open_[~before]] = mid[~before]
+        which = low - 1
         for k, at in self._by_shard(which):
             arrays, facts = self._shard(k)
             inside = parent[at] - self.parent[k] <= np.uint64(facts["last"])
@@ -168,7 +176,7 @@ class Level:
         for k, at in self._by_shard(np.searchsorted(self.rank, node, "right") - 1):
             a = self._shard(k)[0][name]
             if out is None:
-                out = np.zeros(len(node), a.dtype)
+                out = np.zeros(len(node), np.int64 if name == "count" else a.dtype)
             out[at] = a[node[at] - self.rank[k]]
         return np.zeros(0, np.uint16) if out is None else out
 
@@ -206,12 +214,17 @@ class Model:
             some = np.flatnonzero((before >= 0) & (word >= 0))
             found[some] = self.levels[j - 1].find(before[some].astype(np.uint64), word[some].astype(np.uint64))
             if j == 2:
-                word = np.full(len(ids), -1, np.int64)
-                some = np.flatnonzero(found >= 0)
-                word[some] = found[some] - self.levels[1].begin(before[some].astype(np.uint64))
+                word = self.ranks(found, before)
             node = found
         return node, word
 
+    def ranks(self, node: np.ndarray, parent: np.ndarray) -> np.ndarray:
+        """The places of nodes of the second level among their parent's children, -1 for none."""
+        out = np.full(len(node), -1, np.int64)
+        some = np.flatnonzero(node >= 0)
+        out[some] = node[some] - self.levels[1].begin(parent[some].astype(np.uint64))
+        return out
+
     def left(self, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """g(h) of nodes: the mass that their children leave, and whether they have any
         (a mass near 1 is stored as 1, so the mass does not tell)."""
@@ -237,13 +250,21 @@ class Model:
         first = np.zeros(len(flat), bool)
         first[begins] = True
         for k in range(2, self.order + 1):
-            parent, word = self.parents(ids, begins, k)
+            # the level before found the nodes
+            parent = np.concatenate([[-1], ids if k == 2 else found[:-1]])[: len(ids)]
+            parent[begins] = -1
+            if k == 2:
+                word = ids
+            elif k == 3:
+                word = self.ranks(found, before)
             left, has = self.left(parent, k - 2)
             p = left * p
             some = np.flatnonzero((parent >= 0) & (word >= 0) & has)
             node = self.levels[k - 1].find(parent[some].astype(np.uint64), word[some].astype(np.uint64))
             hit = node >= 0
             p[some[hit]] += _value(self.levels[k - 1].payload(node[hit], "prob"))
+            found, before = np.full(len(ids), -1, np.int64), parent
+            found[some] = node
         keep = ~first
         total = lambda x: np.add.reduceat(np.where(keep, x, 0), begins)
         return {"n_tokens": total(np.ones(len(flat), np.int64)), "n_known": total((count > 0).astype(np.int64)), "base_score": total(base), "score": total(np.log10(p))}
@@ -315,66 +336,111 @@ def _mounted(folder: str) -> str:
     raise ValueError(f"the trie's files are mapped, so the shared folder must be mounted: {folder}")
 
 
-def _shards(rows: DataFrame, folder: str, name: str, count: int, make, flip: int = 0) -> list[dict]:
-    """Write rows (parent, word, n), in order, as shard files; ``make`` gives a shard's
-    payload. ``flip`` is a mask that turns ``word`` into the number that is meant."""
+_SHARD = pa.schema([("kind", pa.string()), ("parent", pa.string()), ("word", pa.string()), ("n", pa.int64()), ("file", pa.string()), ("cut", pa.list_(pa.int64())), ("weight", pa.list_(pa.int64()))])
+_SHARD_DDL = "kind string, parent string, word string, n bigint, file string, cut array<bigint>, weight array<bigint>"
+
+
+def _write_shard(folder: str, name: str, parent: np.ndarray, word: np.ndarray, n: np.ndarray, make, room: int = 0) -> dict:
+    """Write pairs, in order, as a shard file; ``make`` gives its payload. With ``room``, where
+    runs of some ``room`` tokens begin among its nodes, and their tokens."""
+    local = (parent - parent[0]).astype(np.int64)
+    cut = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]]))
+    # each range of numbers is raised above the last of the range before
+    last = np.concatenate([cut[1:] - 1, [len(word) - 1]])
+    base = int(word[0])
+    own = word.copy()
+    own[: last[0] + 1] -= np.uint64(base)
+    raise_ = np.concatenate([[0], np.cumsum(own[last] + np.uint64(1))[:-1]]).astype(np.uint64)
+    values = own + np.repeat(raise_, last - cut + 1)
+    arrays, facts = elias_fano.build(values, "words")
+    facts |= {"last": int(local[-1]), "base": base}
+    if facts["last"]:
+        points = np.searchsorted(local, np.arange(facts["last"] + 2)).astype(np.uint64)
+        more, known = elias_fano.build(points, "points")
+        arrays, facts = arrays | more, facts | known
+    arrays |= make(parent.astype(np.int64), word, n)
+    file = f"{name}-{int(parent[0])}-{base}"
+    elias_fano.save(os.path.join(folder, file), arrays, **facts)
+    at = np.zeros(0, np.int64)
+    if room:
+        hot = np.flatnonzero(n > room)
+        at = np.unique(np.concatenate([np.flatnonzero(np.diff((np.cumsum(n) - n) // room, prepend=-1)), hot, hot[hot + 1 < len(n)] + 1]))
+    return {"kind": name, "parent": str(int(parent[0])), "word": str(base), "n": len(word), "file": file, "cut": at.tolist(), "weight": np.add.reduceat(n, at).tolist() if len(at) else []}
+
+
+def _in_order(made: list) -> list[dict]:
+    """Shards in the order of their pairs, from their rows: one row per shard."""
+    rows = ({"parent": int(r["parent"]), "word": int(r["word"]), "n": r["n"], "file": r["file"], "cut": r["cut"], "weight": r["weight"]} for r in made)
+    return sorted(rows, key=lambda s: (s["parent"], s["word"]))
+
+
+def _buckets(shards: list[dict], room: int, words: int) -> list[tuple[int, int]]:
+    """Where the buckets of the next level begin: (parent, word), in order. A node of more than ``room`` tokens has buckets of
+    its own, cut by the numbers of its words: evenly, and by halves where they are fewer."""
+    out, held, rank = [(0, 0)], 0, 0
+    for s in shards:
+        for k, end, w in zip(s["cut"], [*s["cut"][1:], s["n"]], s["weight"]):
+            if w > room and end == k + 1:
+                m = -(-w // room)
+                inside = {words * i // m for i in range(1, m)} | {words >> j for j in range(1, words.bit_length()) if words >> j >= 4096}
+                out += [(rank + k, x) for x in sorted(inside | {0})] + [(rank + k + 1, 0)]
+                held = 0
+            elif held and held + w > room:
+                out.append((rank + k, 0))
+                held = w
+            else:
+                held += w
+        rank += s["n"]
+    return sorted(set(out))
+
+
+def _vocabulary(rows: DataFrame, folder: str, count: int, room: int) -> list[dict]:
+    """The first level from rows (word, n): ``word`` is the hash with its top bit flipped."""
     if not count:
         return []
 
     def write(batches):
         got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        parent, word = (t.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in ("parent", "word"))
-        word = word ^ np.uint64(flip)
-        n = t.column("n").to_numpy()
-        local = (parent - parent[0]).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], local[1:] != local[:-1]]))
-        # each range of numbers is raised above the last of the range before
-        last = np.concatenate([cut[1:] - 1, [len(word) - 1]])
-        base = int(word[0])
-        own = word.copy()
-        own[: last[0] + 1] -= np.uint64(base)
-        raise_ = np.concatenate([[0], np.cumsum(own[last] + np.uint64(1))[:-1]]).astype(np.uint64)
-        values = own + np.repeat(raise_, last - cut + 1)
-        arrays, facts = elias_fano.build(values, "words")
-        facts |= {"last": int(local[-1]), "base": base}
-        if facts["last"]:
-            points = np.searchsorted(local, np.arange(facts["last"] + 2)).astype(np.uint64)
-            more, known = elias_fano.build(points, "points")
-            arrays, facts = arrays | more, facts | known
-        arrays |= make(parent.astype(np.int64), word, n)
-        file = f"{name}-{int(parent[0])}-{base}"
-        elias_fano.save(os.path.join(folder, file), arrays, **facts)
-        yield pa.RecordBatch.from_pylist([{"parent": str(int(parent[0])), "word": str(base), "n": len(word), "file": file}])
-
-    ordered = rows.repartitionByRange(max(1, -(-count // SHARD)), "parent", "word").sortWithinPartitions("parent", "word")
-    made = ordered.mapInArrow(write, "parent string, word string, n bigint, file string").collect()  # one row per shard
-    return sorted(({"parent": int(r["parent"]), "word": int(r["word"]), "n": r["n"], "file": r["file"]} for r in made), key=lambda s: (s["parent"], s["word"]))
-
-
-def _count_pairs(docs: DataFrame, folder: str, k: int, least: int, buckets: int) -> DataFrame:
-    """parent, word, n of the k-grams seen at least ``least`` times."""
+        if got:
+            t = pa.Table.from_batches(got)
+            word = t.column("word").to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+            row = _write_shard(folder, "level1", np.zeros(len(word), np.uint64), word, t.column("n").to_numpy(), _counted, room)
+            yield pa.RecordBatch.from_pylist([row], _SHARD)
+
+    ordered = rows.repartitionByRange(max(1, -(-count // SHARD)), "word").sortWithinPartitions("word")
+    return _in_order(ordered.mapInArrow(write, _SHARD_DDL).collect())
+
+
+def _counted(parent, word, n) -> dict[str, np.ndarray]:
+    return {"count": n.astype(np.min_scalar_type(int(n.max())))}
+
+
+def _level(docs: DataFrame, folder: str, stage: str, k: int, least: int, discount: float, begins: list[tuple[int, int]], room: int) -> tuple[list[dict], list[dict]]:
+    """Count the k-grams seen at least ``least`` times and write their shards and those of what
+    their contexts leave; with ``room``, their counts too."""
+    split = sorted({p for p, w in begins if w})
+    cuts = np.array(begins, np.uint64)
 
     def count(batches):
         held, size = [], 0
 
         def flush():
             parent, word, n = _summed(*(np.concatenate(x) for x in zip(*held)))
-            to = ((parent * np.uint64(0x9E3779B97F4A7C15) ^ word * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(to, kind="stable")
-            cut = np.flatnonzero(np.diff(to[order], prepend=-1))
-            return pd.DataFrame({"bucket": to[order][cut], "block": [_pressed(parent[i], word[i], n[i]) for i in np.split(order, cut[1:])]})
+            low, high = np.searchsorted(parent, cuts[:, 0], "left"), np.searchsorted(parent, cuts[:, 0], "right")
+            for i in np.flatnonzero((cuts[:, 1] > 0) & (low < high)):
+                low[i] += np.searchsorted(word[low[i] : high[i]], cuts[i, 1])
+            edge = np.append(low, len(parent))
+            some = np.flatnonzero(edge[1:] > edge[:-1])
+            return pd.DataFrame({"bucket": some, "block": [_pressed(parent[a:b], word[a:b], n[a:b]) for a, b in zip(edge[some], edge[some + 1])]})
 
         for b in batches:
-            m = model(folder)
+            m = model(stage)
             for texts in _steps(b["text"].tolist()):
-                distinct, flat, begins = number(texts)
+                distinct, flat, starts = number(texts)
                 ids = m.words(distinct)
                 # a word seen less often than asked for ends no kept n-gram
                 ids = np.where(m.counts(ids) >= least, ids, -1)[flat]
-                parent, word = m.parents(ids, begins, k)
+                parent, word = m.parents(ids, starts, k)
                 ok = (parent >= 0) & (word >= 0)
                 held.append(_summed(parent[ok].astype(np.uint64), word[ok].astype(np.uint64), np.ones(int(ok.sum()), np.int64)))
                 size += len(held[-1][0])
@@ -384,12 +450,38 @@ def _count_pairs(docs: DataFrame, folder: str, k: int, least: int, buckets: int)
         if size:
             yield flush()
 
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
+    def payload(parent, word, c):
+        return {"prob": _code((c - discount) / model(stage).counts(parent, k - 2))} | (_counted(parent, word, c) if room else {})
+
+    def left(parent, word, mass):
+        return {"left": _code(1 - mass / model(stage).counts(word.astype(np.int64), k - 2))}
+
+    def backs(node, mass):
+        return [_write_shard(folder, f"back{k}", np.zeros(len(x), np.uint64), x, mass[i : i + SHARD], left) for i in range(0, len(node), SHARD) for x in [node[i : i + SHARD]]]
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
         parent, word, n = _summed(*(np.concatenate(x) for x in zip(*map(_opened, rows["block"]))))
         keep = n >= least
-        return pd.DataFrame({"parent": parent[keep].view(np.int64), "word": word[keep].view(np.int64), "n": n[keep]})
+        parent, word, n = parent[keep], word[keep], n[keep]
+        made = [_write_shard(folder, f"level{k}", parent[i : i + SHARD], word[i : i + SHARD], n[i : i + SHARD], payload, room) for i in range(0, len(n), SHARD)]
+        if len(n):
+            cut = np.flatnonzero(np.concatenate([[True], parent[1:] != parent[:-1]]))
+            node, total, kinds = parent[cut], np.add.reduceat(n, cut), np.diff(np.append(cut, len(n)))
+            if int(node[0]) in split:  # its other children are in other buckets: added up below
+                made.append({"kind": "part", "parent": str(int(node[0])), "word": "0", "n": int(total[0]), "file": "", "cut": [int(kinds[0])], "weight": []})
+            else:
+                made += backs(node, total - discount * kinds)
+        return pa.Table.from_pylist(made, _SHARD).to_pandas()
 
-    return docs.mapInPandas(count, "bucket int, block binary").groupBy("bucket").applyInPandas(add, "parent bigint, word bigint, n bigint")
+    blocks = docs.mapInPandas(count, "bucket int, block binary")
+    made = blocks.groupBy("bucket").applyInPandas(write, _SHARD_DDL).collect()  # one row per shard
+    tokens, kinds = {}, {}
+    for r in made:
+        if r["kind"] == "part":
+            p = int(r["parent"])
+            tokens[p], kinds[p] = tokens.get(p, 0) + r["n"], kinds.get(p, 0) + r["cut"][0]
+    rest = [x for p in sorted(tokens) for x in backs(np.array([p], np.uint64), np.array([tokens[p] - discount * kinds[p]]))]
+    return _in_order([r for r in made if r["kind"] == f"level{k}"]), _in_order([r for r in made if r["kind"] == f"back{k}"] + rest)
 
 
 def train(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT, discount: float = DISCOUNT) -> str:
@@ -408,40 +500,25 @@ def train(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT, discount:
     words = texts.mapInArrow(count_words, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     # signed numbers in the order of the unsigned hashes: those with the top bit flipped
     h = F.xxhash64("w").bitwiseXOR(F.lit(-(2**63)).cast("bigint"))
-    words = cut_lineage(words.select(h.alias("h"), "n", (F.col("w") == F.lit(START)).alias("start")))
-    tell = words.agg(F.count(F.lit(1)), F.sum(F.when(~F.col("start"), F.col("n"))), F.count(F.when(~F.col("start"), 1))).first()
-    facts = {"N": int(tell[1] or 0), "V": int(tell[2]), "order": order, "levels": [], "backs": []}
-
-    def publish():
-        with open(os.path.join(folder, "model.json.new"), "w") as f:
-            json.dump(facts, f)
-        os.replace(os.path.join(folder, "model.json.new"), os.path.join(folder, "model.json"))
-
-    vocabulary = words.groupBy(F.lit(0).cast("bigint").alias("parent"), F.col("h").alias("word")).agg(F.sum("n").alias("n"))
-    facts["levels"].append(_shards(vocabulary, folder, "level1", tell[0], lambda parent, word, n: {"count": n}, 1 << 63))
-    publish()
-    for k in range(2, order + 1):
-        stage = os.path.join(folder, f"upto-{k - 1}")  # what tasks open while a level is made
-        os.makedirs(stage)
-        with open(os.path.join(stage, "model.json"), "w") as f:
-            json.dump(facts | {"levels": [[s | {"file": f"../{s['file']}"} for s in x] for x in facts["levels"]]}, f)
-        kept = cut_lineage(_count_pairs(texts, stage, k, least, max(BUCKETS, facts["N"] // BUCKET_TOKENS)))
-        n = kept.count()
-        upto, last = k - 2, k == order
-
-        def payload(parent, word, c, stage=stage, upto=upto, last=last):
-            p = (c - discount) / model(stage).counts(parent, upto)
-            return {"prob": _code(p)} | ({} if last else {"count": c})
-
-        facts["levels"].append(_shards(kept, folder, f"level{k}", n, payload))
-        sums = kept.groupBy("parent").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-        sums = sums.select(F.lit(0).cast("bigint").alias("parent"), F.col("parent").alias("word"), (F.col("n") - discount * F.col("kinds")).alias("n"))
-
-        def back(parent, word, mass, stage=stage, upto=upto):
-            return {"left": _code(1 - mass / model(stage).counts(word.astype(np.int64), upto))}
-
-        facts["backs"].append(_shards(sums, folder, f"back{k}", n, back))
-        publish()
+    with intermediates(spark):
+        words = cut_lineage(words.select(h.alias("h"), "n", (F.col("w") == F.lit(START)).alias("start")))
+        tell = words.agg(F.count(F.lit(1)), F.sum(F.when(~F.col("start"), F.col("n"))), F.count(F.when(~F.col("start"), 1))).first()
+        facts = {"N": int(tell[1] or 0), "V": int(tell[2]), "order": order, "levels": [], "backs": []}
+        room = max(1, min(BUCKET_TOKENS, facts["N"] // BUCKETS))
+        shards = _vocabulary(words.groupBy(F.col("h").alias("word")).agg(F.sum("n").alias("n")), folder, tell[0], room)
+    stage = folder
+    for k in range(1, order + 1):
+        if k > 1:
+            shards, backs = _level(texts, folder, stage, k, least, discount, begins, room if k < order else 0)
+            facts["backs"].append(backs)
+        begins = _buckets(shards, room, tell[0])
+        facts["levels"].append(shards)
+        stage = os.path.join(folder, f"upto-{k}") if k < order else folder  # what tasks open while a level is made
+        os.makedirs(stage, exist_ok=True)
+        up = "../" if k < order else ""
+        with open(os.path.join(stage, "model.json.new"), "w") as f:
+            json.dump(facts | {part: [[{"parent": s["parent"], "word": s["word"], "n": s["n"], "file": up + s["file"]} for s in x] for x in facts[part]] for part in ("levels", "backs")}, f)
+        os.replace(os.path.join(stage, "model.json.new"), os.path.join(stage, "model.json"))
     return folder
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,6 +13,7 @@ import numpy as np
 import pytest
 
 from gridweave.llm import adaptive_rules, catalog, elias_fano, itq, ngram_trie, quality_mil
+from gridweave.llm.common import checkpoint_dir
 from gridweave.llm.common import read
 
 from .test_brute import ODD, SCHEMA, SF, ascii_lower, odd, split, texts
@@ -222,3 +225,19 @@ def test_passages_cover_whole_texts():
     for k, m in enumerate(made):
         alone, _ = quality_mil.encode(np.frombuffer(m, np.uint8), np.array([0, len(m)]))
         assert np.allclose(alone, x[first[k] : first[k + 1]])
+
+
+def test_trie_leaves_no_tables_and_splits_hot_contexts(spark, monkeypatch):
+    """Buckets by range write their shards themselves (op1: over the check's disk before)."""
+    folder = ngram_trie._mounted(checkpoint_dir(spark))
+    before = set(os.listdir(folder))
+    monkeypatch.setattr(ngram_trie, "BUCKETS", 500)
+    rows = [(i, " ".join(f"h u{(i * 7 + k) % 90}" for k in range(40)) + " h k h k", "s") for i in range(1, 60)]
+    want = {r[0]: r for r in brute_scores([r[:2] for r in rows], 3, least=1)}
+    for r in ngram_trie.score_corpus(odd(spark, rows), 3, 1).collect():
+        assert abs(r.score - want[r.doc_id][6]) <= 2e-3 * r.n_tokens
+    (made,) = set(os.listdir(folder)) - before
+    with open(os.path.join(folder, made, "model.json")) as f:
+        m = json.load(f)
+    parents = [s["parent"] for s in m["levels"][1]]
+    assert made.startswith("gw-trie-") and len(parents) > len(set(parents))
