@@ -11,6 +11,7 @@ import numpy as np
 _BLOCK = 512
 #: One byte in each of a word's eight; and for every byte value and k, where its k-th one is (8: it has fewer).
 _EVEN, _PAIRS, _HALVES, _EACH, _TOP = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+_ONE = np.uint64(1)
 _NTH = np.full((256, 8), 8, np.uint8)
 for _b in range(256):
     _at = [i for i in range(8) if _b >> i & 1]
@@ -36,7 +37,7 @@ def save(path: str, arrays: dict[str, np.ndarray], **facts) -> None:
 
 def load(path: str) -> tuple[dict[str, np.ndarray], dict]:
     """The file's arrays, as views of the mapped file, and its facts."""
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.memmap(path, np.uint8, "r").view(np.ndarray)
     n = int.from_bytes(raw[:8].tobytes(), "little")
     head = json.loads(raw[8 : 8 + n].tobytes())
     out = {}
@@ -115,6 +116,24 @@ class EliasFano:
     def at(self, i: np.ndarray) -> np.ndarray:
         return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.bits)) | self._low(i)
 
+    def _after(self, at: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
+        """Where the k-th one or zero is, which is the first after the places ``at``: mostly in
+        the same word."""
+        at = at + 1
+        word = self.words[np.minimum(at >> 6, len(self.words) - 1)]
+        word = (word if ones else ~word) >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((word & (~word + _ONE)) - _ONE)
+        far = np.flatnonzero((word == 0) | (at >= len(self.words) * 64))
+        if len(far):
+            out[far] = self._select(k[far], ones)
+        return out
+
+    def range(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and at i + 1."""
+        first = self._select(i, True)
+        then, shift = self._after(first, i + 1, True), np.uint64(self.bits)
+        return ((first - i).astype(np.uint64) << shift) | self._low(i), ((then - i - 1).astype(np.uint64) << shift) | self._low(i + 1)
+
     def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the first value >= x is (the length, if none), and whether it equals x."""
         where, same = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
@@ -123,17 +142,24 @@ class EliasFano:
             return where, same
         q = x[ask]
         h, low = (q >> np.uint64(self.bits)).astype(np.int64), q & np.uint64((1 << self.bits) - 1)
-        hi = self._select(h, False) - h
-        lo = np.zeros(len(q), np.int64)
-        some = np.flatnonzero(h > 0)
-        lo[some] = self._select(h[some] - 1, False) - (h[some] - 1)
-        end = hi.copy()
-        while len(open_ := np.flatnonzero(lo < hi)):
+        zero = self._select(np.maximum(h - 1, 0), False)
+        zero[h == 0] = -1
+        lo, hi = zero - (h - 1), self._after(zero, h, False) - h
+        end, hit = hi.copy(), np.zeros(len(q), bool)
+        # by halves where many values share their high bits, then one by one
+        open_ = np.flatnonzero(hi - lo > 4)
+        while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < low[open_]
             lo[open_[less]] = mid[less] + 1
             hi[open_[~less]] = mid[~less]
-        hit = lo < end
-        hit[hit] = self._low(lo[hit]) == low[hit]
+            open_ = open_[hi[open_] - lo[open_] > 4]
+        open_ = np.flatnonzero(lo < end)
+        while len(open_):
+            got, want = self._low(lo[open_]), low[open_]
+            hit[open_[got == want]] = True
+            open_ = open_[got < want]
+            lo[open_] += 1
+            open_ = open_[lo[open_] < end[open_]]
         where[ask], same[ask] = lo, hit
         return where, same

@@ -7,8 +7,10 @@ among the successors of the word before it, which are fewer, so the numbers are
 level is cut into shards of consecutive entries. A shard's file holds, as Elias-Fano
 sequences, the children's numbers (each range raised above the one before, which makes the
 whole monotone) and the pointers where each parent's range begins, and beside them
-quantised logarithms of the discounted probabilities and, where asked for, exact counts.
-Tasks map the files and look up whole arrays of n-grams by successor search.
+quantised logarithms of the discounted probabilities and, where asked for, exact counts; the
+masses that contexts leave are arrays over runs of nodes. Tasks map the files, number the
+n-grams of ``STEP`` bytes of text in the order of the trie, and look up each distinct one once,
+whole arrays at a time, by successor search.
 
 Model: interpolated absolute discounting,
 ``p(w | h) = (c(hw) - D) / c(h) + g(h) p(w | h')``, with entries under ``MIN_COUNT`` pruned
@@ -39,11 +41,12 @@ import json
 import os
 import re
 import uuid
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -55,15 +58,12 @@ from gridweave.session import intermediates
 
 ORDER, MIN_COUNT, DISCOUNT = 2, 2, 0.75
 SHARD, BUCKETS, BUCKET_TOKENS, HELD = 500_000, 64, 4_000_000, 2_000_000
-STEP = 8_000_000
+STEP = 16_000_000
 #: No word holds a space, so these are no words.
 START, STOP = b" <s>", b" </s>"
 #: Logarithms from -12 to 0 in 65,535 steps: an error of at most 0.0001.
 FLOOR, STEPS = 12.0, 65_535
-
-
-def tokens(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space only
+_VALUES = 10.0 ** (np.arange(STEPS + 1) / STEPS * FLOOR - FLOOR)
 
 
 def _code(p: np.ndarray) -> np.ndarray:
@@ -71,12 +71,11 @@ def _code(p: np.ndarray) -> np.ndarray:
 
 
 def _value(code: np.ndarray) -> np.ndarray:
-    return 10.0 ** (code.astype(float) / STEPS * FLOOR - FLOOR)
+    return _VALUES[code]
 
 
-def key_of(words: list[bytes]) -> np.ndarray:
-    digest = xxhash.xxh64_intdigest
-    return np.fromiter((digest(w, 42) for w in words), np.uint64, len(words))
+def key_of(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_numpy(zero_copy_only=False), repeat(42)), np.uint64, len(words))
 
 
 class Level:
@@ -97,50 +96,43 @@ class Level:
         return self._open[k]
 
     def _by_shard(self, which: np.ndarray):
-        order = np.argsort(which, kind="stable")
-        cut = np.flatnonzero(np.diff(which[order], prepend=-1))
-        for a, b in zip(cut, [*cut[1:], len(order)]):
-            if which[order[a]] >= 0:
-                yield int(which[order[a]]), order[a:b]
-
-    def find(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Nodes of (parent, word), -1 where there is none. Each distinct pair is searched
-        once, in order, which keeps close what is read of the mapped files."""
-        if not self.shards or not len(word):
-            return np.full(len(word), -1, np.int64)
-        bits = int(word.max()).bit_length()
-        if int(parent.max()).bit_length() + bits > 64:
-            return self._search(parent, word)
-        key, back = np.unique((parent << np.uint64(bits)) | word if bits < 64 else word, return_inverse=True)
-        if bits == 64:
-            return self._search(np.zeros(len(key), np.uint64), key)[back]
-        return self._search(key >> np.uint64(bits), key & np.uint64((1 << bits) - 1))[back]
-
-    def _search(self, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
-        out = np.full(len(word), -1, np.int64)
-        # the last shard that begins at or before the pair
-        low, high = np.searchsorted(self.parent, parent, "left"), np.searchsorted(self.parent, parent, "right")
-        while len(open_ := np.flatnonzero(low < high)):
-            mid = (low[open_] + high[open_]) >> 1
-            before = self.word[mid] <= word[open_]
-            low[open_[before]] = mid[before] + 1
-            high[open_[~before]] = mid[~before]
-        which = low - 1
-        for k, at in self._by_shard(which):
+        if len(which) and (which[1:] >= which[:-1]).all():
+            order = None
+            cut = np.flatnonzero(np.diff(which, prepend=-1))
+        else:
+            order = np.argsort(which, kind="stable")
+            cut = np.flatnonzero(np.diff(which[order], prepend=-1))
+        for a, b in zip(cut, [*cut[1:], len(which)]):
+            at = slice(a, b) if order is None else order[a:b]
+            if (k := int(which[a if order is None else order[a]])) >= 0:
+                yield k, at
+
+    def find(self, parent: np.ndarray, word: np.ndarray, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs (parent, word) in order: their nodes (-1 where there is none), places among
+        their parent's children and payloads of a name. The order keeps close what is read of
+        the mapped files."""
+        node, place = np.full((2, len(word)), -1, np.int64)
+        load = np.zeros(len(word), np.int64 if name == "count" else np.uint16)
+        # a shard is asked for the pairs from its first to the next one's
+        low, high = np.searchsorted(parent, self.parent, "left"), np.searchsorted(parent, self.parent, "right")
+        for i in np.flatnonzero(low < high):
+            low[i] += np.searchsorted(word[low[i] : high[i]], self.word[i])
+        for k, (a, b) in enumerate(zip(low, [*low[1:], len(word)])):
+            if a == b:
+                continue
             arrays, facts = self._shard(k)
-            inside = parent[at] - self.parent[k] <= np.uint64(facts["last"])
-            at = at[inside]
-            if not len(at):
+            p = (parent[a:b] - self.parent[k]).astype(np.int64)
+            p = p[: np.searchsorted(p, facts["last"], "right")]
+            if not len(p):
                 continue
-            p, w = (parent[at] - self.parent[k]).astype(np.int64), word[at]
+            w = word[a : a + len(p)]
             values = elias_fano.EliasFano(arrays, facts, "words")
             # begin, end and base once for each run of one parent
             cut = np.flatnonzero(np.diff(p, prepend=-1))
             many = np.diff(np.append(cut, len(p)))
             p = p[cut]
             if facts["last"]:
-                points = elias_fano.EliasFano(arrays, facts, "points")
-                begin, end = points.at(p).astype(np.int64), points.at(p + 1).astype(np.int64)
+                begin, end = (x.astype(np.int64) for x in elias_fano.EliasFano(arrays, facts, "points").range(p))
             else:
                 begin, end = np.zeros(len(p), np.int64), np.full(len(p), values.n)
             base = np.zeros(len(p), np.uint64)
@@ -148,27 +140,33 @@ class Level:
             base[later] = values.at(begin[later] - 1) + np.uint64(1)
             # numbers of a shard's first range count from its smallest, of others from zero
             least = np.where(begin > 0, np.uint64(0), np.uint64(facts["base"]))
-            begin, end, base, least = (np.repeat(x, many) for x in (begin, end, base, least))
+            first = begin.copy()
+            if k and not p[0]:  # this range may have begun in a shard before
+                first[0] = self._first(int(self.parent[k])) - self.rank[k]
+            begin, end, base, least, first = (np.repeat(x, many) for x in (begin, end, base, least, first))
             ok = np.flatnonzero((begin < end) & (w >= least))
             pos, same = values.successor(base[ok] + (w[ok] - least[ok]))
             same &= pos < end[ok]
-            out[at[ok][same]] = self.rank[k] + pos[same]
-        return out
-
-    def begin(self, parent: np.ndarray) -> np.ndarray:
-        """The first node under each parent (for a parent that has one)."""
-        which = np.maximum(np.searchsorted(self.parent, parent, "left") - 1, 0)
-        out = np.zeros(len(parent), np.int64)
-        for k, at in self._by_shard(which):
-            arrays, facts = self._shard(k)
-            p = (parent[at] - self.parent[k]).astype(np.int64)
-            here = (p >= 0) & (p <= facts["last"])
-            out[at] = self.rank[k + 1]
-            if facts["last"]:
-                got = elias_fano.EliasFano(arrays, facts, "points").at(p[here]).astype(np.int64)
-            else:
-                got = np.zeros(int(here.sum()), np.int64)
-            out[at[here]] = self.rank[k] + got
+            ok, pos = ok[same], pos[same]
+            node[a + ok], place[a + ok], load[a + ok] = self.rank[k] + pos, pos - first[ok], arrays[name][pos]
+        return node, place, load
+
+    def _first(self, parent: int) -> int:
+        """The first node under a parent that has one."""
+        k = max(int(np.searchsorted(self.parent, np.uint64(parent), "left")) - 1, 0)
+        arrays, facts = self._shard(k)
+        p = parent - int(self.parent[k])
+        if p > facts["last"]:
+            return int(self.rank[k + 1])
+        return int(self.rank[k]) + (int(elias_fano.EliasFano(arrays, facts, "points").at(np.array([p]))[0]) if facts["last"] else 0)
+
+    def left(self, node: np.ndarray) -> np.ndarray:
+        """What nodes leave, as stored by :func:`_level` in shards of consecutive nodes (0: nothing stored)."""
+        out = np.zeros(len(node), np.uint16)
+        for k, at in self._by_shard(np.searchsorted(self.word, node, "right") - 1):
+            a = self._shard(k)[0]["left"]
+            i = (node[at] - self.word[k]).astype(np.int64)
+            out[at] = np.where(i < len(a), a[np.minimum(i, len(a) - 1)], 0)
         return out
 
     def payload(self, node: np.ndarray, name: str) -> np.ndarray:
@@ -191,9 +189,13 @@ class Model:
         self.levels = [Level(folder, s) for s in m["levels"]]
         self.backs = [Level(folder, s) for s in m["backs"]]
 
-    def words(self, words: list[bytes]) -> np.ndarray:
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The words' nodes (-1: unknown) and counts."""
         h = key_of(words)
-        return self.levels[0].find(np.zeros(len(h), np.uint64), h)
+        order = np.argsort(h)
+        out = np.empty((2, len(h)), np.int64)
+        out[0, order], _, out[1, order] = self.levels[0].find(np.zeros(len(h), np.uint64), h[order], "count")
+        return out[0], out[1]
 
     def counts(self, node: np.ndarray, level: int = 0) -> np.ndarray:
         out = np.zeros(len(node), np.int64)
@@ -201,82 +203,116 @@ class Model:
         out[some] = self.levels[level].payload(node[some], "count")
         return out
 
-    def parents(self, ids: np.ndarray, begins: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For the k-gram ending at each place: the node of its first k - 1 words (-1: none,
-        or it would begin before its text) and its last word's number in context."""
-        node, word = ids, ids
-        for j in range(2, k + 1):
-            before = np.concatenate([[-1], node[:-1]])
-            before[begins[begins < len(before)]] = -1
-            if j == k:
-                return before, word
-            found = np.full(len(ids), -1, np.int64)
-            some = np.flatnonzero((before >= 0) & (word >= 0))
-            found[some] = self.levels[j - 1].find(before[some].astype(np.uint64), word[some].astype(np.uint64))
-            if j == 2:
-                word = self.ranks(found, before)
-            node = found
-        return node, word
-
-    def ranks(self, node: np.ndarray, parent: np.ndarray) -> np.ndarray:
-        """The places of nodes of the second level among their parent's children, -1 for none."""
-        out = np.full(len(node), -1, np.int64)
-        some = np.flatnonzero(node >= 0)
-        out[some] = node[some] - self.levels[1].begin(parent[some].astype(np.uint64))
-        return out
-
     def left(self, node: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         """g(h) of nodes: the mass that their children leave, and whether they have any
         (a mass near 1 is stored as 1, so the mass does not tell)."""
-        node, back = np.unique(node, return_inverse=True)
         out, has = np.ones(len(node)), np.zeros(len(node), bool)
         some = np.flatnonzero(node >= 0)
         if len(self.backs) > level and len(some):
-            at = self.backs[level].find(np.zeros(len(some), np.uint64), node[some].astype(np.uint64))
-            hit = at >= 0
-            out[some[hit]] = _value(self.backs[level].payload(at[hit], "left"))
-            has[some[hit]] = True
-        return out[back], has[back]
+            code = self.backs[level].left(node[some].astype(np.uint64))
+            hit = code > 0
+            out[some[hit]], has[some[hit]] = _value(code[hit]), True
+        return out, has
 
     def bottom(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.1) / (self.n + 0.1 * (self.v + 1))
 
-    def score(self, texts: list[str]) -> dict[str, np.ndarray]:
-        distinct, flat, begins = number(texts)
-        nodes = self.words(distinct)
-        counts = self.counts(nodes)
-        ids, count, p = nodes[flat], counts[flat], self.bottom(counts)[flat]
-        base = np.log10(self.bottom(counts))[flat]
-        first = np.zeros(len(flat), bool)
-        first[begins] = True
+    def score(self, texts: pa.Array) -> dict[str, np.ndarray]:
+        words, at, begins = number(texts)
+        node, count = self.words(words)
+        low = self.bottom(count)
+        p, base, known = low[at], np.log10(low)[at], (count > 0)[at]
+        walk = Walk(at, node, begins)
         for k in range(2, self.order + 1):
-            # the level before found the nodes
-            parent = np.concatenate([[-1], ids if k == 2 else found[:-1]])[: len(ids)]
-            parent[begins] = -1
-            if k == 2:
-                word = ids
-            elif k == 3:
-                word = self.ranks(found, before)
-            left, has = self.left(parent, k - 2)
-            p = left * p
-            some = np.flatnonzero((parent >= 0) & (word >= 0) & has)
-            node = self.levels[k - 1].find(parent[some].astype(np.uint64), word[some].astype(np.uint64))
-            hit = node >= 0
-            p[some[hit]] += _value(self.levels[k - 1].payload(node[hit], "prob"))
-            found, before = np.full(len(ids), -1, np.int64), parent
-            found[some] = node
-        keep = ~first
+            left, has = self.left(walk.node, k - 2)
+            p *= left[walk.before()]
+            places, parent, word, back = walk.pairs(has)
+            node, place, prob = self.levels[k - 1].find(parent, word, "prob")
+            p[places] += np.where(node >= 0, _value(prob), 0.0)[back]
+            if k < self.order:
+                walk.on(places, back, node, place)
+        keep = np.ones(len(p), bool)
+        keep[begins] = False
         total = lambda x: np.add.reduceat(np.where(keep, x, 0), begins)
-        return {"n_tokens": total(np.ones(len(flat), np.int64)), "n_known": total((count > 0).astype(np.int64)), "base_score": total(base), "score": total(np.log10(p))}
+        return {"n_tokens": total(np.ones(len(p), np.int64)), "n_known": total(known.astype(np.int64)), "base_score": total(base), "score": total(np.log10(p))}
+
 
+class Walk:
+    """Texts on their way down the levels. Each place holds its n-gram as a number into the
+    distinct ones (-1: none), whose nodes end with a -1 for these. Numbers follow the order of
+    the trie, so each n-gram that occurs is searched once and in that order."""
 
-def number(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    def __init__(self, at: np.ndarray, node: np.ndarray, begins: np.ndarray):
+        node, back = np.unique(node, return_inverse=True)
+        self.at, self.node, self.begins = back.astype(np.int32)[at], np.append(node, -1), begins
+        self.first, self.bits = self.at, len(node).bit_length()
+        # a word's number in its context: its place in the vocabulary
+        self.word_at, self.word = self.at, self.node
+
+    def before(self) -> np.ndarray:
+        """At each place the n-gram that ends before it in its text."""
+        out = np.empty_like(self.at)
+        out[1:] = self.at[:-1]
+        out[self.begins] = -1
+        return out
+
+    def _sorted(self, has: np.ndarray | None):
+        """The places with a node before them and a known word, their order by pairs of these,
+        where in it a new pair begins, and the distinct pairs (parent, word)."""
+        before, some = self.before(), self.node >= 0
+        places = np.flatnonzero((some if has is None else some & has)[before] & (self.word >= 0)[self.word_at])
+        key = (before[places].astype(np.uint64) << np.uint64(self.bits)) | self.first[places].astype(np.uint64)
+        bits = len(key).bit_length()
+        if len(key) and int(key.max()).bit_length() + bits <= 64:  # sorted with their places, which is faster
+            key = (key << np.uint64(bits)) | np.arange(len(key), dtype=np.uint64)
+            key.sort()
+            order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+            key >>= np.uint64(bits)
+        else:
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+        one = places[order[new]]
+        return places, order, new, self.node[before[one]].astype(np.uint64), self.word[self.word_at[one]].astype(np.uint64)
+
+    def pairs(self, has: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The places with a node before them and a known word, their distinct pairs (parent,
+        word) in order, and each place's number among these."""
+        places, order, new, parent, word = self._sorted(has)
+        back = np.empty(len(order), np.int32)
+        back[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+        return places, parent, word, back
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs in order and how often they occur."""
+        _, _, new, parent, word = self._sorted(None)
+        return parent, word, np.diff(np.append(np.flatnonzero(new), len(new)))
+
+    def on(self, places: np.ndarray, back: np.ndarray, node: np.ndarray, place: np.ndarray) -> None:
+        """To the next level: the nodes found and their places among their parent's children."""
+        at = np.full(len(self.at), -1, np.int32)
+        at[places] = back
+        if self.word_at is self.first:  # from here on a word is told by its rank after the word before it
+            self.word_at, self.word = at, np.append(place, -1)
+        self.at, self.node = at, np.append(node, -1)
+
+
+def number(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of some texts, the texts as numbers into them (each from its start to
-    its stop) and where each text begins."""
-    lists = [tokens(t) for t in texts]
-    sizes = np.fromiter((len(x) + 2 for x in lists), np.int64, len(lists))
-    words = pa.array(chain.from_iterable(chain((START,), x, (STOP,)) for x in lists), pa.binary(), size=int(sizes.sum())).dictionary_encode()
-    return words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    its stop) and where each text begins. ASCII case and white space only."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words, ends = lists.flatten(), np.cumsum(lists.value_lengths().to_numpy(), dtype=np.int64)
+    some = pc.greater(pc.binary_length(words), 0)  # none is empty but before, between and after white space
+    upto = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False), dtype=np.int64)])
+    sizes = np.diff(upto[ends], prepend=0) + 2
+    begins = np.cumsum(sizes) - sizes
+    words = words.filter(some).dictionary_encode()
+    flat = np.zeros(int(sizes.sum()), np.int32)
+    inner = np.ones(len(flat), bool)
+    flat[begins + sizes - 1] = 1
+    inner[begins] = inner[begins + sizes - 1] = False
+    flat[inner] = words.indices.to_numpy() + 2
+    return pa.concat_arrays([pa.array([START, STOP], pa.binary()), words.dictionary.cast(pa.binary())]), flat, begins
 
 
 _models: dict[str, Model] = {}
@@ -290,14 +326,12 @@ def model(folder: str) -> Model:
     return _models[folder]
 
 
-def _steps(texts: list[str]):
+def _steps(texts: pa.Array):
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
     lo = 0
     while lo < len(texts):
-        hi, size = lo, 0
-        while hi < len(texts) and (hi == lo or size < STEP):
-            size += len(texts[hi])
-            hi += 1
-        yield texts[lo:hi]
+        hi = min(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP)) + 1, len(texts))
+        yield texts.slice(lo, hi - lo)
         lo = hi
 
 
@@ -306,7 +340,7 @@ def _summed(parent, word, n):
     bits = int(word.max()).bit_length() if len(word) else 0
     if len(word) and int(parent.max()).bit_length() + bits < 64:
         key = (parent << np.uint64(bits)) | word
-        order = np.argsort(key)
+        order = np.argsort(key, kind="stable")  # merges parts that are in order
         key = key[order]
         cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         return key[cut] >> np.uint64(bits), key[cut] & np.uint64((1 << bits) - 1), np.add.reduceat(n[order], cut)
@@ -431,18 +465,19 @@ def _level(docs: DataFrame, folder: str, stage: str, k: int, least: int, discoun
                 low[i] += np.searchsorted(word[low[i] : high[i]], cuts[i, 1])
             edge = np.append(low, len(parent))
             some = np.flatnonzero(edge[1:] > edge[:-1])
-            return pd.DataFrame({"bucket": some, "block": [_pressed(parent[a:b], word[a:b], n[a:b]) for a, b in zip(edge[some], edge[some + 1])]})
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pressed(parent[a:b], word[a:b], n[a:b]) for a, b in zip(edge[some], edge[some + 1])], pa.binary())], ["bucket", "block"])
 
         for b in batches:
             m = model(stage)
-            for texts in _steps(b["text"].tolist()):
-                distinct, flat, starts = number(texts)
-                ids = m.words(distinct)
+            for texts in _steps(b.column("text")):
+                words, at, starts = number(texts)
+                node, seen = m.words(words)
                 # a word seen less often than asked for ends no kept n-gram
-                ids = np.where(m.counts(ids) >= least, ids, -1)[flat]
-                parent, word = m.parents(ids, starts, k)
-                ok = (parent >= 0) & (word >= 0)
-                held.append(_summed(parent[ok].astype(np.uint64), word[ok].astype(np.uint64), np.ones(int(ok.sum()), np.int64)))
+                walk = Walk(at, np.where(seen >= least, node, -1), starts)
+                for j in range(2, k):
+                    places, parent, word, back = walk.pairs()
+                    walk.on(places, back, *m.levels[j - 1].find(parent, word, "prob")[:2])
+                held.append(walk.counted())
                 size += len(held[-1][0])
                 if size > HELD:
                     yield flush()
@@ -453,11 +488,16 @@ def _level(docs: DataFrame, folder: str, stage: str, k: int, least: int, discoun
     def payload(parent, word, c):
         return {"prob": _code((c - discount) / model(stage).counts(parent, k - 2))} | (_counted(parent, word, c) if room else {})
 
-    def left(parent, word, mass):
-        return {"left": _code(1 - mass / model(stage).counts(word.astype(np.int64), k - 2))}
-
     def backs(node, mass):
-        return [_write_shard(folder, f"back{k}", np.zeros(len(x), np.uint64), x, mass[i : i + SHARD], left) for i in range(0, len(node), SHARD) for x in [node[i : i + SHARD]]]
+        made = []
+        cut = np.flatnonzero(np.diff(node // np.uint64(SHARD), prepend=np.uint64(2**63)))
+        for a, b in zip(cut, [*cut[1:], len(node)]):
+            x, first = node[a:b].astype(np.int64), int(node[a])
+            left = np.zeros(x[-1] - first + 1, np.uint16)  # 0: no children kept
+            left[x - first] = np.maximum(_code(1 - mass[a:b] / model(stage).counts(x, k - 2)), 1)
+            elias_fano.save(os.path.join(folder, f"back{k}-{first}"), {"left": left})
+            made.append({"kind": f"back{k}", "parent": "0", "word": str(first), "n": len(x), "file": f"back{k}-{first}", "cut": [], "weight": []})
+        return made
 
     def write(rows: pd.DataFrame) -> pd.DataFrame:
         parent, word, n = _summed(*(np.concatenate(x) for x in zip(*map(_opened, rows["block"]))))
@@ -473,7 +513,7 @@ def _level(docs: DataFrame, folder: str, stage: str, k: int, least: int, discoun
                 made += backs(node, total - discount * kinds)
         return pa.Table.from_pylist(made, _SHARD).to_pandas()
 
-    blocks = docs.mapInPandas(count, "bucket int, block binary")
+    blocks = docs.mapInArrow(count, "bucket int, block binary")
     made = blocks.groupBy("bucket").applyInPandas(write, _SHARD_DDL).collect()  # one row per shard
     tokens, kinds = {}, {}
     for r in made:
@@ -493,9 +533,9 @@ def train(docs: DataFrame, order: int = ORDER, least: int = MIN_COUNT, discount:
 
     def count_words(batches):
         for b in batches:
-            for some in _steps(b.column("text").to_pylist()):
+            for some in _steps(b.column("text")):
                 distinct, flat, _ = number(some)
-                yield pa.RecordBatch.from_arrays([pa.array(distinct, pa.binary()), pa.array(np.bincount(flat, minlength=len(distinct)))], ["w", "n"])
+                yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(flat, minlength=len(distinct)))], ["w", "n"])
 
     words = texts.mapInArrow(count_words, "w binary, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
     # signed numbers in the order of the unsigned hashes: those with the top bit flipped
@@ -529,7 +569,7 @@ def score_texts(docs: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             ids = b.column("doc_id")
             at = 0
-            for texts in _steps(b.column("text").to_pylist()):
+            for texts in _steps(b.column("text")):
                 got = model(folder).score(texts)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(texts)), *(pa.array(got[k]) for k in ("n_tokens", "n_known", "base_score", "score"))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
                 at += len(texts)

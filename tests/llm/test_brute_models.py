@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridweave.llm import adaptive_rules, catalog, elias_fano, itq, ngram_trie, quality_mil
@@ -104,6 +105,69 @@ def test_trie_shards_split_a_parent(spark, monkeypatch):
         assert abs(r.score - want[r.doc_id][6]) <= 2e-3 * r.n_tokens
 
 
+def test_trie_words_are_those_of_the_contract():
+    """Arrow's words and starts against plain splitting."""
+    given = ["", " ", "A b\x1cc\x85d\u3000e \u00c4\u00d6\x0b\x0cq\tz\r\nX  ", "a", "\0 \x1f a A", "\n\n"]
+    words, flat, begins = ngram_trie.number(pa.array(["x", *given]).slice(1))
+    words = words.to_pylist()
+    want = [[b" <s>", *(w.encode() for w in split(ascii_lower(t))), b" </s>"] for t in given]
+    assert [words[i] for i in flat] == [w for x in want for w in x]
+    assert begins.tolist() == np.cumsum([0, *map(len, want)])[:-1].tolist() and len(set(words)) == len(words)
+
+
+def test_level_finds_nodes_places_and_masses(tmp_path):
+    """Shards that cut a parent's children, against a dictionary."""
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(p), int(w)) for p, w in zip(rng.integers(0, 9, 300) ** 2, rng.integers(0, 2_000, 300) ** 2)} | {(25, w) for w in range(3, 90)})
+    parent, word = np.array(pairs, np.uint64).T
+    load = lambda p, w, n: {"prob": n.astype(np.uint16)}
+    for size in (7, 100, 1_000):
+        cuts = range(0, len(pairs), size)
+        made = [ngram_trie._write_shard(str(tmp_path), f"s{size}", parent[i : i + size], word[i : i + size], np.arange(i, len(pairs))[:size], load) for i in cuts]
+        level = ngram_trie.Level(str(tmp_path), ngram_trie._in_order(made))
+        ask = sorted({*pairs, *((int(p), int(w)) for p, w in zip(rng.integers(0, 70, 900), rng.integers(0, 5_000_000, 900)))} | {(25, 91), (25, 2), (0, 0)})
+        node, place, prob = level.find(*np.array(ask, np.uint64).T, "prob")
+        at, begin = {g: i for i, g in enumerate(pairs)}, {}
+        for i, (p, _) in enumerate(pairs):
+            begin.setdefault(p, i)
+        assert node.tolist() == [at.get(g, -1) for g in ask]
+        assert [(x, n) for x, n in zip(place, prob) if x >= 0] == [(at[g] - begin[g[0]], at[g]) for g in ask if g in at]
+    for first, left in ((4, [9, 0, 7]), (20, [1])):
+        elias_fano.save(str(tmp_path / f"back{first}"), {"left": np.array(left, np.uint16)})
+    backs = ngram_trie.Level(str(tmp_path), [{"parent": 0, "word": w, "n": 1, "file": f"back{w}"} for w in (4, 20)])
+    assert backs.left(np.array([21, 0, 4, 5, 6, 7, 20], np.uint64)).tolist() == [0, 0, 9, 0, 7, 0, 1]
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_trie_searches_each_ngram_once(spark, monkeypatch, order):
+    """Bits looked for when texts are scored, for each of their distinct n-grams: 1.0 at order 2
+    and 1.3 at order 3, before 2.0 and 2.6."""
+    rng = np.random.default_rng(5)
+    given = [" ".join(f"w{x}" for x in rng.integers(0, 40, 60)) for _ in range(200)]
+    df = spark.createDataFrame([(t,) for t in given], "text string")
+    trie = ngram_trie.Model(ngram_trie.train(df, order, 1))
+    asked, select = [], elias_fano.EliasFano._select
+    monkeypatch.setattr(elias_fano.EliasFano, "_select", lambda self, k, ones: (asked.append(len(k)), select(self, k, ones))[1])
+    trie.score(pa.array(given * 3))
+    lists = [["<>", *t.split(), "</>"] for t in given]
+    grams = sum(len({tuple(x[i : i + k]) for x in lists for i in range(len(x) - k + 1)}) for k in range(1, order + 1))
+    assert sum(asked) <= 1.5 * grams
+
+
+def test_walk_numbers_without_room():
+    """Places sorted with their pairs, and without where both have no room in 64 bits."""
+    rng = np.random.default_rng(6)
+    at, begins = rng.integers(0, 50, 2_000).astype(np.int32), np.arange(0, 2_000, 100)
+    node = np.where(np.arange(50) % 7 == 3, -1, rng.permutation(50))
+    plain, wide = ngram_trie.Walk(at, node, begins), ngram_trie.Walk(at, node, begins)
+    wide.bits = 50
+    for a, b in zip((*plain.pairs(), *plain.counted()), (*wide.pairs(), *wide.counted())):
+        assert (a == b).all()
+    parent, word, n = plain.counted()
+    pairs = [(node[at[i - 1]], node[at[i]]) for i in range(2_000) if i % 100 and node[at[i - 1]] >= 0 and node[at[i]] >= 0]
+    assert sorted(Counter(pairs).items()) == [((p, w), c) for p, w, c in zip(parent, word, n)]
+
+
 def test_held_out_texts_gain(spark):
     rows = [r for r in catalog.op1_elias_fano_trie(spark, MID).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
@@ -116,6 +180,8 @@ def test_elias_fano():
         e = elias_fano.EliasFano(*elias_fano.build(v, "x"), "x")
         assert (e.at(np.arange(n)) == v).all()
         q = np.concatenate([v, rng.integers(0, u + 3, 1000, dtype=np.uint64)])
+        first, then = e.range(np.arange(n - 1))
+        assert (first == v[:-1]).all() and (then == v[1:]).all()
         where, same = e.successor(q)
         assert (where == np.searchsorted(v, q, "left")).all() and (same == np.isin(q, v)).all()
 
