@@ -87,19 +87,41 @@ def usable() -> Column:
 
 
 def nodes_of(rows: DataFrame) -> DataFrame:
-    """One row per distinct vector of a label: node, its key (label, h1, h2), copies, vector."""
+    """One row per distinct vector of a label: node, its key (label, h1, h2), copies, vector
+    and its length d."""
     grouped = rows.where("ok").groupBy("label", "h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
-    return cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()))
+    return cut_lineage(grouped.withColumn("node", F.monotonically_increasing_id()).withColumn("d", F.size("embedding")))
+
+
+def sample(nodes: DataFrame) -> tuple[int, np.ndarray]:
+    """The commonest length and the ``SAMPLE`` vectors of that length with the smallest hashes,
+    in their order; a vector counts once for each of its labels.
+
+    A bound on the hash is found by counts first, so that little more than the sample leaves
+    the executors however many partitions there are."""
+    d = nodes.groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    if d is None:
+        return 0, np.zeros((0, 0))
+    those = nodes.where(F.col("d") == d["d"]).withColumn("h", F.xxhash64("h1", "h2"))
+    share = 1.1 * SAMPLE / d["count"]
+    while True:
+        few = those.where(F.col("h") < F.lit(int(share * 2.0**64) - 2**63)) if share < 1 else those
+        if share >= 1 or few.count() >= SAMPLE:
+            break
+        share *= 4
+    few = few.groupBy("h", "h1", "h2").agg(F.count(F.lit(1)).alias("times"), F.first("embedding").alias("embedding"))
+    got = few.orderBy("h", "h1", "h2").limit(SAMPLE).select("h", "times", "embedding").toArrow()
+    at = np.argsort(got["h"].to_numpy(), kind="stable")
+    at = np.repeat(at, np.minimum(got["times"].to_numpy()[at], SAMPLE))[:SAMPLE]
+    ((_, _, x),) = _matrix(got["embedding"].combine_chunks())
+    return d["d"], x[at]
 
 
 def candidates(nodes: DataFrame) -> DataFrame:
     """(a, b) pairs of nodes that meet in some band, each once."""
-    d = nodes.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    dim = d["d"] if d else 0
-    some = nodes.where(F.size("embedding") == dim).orderBy(F.xxhash64("h1", "h2"), "node").limit(SAMPLE).select("embedding")
-    x = np.array([list(r["embedding"]) for r in some.collect()], np.float64)  # bounded by SAMPLE
-    mean, axes = learn(_unit(x.reshape(len(x), dim))) if len(x) and dim else (np.zeros(dim), np.zeros((dim, 0)))
-    coded = nodes.select("label", F.size("embedding").alias("d"), "node", code_column(dim, mean, axes)("embedding").alias("code"))
+    dim, x = sample(nodes)
+    mean, axes = learn(_unit(x)) if len(x) else (np.zeros(dim), np.zeros((dim, 0)))
+    coded = nodes.select("label", "d", "node", code_column(dim, mean, axes)("embedding").alias("code"))
     part = lambda code, t: F.shiftrightunsigned(code, BAND * t).bitwiseAND(F.lit((1 << BAND) - 1).cast("bigint"))
     flips = [0] + [1 << k for k in range(BAND)]
     enter = F.explode(F.array(*[

@@ -12,9 +12,10 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.llm import adaptive_rules, catalog, elias_fano, itq, ngram_trie, quality_mil
-from gridweave.llm.common import checkpoint_dir
+from gridweave.llm.common import checkpoint_dir, cut_lineage
 from gridweave.llm.common import read
 
 from .test_brute import ODD, SCHEMA, SF, ascii_lower, odd, split, texts
@@ -224,6 +225,37 @@ def test_embeddings(spark):
     assert itq.near_duplicates(df.where("false")).count() == 0
 
 
+class Learned(Exception):
+    pass
+
+
+def test_embeddings_sample(spark, monkeypatch):
+    """What the sample sends to the driver doesn't grow with the partitions."""
+
+    def learn(x):
+        raise Learned(x)
+
+    monkeypatch.setattr(itq, "SAMPLE", 500)
+    monkeypatch.setattr(itq, "learn", learn)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((12_000, 64)).astype(np.float32)
+    rows = spark.createDataFrame(pa.table({"vec_id": np.arange(len(x)), "label": np.arange(len(x)) % 3, "embedding": list(x)}))
+    # one vector under many labels counts once for each
+    many = rows.where("vec_id = 0").select("vec_id", F.explode(F.expr("sequence(3L, 9000L)")).alias("label"), "embedding")
+    conf, most = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize"
+    for df in (rows, rows.unionByName(many)):
+        df = df.withColumn("ok", itq.usable()).withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(17), "embedding"))
+        nodes = cut_lineage(itq.nodes_of(df).repartition(48, "node"))
+        of = nodes.select("embedding", F.xxhash64("h1", "h2").alias("h")).toArrow().sort_by("h")
+        conf.set(most, "1m")  # 500 vectors of each of 48 partitions are some 4 MB
+        try:
+            with pytest.raises(Learned) as got:
+                itq.candidates(nodes)
+        finally:
+            conf.remove(most)
+        assert (got.value.args[0] == itq._unit(np.stack(of["embedding"].to_numpy()[:500]).astype(np.float64))).all()
+
+
 def test_codes_recall():
     rng = np.random.default_rng(9)
     x = rng.standard_normal((3000, 64))
